@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["texts"]
+FAMILIES = ["texts", "relevance"]
 
 
 def _load() -> None:
