@@ -138,7 +138,7 @@ GOAL_SQL = f"""
       FROM ({_GOAL_ROWS}) WHERE score > 0) g ON g.query_id = q.query_id AND g.r = 1"""
 
 
-@query("sc_17", f"SELECT query_id, goal, ROUND(confidence, 3) AS confidence FROM ({GOAL_SQL})")
+@query("sc_17", f"SELECT query_id, goal, ROUND_EVEN(confidence, 3) AS confidence FROM ({GOAL_SQL})")
 def sc_17(t):
     found = U.detect_goals(t.queries_v, GOALS, flags=CASE)
     return found.select("query_id", "goal", F.round("goal_confidence", 3).alias("confidence"))

@@ -13,6 +13,11 @@ from engram.functions.text import clamp, lookup
 DAY = 86400
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; inside a lambda it would be redone per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -56,45 +61,55 @@ def retrieval_score(similarity: Column, importance: Column, recency: Column, rei
 
 def goal_alignment(content: Column, memory_type: Column, keywords: Column, required: Column) -> Column:
     """Shares of query keywords and of required topics found in the text (SC-34)."""
-    text = F.lower(content)
-    kw_hits = F.size(F.filter(keywords, lambda k: F.contains(text, k)))
-    kw = F.when(F.size(keywords) > 0, kw_hits / F.size(keywords)).otherwise(0.0)
+    def shares(text: Column) -> Column:
+        def touched(category: Column) -> Column:
+            phrase = F.translate(category, "_", " ")
+            return F.contains(text, phrase) | F.exists(F.split(phrase, " "), lambda w: F.contains(text, w))
+
+        kw_hits = F.size(F.filter(keywords, lambda k: F.contains(text, k)))
+        kw = F.when(F.size(keywords) > 0, kw_hits / F.size(keywords)).otherwise(0.0)
+        topics = F.when(F.size(required) > 0, F.size(F.filter(required, touched)) / F.size(required)).otherwise(0.0)
+        return kw * 0.6 + topics * 0.4
+
+    return clamp(bind(F.lower(content), shares) + F.when(memory_type == "procedural", 0.15).otherwise(0.0))
+
 
-    def touched(category: Column) -> Column:
-        phrase = F.translate(category, "_", " ")
-        return F.contains(text, phrase) | F.exists(F.split(phrase, " "), lambda w: F.contains(text, w))
+def _matched_share(items: Column, matches) -> Column:
+    """Confidence of the matching items over that of all items."""
+    def add(acc: Column, item: Column) -> Column:
+        weight = F.coalesce(item["confidence"], F.lit(0.5))
+        return F.struct((acc["all"] + weight).alias("all"),
+                        (acc["hit"] + F.when(matches(item), weight).otherwise(0.0)).alias("hit"))
 
-    topics = F.when(F.size(required) > 0, F.size(F.filter(required, touched)) / F.size(required)).otherwise(0.0)
-    bonus = F.when(memory_type == "procedural", 0.15).otherwise(0.0)
-    return clamp(kw * 0.6 + topics * 0.4 + bonus)
+    start = F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("hit"))
+    return F.aggregate(items, start, add, lambda a: F.when(a["all"] > 0, a["hit"] / a["all"]).otherwise(0.0))
 
 
-def _matched_share(items: Column, weight, matches) -> Column:
-    total = F.aggregate(items, F.lit(0.0), lambda s, i: s + weight(i))
-    hit = F.aggregate(F.filter(items, matches), F.lit(0.0), lambda s, i: s + weight(i))
-    return F.when(total > 0, hit / total).otherwise(0.0)
+def trait_terms(value: Column) -> Column:
+    """The lowered form that trait matching looks for."""
+    return F.lower(F.coalesce(value, F.lit("")))
+
+
+def concept_terms(name: Column) -> tuple[Column, Column]:
+    """(lowered phrase, its words over three letters) that concept matching looks for."""
+    phrase = F.lower(F.translate(F.coalesce(name, F.lit("")), "_", " "))
+    return phrase, F.filter(F.split(phrase, r"\s+"), lambda w: F.length(w) > 3)
 
 
 def identity_alignment(content: Column, memory_type: Column, traits: Column) -> Column:
-    """Confidence share of the traits (``value, confidence`` structs) named in the text (SC-35)."""
-    text = F.lower(content)
-    share = _matched_share(traits, lambda t: F.coalesce(t["confidence"], F.lit(0.5)),
-                           lambda t: (F.length(t["value"]) > 0) & F.contains(text, F.lower(t["value"])))
+    """Confidence share of the traits (``term, confidence`` structs) named in the text (SC-35)."""
+    share = bind(F.lower(content), lambda text: _matched_share(
+        traits, lambda t: (t["term"] != "") & F.contains(text, t["term"])))
     own = memory_type == "identity"
     return F.when(F.coalesce(F.size(traits), F.lit(0)) <= 0, F.when(own, 0.5).otherwise(0.3)).otherwise(
         clamp(share + F.when(own, 0.2).otherwise(0.0)))
 
 
 def concept_relevance(content: Column, memory_type: Column, concepts: Column) -> Column:
-    """Confidence share of the concepts (``name, confidence`` structs) named in the text (SC-36)."""
-    text = F.lower(content)
-
-    def named(c: Column) -> Column:
-        name = F.lower(F.translate(c["name"], "_", " "))
-        part = F.exists(F.split(name, r"\s+"), lambda w: (F.length(w) > 3) & F.contains(text, w))
-        return (F.length(name) > 0) & (F.contains(text, name) | part)
-
-    share = _matched_share(concepts, lambda c: F.coalesce(c["confidence"], F.lit(0.5)), named)
+    """Confidence share of the concepts (``term, parts, confidence`` structs) named in the text (SC-36)."""
+    share = bind(F.lower(content), lambda text: _matched_share(
+        concepts, lambda c: (c["term"] != "") & (F.contains(text, c["term"])
+                                                 | F.exists(c["parts"], lambda w: F.contains(text, w)))))
     own = memory_type == "concept"
     return F.when(F.coalesce(F.size(concepts), F.lit(0)) <= 0, F.when(own, 0.4).otherwise(0.2)).otherwise(
         clamp(share + F.when(own, 0.15).otherwise(0.0)))

@@ -23,13 +23,16 @@ def user_traits(traits: DataFrame, limit: int = 30, min_confidence: float = 0.3)
     """Per user the leading traits as one array (W-07)."""
     top = top_per_group(traits.filter(F.col("confidence") >= min_confidence), ["user_id"],
                         [F.desc("importance"), F.col("node_id")], limit)
-    item = F.struct("rank", F.col("node_type").alias("type"), F.col("node_value").alias("value"), "confidence", "importance")
+    item = F.struct("rank", F.col("node_type").alias("type"), F.col("node_value").alias("value"), "confidence", "importance",
+                    R.trait_terms(F.col("node_value")).alias("term"))
     return top.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("traits"))
 
 
 def user_concepts(concepts: DataFrame, limit: int = 50) -> DataFrame:
     top = top_per_group(concepts, ["user_id"], [F.desc("confidence"), F.col("concept_id")], limit)
-    item = F.struct("rank", F.col("concept_name").alias("name"), "description", "confidence", "support_count")
+    term, parts = R.concept_terms(F.col("concept_name"))
+    item = F.struct("rank", F.col("concept_name").alias("name"), "description", "confidence", "support_count",
+                    term.alias("term"), parts.alias("parts"))
     return top.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("concepts"))
 
 
