@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["texts", "relevance"]
+FAMILIES = ["texts", "relevance", "lifecycles", "graphs"]
 
 
 def _load() -> None:
