@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +30,37 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local master may fall back to a temporary one."""
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; only a local master may fall back to a temporary one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(folder)
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+_written: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage, so a lost executor replays one stage only."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Lineage ends there, so a lost executor costs one stage, and the planner sees real sizes
+    for the joins that follow.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that ``cut`` wrote, once no result that reads them is needed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
