@@ -87,9 +87,6 @@ def g_05(t):
     return G.pagerank(t.nodes_v, t.edges_v, iterations=4).select("user_id", "node_id", r6("rank").alias("rank"))
 
 
-_CLOSE = reach_sql("SELECT user_id, dst AS src, src AS dst FROM edges_v", 40).replace("0 AS depth", "0 AS depth")
-
-
 @query("g_06", """
     WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT user_id, dst AS src, src AS dst FROM edges_v),
       walk AS (SELECT user_id, node_id AS source, node_id AS node, 0 AS depth FROM nodes_v
@@ -110,11 +107,12 @@ def g_06_betweenness(t):
     return G.betweenness(t.nodes_v.select("user_id", "node_id"), t.edges_v).select("user_id", "node_id", r6("betweenness").alias("betweenness"))
 
 
-STRONG = "SELECT user_id, node_id, importance FROM nodes_v WHERE importance >= 0.9"
+STRONG = "SELECT user_id, node_id, importance FROM nodes_v"
 
 
 def strong(t):
-    return t.nodes_v.filter("importance >= 0.9").select("user_id", "node_id", "importance")
+    """Every node as a reinforced source."""
+    return t.nodes_v.select("user_id", "node_id", "importance")
 
 
 @query("g_07", f"""
@@ -210,9 +208,6 @@ def g_16(t):
     return hops.groupBy("user_id", "source", "target", "depth").agg(F.count("relation").cast("int").alias("n_hops"))
 
 
-_NEW = "SELECT user_id, src, dst, 'related_to' AS type, 0.5 AS strength FROM edges_v WHERE evidence_count >= 1"
-
-
 @query("g_17", """
     SELECT user_id, src, dst, 'related_to' AS type, ROUND(CASE WHEN type = 'related_to' THEN LEAST(1.0, strength + 0.1) ELSE 0.5 END, 6) AS strength,
       CASE WHEN type = 'related_to' THEN evidence_count + 1 ELSE 1 END AS evidence_count FROM edges_v

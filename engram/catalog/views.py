@@ -152,7 +152,7 @@ _MACROS = {
     },
     "duckdb": {
         r"@K@": "JSON_EXTRACT_STRING(props, '$.k')",
-        r"@EPOCH\((.*?)\)@": r"CAST(EPOCH(\1) AS BIGINT)",
+        r"@EPOCH\((.*?)\)@": r"CAST(FLOOR(EPOCH(\1)) AS BIGINT)",
         r"@ARR\((.*?)\)@": r"[\1]",
     },
 }
@@ -160,7 +160,7 @@ _MACROS = {
 
 def _doubles(sql: str) -> str:
     """Write decimal literals outside quotes as doubles, which both dialects then compute alike."""
-    parts = re.split(r"('(?:[^']|'')*')", sql)
+    parts = re.split(r"""('(?:[^']|'')*'|"[^"]*")""", sql)
     return "".join(p if i % 2 else re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", p) for i, p in enumerate(parts))
 
 

@@ -108,36 +108,35 @@ def duplicate_clusters(memories: DataFrame, threshold: float = V.DUPLICATE_AT) -
 
 
 def merge_duplicates(memories: DataFrame, members: DataFrame, as_of: Column,
-                     concepts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(memories, concepts, events): each group becomes or feeds a concept, its rows are archived (A-21)."""
+                     concepts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(memories, concepts, evidence, events): each group makes or feeds a concept, its rows are archived (A-21).
+
+    Evidence stays a table of (user_id, concept_name, memory_id): a group of copies may hold a
+    large share of all rows, too many for one array.
+    """
     texts = members.join(memories.select("memory_id", "content"), "memory_id")
     named = top_words(texts, ["user_id", "cluster_id"], "content", 1).select(
         "user_id", "cluster_id", F.concat(T.capitalize(F.col("word")), F.lit(" Interest")).alias("concept_name"))
-    sized = members.groupBy("user_id", "cluster_id").agg(F.count("*").alias("n"), F.collect_set("memory_id").alias("ids"))
+    sized = members.groupBy("user_id", "cluster_id").agg(F.count("*").alias("n"))
     clusters = (sized.join(named, ["user_id", "cluster_id"], "left")
                 .withColumn("concept_name", F.coalesce("concept_name", F.concat(F.lit("concept_"), F.col("cluster_id").cast("string")))))
     # groups of one user that got the same name feed one concept
-    known = None if concepts is None else concepts.groupBy("user_id", "concept_name").agg(
-        F.max("confidence").alias("_conf"), F.max("support_count").alias("_support"),
-        F.array_distinct(F.flatten(F.collect_list("supporting_memory_ids"))).alias("_ids"))
-    per_name = clusters.groupBy("user_id", "concept_name").agg(
-        F.sum("n").alias("_n"), F.max_by("n", -F.col("cluster_id")).alias("_first_n"),
-        F.array_distinct(F.flatten(F.collect_list("ids"))).alias("_new_ids"))
-    if known is not None:
+    per_name = clusters.groupBy("user_id", "concept_name").agg(F.sum("n").alias("_n"), F.max_by("n", -F.col("cluster_id")).alias("_first_n"))
+    if concepts is not None:
+        known = concepts.groupBy("user_id", "concept_name").agg(F.max("confidence").alias("_conf"), F.max("support_count").alias("_support"))
         per_name = per_name.join(known, ["user_id", "concept_name"], "left")
     else:
-        per_name = per_name.withColumns({"_conf": F.lit(None).cast("double"), "_support": F.lit(None).cast("long"),
-                                         "_ids": F.lit(None).cast("array<long>")})
+        per_name = per_name.withColumns({"_conf": F.lit(None).cast("double"), "_support": F.lit(None).cast("long")})
     fresh = 0.5 + 0.1 * F.col("_first_n") + 0.05 * (F.col("_n") - F.col("_first_n"))
     made = per_name.select(
         "user_id", "concept_name",
-        F.when(F.col("_conf").isNull(), F.concat(F.lit("Consolidated from "), F.col("_n").cast("string"), F.lit(" related memories"))).alias("description"),
+        F.when(F.col("_conf").isNull(), F.concat(F.lit("Consolidated from "), F.col("_first_n").cast("string"), F.lit(" related memories"))).alias("description"),
         F.least(F.lit(1.0), F.coalesce(F.col("_conf") + 0.05 * F.col("_n"), fresh)).alias("confidence"),
-        (F.coalesce("_support", F.lit(0)) + F.col("_n")).alias("support_count"),
-        F.array_sort(F.array_union(F.coalesce("_ids", F.array().cast("array<long>")), "_new_ids")).alias("supporting_memory_ids"))
+        (F.coalesce("_support", F.lit(0)) + F.col("_n")).alias("support_count"))
     fate = (members.join(clusters.select("user_id", "cluster_id", "concept_name", "n"), ["user_id", "cluster_id"])
-            .join(made.select("user_id", "concept_name", F.col("confidence").alias("_c")), ["user_id", "concept_name"])
-            .select("memory_id", F.col("concept_name").alias("_name"), F.col("n").alias("_size"), "_c"))
+            .join(made.select("user_id", "concept_name", F.col("confidence").alias("_c")), ["user_id", "concept_name"]))
+    evidence = fate.select("user_id", "concept_name", "memory_id")
+    fate = fate.select("memory_id", F.col("concept_name").alias("_name"), F.col("n").alias("_size"), "_c")
     df = memories.join(fate, "memory_id", "left")
     hit = F.col("_name").isNotNull()
     reason = F.concat(F.lit("Merged into concept '"), "_name", F.lit("'"))
@@ -147,7 +146,7 @@ def merge_duplicates(memories: DataFrame, members: DataFrame, as_of: Column,
     old_reason = F.col("archive_reason") if "archive_reason" in memories.columns else F.lit(None).cast("string")
     out = df.withColumns({"cognitive_state": F.when(hit, "archived").otherwise(F.col("cognitive_state")),
                           "archive_reason": F.when(hit, reason).otherwise(old_reason)})
-    return out.select(*memories.columns, *([] if "archive_reason" in memories.columns else ["archive_reason"])), made, events
+    return out.select(*memories.columns, *([] if "archive_reason" in memories.columns else ["archive_reason"])), made, evidence, events
 
 
 # ---- vectors ---------------------------------------------------------------------

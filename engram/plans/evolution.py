@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,22 +148,31 @@ def forget(memories: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     return out.select(*memories.columns, F.col("_decision").alias("decision")), moved.unionByName(weak)
 
 
+@dataclass
+class Evolved:
+    """What one evolution run leaves behind."""
+
+    memories: DataFrame
+    concepts: DataFrame
+    evidence: DataFrame
+    events: DataFrame
+
+
 def evolve(memories: DataFrame, concepts: DataFrame, traits: DataFrame, as_of: Column,
-           buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One evolution run over all users: (memories, concepts from duplicates, events) (P-05).
+           buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS) -> Evolved:
+    """One evolution run over all users (P-05). Forgotten rows pass through untouched.
 
-    Forgotten rows pass through untouched.
+    Each stage changes what the next one reads, so stages are written out between.
     """
     live = memories.filter(F.col("cognitive_state") != "forgotten")
     rest = memories.filter(F.col("cognitive_state") == "forgotten")
     aged, decay_events = idle_transitions(apply_decay(membership_flags(live, concepts, traits), as_of), as_of)
     aged = cut(aged.drop("in_concept", "in_identity"))
-    active = aged.filter(~F.col("cognitive_state").isin(*V.INACTIVE_STATES))
-    members = C.duplicate_clusters(active)
-    merged, new_concepts, merge_events = C.merge_duplicates(aged, members, as_of)
+    members = cut(C.duplicate_clusters(aged.filter(~F.col("cognitive_state").isin(*V.INACTIVE_STATES))))
+    merged, made, evidence, merge_events = C.merge_duplicates(aged, members, as_of, concepts)
     settled, conflict_events = supersede(cut(merged), as_of, buckets)
     decided, forget_events = forget(cut(settled), as_of)
+    final = cut(decided.drop("decision"))
+    scored = N.per_memory_entropy(final, concepts, buckets)
     events = decay_events.unionByName(merge_events).unionByName(conflict_events).unionByName(forget_events)
-    final = decided.drop("decision")
-    scored = N.per_memory_entropy(cut(final), concepts, buckets)
-    return scored.unionByName(rest, allowMissingColumns=True), new_concepts, events
+    return Evolved(scored.unionByName(rest, allowMissingColumns=True), made, evidence, events)

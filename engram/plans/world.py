@@ -25,3 +25,25 @@ def blockers(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
     dst = nodes.select("user_id", F.col("node_id").alias("dst"), F.col("name").alias("_d"))
     return (top.join(src, ["user_id", "src"]).join(dst, ["user_id", "dst"])
             .withColumn("blocker", F.concat("_s", F.lit(" blocks "), "_d")).drop("_s", "_d"))
+
+
+def timeline_past(decisions: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
+    """Decisions and started tasks, newest first (SET-01)."""
+    made = decisions.select("user_id", F.lit("decision").alias("type"), F.col("decision").alias("label"), "reason", "status",
+                            F.col("ts").alias("timestamp"), F.col("decision_id").cast("string").alias("_k"))
+    tasks = nodes.filter("entity_type = 'task'").select("user_id", F.lit("task_started").alias("type"), F.col("name").alias("label"),
+                                                        F.col("first_seen_at").alias("timestamp"), F.col("node_id").cast("string").alias("_k"))
+    both = made.unionByName(tasks, allowMissingColumns=True)
+    return top_per_group(both, ["user_id"], [F.desc("timestamp"), F.col("type"), F.col("label"), F.col("_k")], limit).drop("_k")
+
+
+def timeline_present(projects: DataFrame) -> DataFrame:
+    return projects.filter("status = 'active'").select("user_id", F.lit("project").alias("type"), F.col("project_name").alias("label"),
+                                                       "current_phase", "status", "updated_at")
+
+
+def timeline_future(projects: DataFrame) -> DataFrame:
+    """Next steps and roadmap items of a user's projects (SET-02)."""
+    steps = projects.filter("next_step IS NOT NULL").select("user_id", F.lit("next_step").alias("type"), F.col("project_name").alias("project"), F.col("next_step").alias("label"))
+    road = projects.select("user_id", F.lit("roadmap_item").alias("type"), F.col("project_name").alias("project"), F.explode("roadmap").alias("label"))
+    return steps.unionByName(road)
