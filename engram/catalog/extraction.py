@@ -32,7 +32,7 @@ TEXTS = "SELECT user_id, memory_id AS text_id, created_s AS ts, content AS text
 _VOC = " UNION ALL ".join(f"SELECT user_id, text_id, ts, '{k}' AS entity_type, '{n}' AS name, 0.8 AS confidence, {i} AS pos FROM ({TEXTS}) WHERE contains(LOWER(text), '{w}')"
                           for i, (k, w, n) in enumerate((k, w, n) for k, ws in VOCABULARY.items() for w, n in ws.items()))
 _KNOWN = f"SELECT user_id, text_id, ts, entity_type, LOWER(name) AS key, MIN(name) AS name, MIN(confidence) AS confidence FROM ({_VOC}) GROUP BY ALL"
-_BY_RULE = " UNION ALL ".join(f"""SELECT user_id, text_id, ts, '{k}' AS entity_type, REGEXP_REPLACE(TRIM(m), '[.,;:]+$', '') AS name, {c} AS confidence, {1000000 * (i + 1)} + j AS pos
+_BY_RULE = " UNION ALL ".join(f"""SELECT user_id, text_id, ts, '{k}' AS entity_type, REGEXP_REPLACE(TRIM(m), '[.,;:]+$', '') AS name, {c} AS confidence, {(1 << 40) * (i + 1)} + j AS pos
     FROM (SELECT user_id, text_id, ts, UNNEST(ms) AS m, UNNEST(RANGE(1, LEN(ms) + 1)) AS j FROM (SELECT *, REGEXP_EXTRACT_ALL(text, '{p}', 1) AS ms FROM ({TEXTS})))""" for i, (k, p, c) in enumerate(RULES))
 MENTIONS = f"""SELECT * FROM ({_KNOWN}) UNION ALL SELECT user_id, text_id, ts, entity_type, key, name, confidence FROM (
     SELECT user_id, text_id, ts, entity_type, LOWER(name) AS key, ARG_MIN(name, pos) AS name, ARG_MIN(confidence, pos) AS confidence FROM ({_BY_RULE}) WHERE LENGTH(name) >= 2 GROUP BY user_id, text_id, ts, entity_type, LOWER(name)) r
@@ -65,19 +65,19 @@ _BETWEEN = "SUBSTR(a.low, a.pos, b.pos - a.pos)"
 _TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches({_BETWEEN}, {p!r})' for p in ps)} THEN '{k}'" for k, ps in VERBS) + \
     f" WHEN NOT contains({_BETWEEN}, '.') AND NOT contains({_BETWEEN}, CHR(10)) THEN 'related_to' END"
 RELATIONS = f"""SELECT * FROM (SELECT a.user_id, a.text_id, a.ts, a.entity_type AS src_type, a.key AS src, b.entity_type AS dst_type, b.key AS dst, {_TYPE} AS type
-    FROM at a JOIN at b ON b.text_id = a.text_id AND a.pos < b.pos WHERE a.pos > 0) WHERE type IS NOT NULL"""
+    FROM spots a JOIN spots b ON b.text_id = a.text_id AND a.pos < b.pos WHERE a.pos > 0) WHERE type IS NOT NULL"""
 
 
 def found_relations(t):
     return X.relations(texts(t), mentions(t), VERBS, flags="")
 
 
-@query("ex_04", f"WITH at AS MATERIALIZED ({_AT}) SELECT text_id, src_type, src, dst_type, dst, type FROM ({RELATIONS})")
+@query("ex_04", f"WITH spots AS MATERIALIZED ({_AT}) SELECT text_id, src_type, src, dst_type, dst, type FROM ({RELATIONS})")
 def ex_04(t):
     return found_relations(t).select("text_id", "src_type", "src", "dst_type", "dst", "type")
 
 
-@query("ex_05", f"""WITH at AS MATERIALIZED ({_AT}) SELECT user_id, src, dst, src_type, dst_type, type, COUNT(*) AS evidence_count,
+@query("ex_05", f"""WITH spots AS MATERIALIZED ({_AT}) SELECT user_id, src, dst, src_type, dst_type, type, COUNT(*) AS evidence_count,
     ROUND(LEAST(1.0, CASE WHEN type = 'related_to' THEN 0.4 ELSE 0.7 END + 0.05 * (COUNT(*) - 1)), 6) AS strength FROM ({RELATIONS}) GROUP BY user_id, src, dst, src_type, dst_type, type""")
 def ex_05(t):
     df = X.relation_rollup(found_relations(t))
@@ -100,7 +100,7 @@ def ex_06(t):
 
 DECISIONS = [("decided", r" (?:is|to) ([a-z]{4,20}) "), ("chosen", r" (?:and|or) ([a-z]{4,20})[.,]")]
 _REASON = r"(?i) (?:for|by) ([a-z]{3,20})[.,]"
-_DEC = " UNION ALL ".join(f"""SELECT user_id, text_id, text, '{s}' AS status, REGEXP_REPLACE(TRIM(m), '[.,;:]+$', '') AS decision, {1000000 * i} + j AS pos
+_DEC = " UNION ALL ".join(f"""SELECT user_id, text_id, text, '{s}' AS status, REGEXP_REPLACE(TRIM(m), '[.,;:]+$', '') AS decision, {(1 << 40) * i} + j AS pos
     FROM (SELECT user_id, text_id, text, UNNEST(ms) AS m, UNNEST(RANGE(1, LEN(ms) + 1)) AS j FROM (SELECT *, REGEXP_EXTRACT_ALL(text, '(?i){p}', 1) AS ms FROM ({TEXTS})))""" for i, (s, p) in enumerate(DECISIONS))
 
 
@@ -134,21 +134,25 @@ def j_18(t):
     return X.supporting_concepts(discovered(t), t.concepts_v)
 
 
+# The driver vectors are nearly orthogonal, so their queries ask for a lower similarity.
+LOW_SIMILARITY = 0.25
+
+
 # ---- pairs -----------------------------------------------------------------------
 _PAIRS = """SELECT a.user_id, a.memory_id AS id_a, b.memory_id AS id_b, LIST_COSINE_SIMILARITY(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
     FROM vectors_v a JOIN vectors_v b ON b.user_id = a.user_id AND a.memory_id < b.memory_id"""
 
 
-@query("j_03", f"SELECT user_id, id_a, id_b, ROUND(score, 6) AS score FROM ({_PAIRS}) WHERE score >= 0.85")
+@query("j_03", f"SELECT user_id, id_a, id_b, ROUND(score, 6) AS score FROM ({_PAIRS}) WHERE score >= 0.25")
 def j_03(t):
-    return PR.vector_pairs(t.vectors_v, ["user_id"], "memory_id", V.REDUNDANT_AT).select("user_id", "id_a", "id_b", r6("score").alias("score"))
+    return PR.vector_pairs(t.vectors_v, ["user_id"], "memory_id", LOW_SIMILARITY).select("user_id", "id_a", "id_b", r6("score").alias("score"))
 
 
-@query("j_04", f"SELECT user_id, id_a AS src, id_b AS dst, 'related_to' AS type, ROUND(score, 6) AS strength FROM ({_PAIRS}) WHERE score > 0.75")
+@query("j_04", f"SELECT user_id, id_a AS src, id_b AS dst, 'related_to' AS type, ROUND(score, 6) AS strength FROM ({_PAIRS}) WHERE score > 0.25")
 def j_04(t):
     from engram.plans.consolidation import concept_edges
     vectors = t.vectors_v.withColumnRenamed("memory_id", "concept_id")
-    return concept_edges(vectors).select("user_id", "src", "dst", "type", r6("strength").alias("strength"))
+    return concept_edges(vectors, LOW_SIMILARITY).select("user_id", "src", "dst", "type", r6("strength").alias("strength"))
 
 
 _SETS = rf"SELECT user_id, memory_id, memory_type, content, LIST_FILTER(LIST_DISTINCT(REGEXP_EXTRACT_ALL(LOWER(content), '[\p{{L}}\p{{N}}_]+')), w -> NOT LIST_CONTAINS({_STOP}, w)) AS ws FROM memories_v"
@@ -208,7 +212,7 @@ def a_30(t):
 # ---- clusters ----------------------------------------------------------------------
 @query("c_01")
 def c_01(t):
-    return C.vector_clusters(t.vectors_v).select("user_id", "memory_id", "cluster_id")
+    return C.vector_clusters(t.vectors_v, min_similarity=LOW_SIMILARITY).select("user_id", "memory_id", "cluster_id")
 
 
 def planted(t):

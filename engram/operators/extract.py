@@ -44,6 +44,11 @@ def _tidy(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), r"[.,;:]+$", "")
 
 
+def _at(rule: int, match: Column) -> Column:
+    """Order of detection: rule by rule, match by match."""
+    return (F.lit(rule) * F.lit(1 << 40) + match).cast("long")
+
+
 def entities(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, str]] = V.ENTITY_VOCABULARY,
              rules: Sequence[tuple[str, str, float]] = V.ENTITY_RULES, flags: str = UNICODE) -> DataFrame:
     """Entities of each text, one row per type and name, in order of detection (EX-01, EX-02).
@@ -51,11 +56,11 @@ def entities(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, str]] = V.E
     A name the vocabulary already placed is not labelled again by a pattern.
     """
     known = vocabulary_entities(texts, vocabulary)
-    parts = []
-    for i, (kind, pattern, confidence) in enumerate(rules):
-        parts.append(F.transform(_matches(F.col("text"), pattern, flags), lambda m, j, k=kind, c=confidence, n=i: F.struct(
-            F.lit(k).alias("entity_type"), _tidy(m).alias("name"), F.lit(c).alias("confidence"),
-            (F.lit(1_000_000 * (n + 1)) + j).cast("long").alias("pos"))))
+    def by_pattern(n: int, kind: str, pattern: str, confidence: float) -> Column:
+        return F.transform(_matches(F.col("text"), pattern, flags), lambda m, j: F.struct(
+            F.lit(kind).alias("entity_type"), _tidy(m).alias("name"), F.lit(confidence).alias("confidence"), _at(n + 1, j).alias("pos")))
+
+    parts = [by_pattern(i, *rule) for i, rule in enumerate(rules)]
     rows = texts.select("user_id", "text_id", "ts", F.explode(F.concat(*parts)).alias("e")).filter(F.length("e.name") >= 2)
     by_rule = rows.groupBy("user_id", "text_id", "ts", "e.entity_type", F.lower("e.name").alias("key")).agg(
         F.min_by("e.name", "e.pos").alias("name"), F.min("e.pos").alias("pos"), F.min_by("e.confidence", "e.pos").alias("confidence"))
@@ -147,9 +152,11 @@ def projects(texts: DataFrame, mentions: DataFrame, **patterns) -> DataFrame:
 def decisions(texts: DataFrame, patterns: Sequence[tuple[str, str]] = V.DECISION_PATTERNS, reason: str = V.REASON_PATTERN,
               flags: str = "(?i)") -> DataFrame:
     """Decision statements, once per text and wording, with the reason the text gives (EX-07)."""
-    parts = [F.transform(_matches(F.col("text"), p, flags), lambda m, j, s=status, n=i: F.struct(
-        _tidy(m).alias("decision"), F.lit(s).alias("status"), (F.lit(1_000_000 * n) + j).cast("long").alias("pos")))
-        for i, (status, p) in enumerate(patterns)]
+    def by_pattern(n: int, status: str, pattern: str) -> Column:
+        return F.transform(_matches(F.col("text"), pattern, flags), lambda m, j: F.struct(
+            _tidy(m).alias("decision"), F.lit(status).alias("status"), _at(n, j).alias("pos")))
+
+    parts = [by_pattern(i, *rule) for i, rule in enumerate(patterns)]
     why = F.trim(F.regexp_extract("text", reason, 1))
     rows = texts.select("user_id", "text_id", "ts", F.when(why != "", why).alias("reason"), F.explode(F.concat(*parts)).alias("d")).filter(F.col("d.decision") != "")
     return (rows.groupBy("user_id", "text_id", "ts", "reason", F.lower("d.decision").alias("_k"))
