@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["texts", "relevance", "lifecycles", "graphs", "reports", "extraction", "composites"]
+FAMILIES = ["texts", "relevance", "lifecycles", "graphs", "reports", "extraction", "composites", "streams"]
 
 
 def _load() -> None:

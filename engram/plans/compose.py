@@ -148,7 +148,7 @@ def compose(memories: DataFrame, understood: DataFrame, traits: DataFrame, conce
             expectations=V.TOPIC_EXPECTATIONS, flags: str = T.ANY_CASE) -> Composed:
     """Score, settle contradictions, compress, describe and rate the context of every query (P-04)."""
     useful, scored = scored_candidates(memories, understood, traits, concepts, as_of, weights)
-    useful, scored = cut(useful), cut(scored)
+    useful = cut(useful)
     pool = candidate_pool(memories)
     lost = cut(conflict_losers(pool, as_of, buckets))
     # a row loses for a query only if the row it lost to is also among that query's candidates

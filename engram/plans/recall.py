@@ -14,6 +14,7 @@ from engram.operators import packing as K
 from engram.operators import pairs as PR
 from engram.operators import retrieval as RT
 from engram.operators import utility as UT
+from engram.session import cut
 from engram.sources.store import retrieval_log
 
 
@@ -71,6 +72,8 @@ def scored_candidates(memories: DataFrame, understood: DataFrame, traits: DataFr
     """(useful rows per query without near copies, all scored rows)."""
     pool = UT.candidate_pool(memories)
     scored = UT.score_utility(pool, understood, traits, concepts, as_of, weights)
+    # scoring is the costly step and three later stages read it, so it is written out once
+    scored = cut(scored)
     useful = scored.filter(F.round("utility_score", 12) >= min_utility)
     near = PR.word_pairs(pool.withColumn("_w", T.word_set(F.col("content"))), ["user_id"], "memory_id", "_w", V.DEDUP_AT)
     return K.drop_near_copies(useful, near, ["query_id"], "memory_id", "utility_score"), scored
@@ -81,7 +84,7 @@ def predictive_recall(memories: DataFrame, understood: DataFrame, traits: DataFr
                       min_utility: float = V.MIN_UTILITY) -> DataFrame:
     """The rows worth sending for each query, ranked (P-03)."""
     useful, _ = scored_candidates(memories, understood, traits, concepts, as_of, weights, min_utility)
-    costed = useful.withColumn("token_cost", T.budget_tokens(F.coalesce("summary", "content")))
+    costed = cut(useful.withColumn("token_cost", T.budget_tokens(F.coalesce("summary", "content"))))
     return rank_selected(K.optimize_budget(costed, "query_id", "memory_id", budget))
 
 

@@ -30,7 +30,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; only a local master may fall back to a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -52,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     Lineage ends there, so a lost executor costs one stage, and the planner sees real sizes
     for the joins that follow.
     """
-    path = f"{_shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
