@@ -90,8 +90,9 @@ def health_report(memories: DataFrame, concepts: DataFrame, concept_density: Dat
         F.avg(strength).alias("average_strength"),
         F.coalesce(F.avg(F.when(active, strength)), F.lit(0.0)).alias("average_strength_active"),
         F.avg(F.coalesce("decay_rate", F.lit(0.0))).alias("average_decay"))
-    idle = base.filter("active_memories = 0").select("user_id")
-    measured = memories.filter(active).unionByName(memories.join(idle, "user_id", "left_semi"))
+    measured = (memories.join(base.select("user_id", "active_memories"), "user_id").filter(active | (F.col("active_memories") == 0))
+                .select("user_id", "memory_id", "memory_type", "content", "cognitive_state", "memory_strength"))
+    measured = cut(measured)
     entropy = store_entropy(measured, concepts, buckets).select("user_id", "redundancy", "entropy_score")
     graph = (base.select("user_id").join(concept_density.select("user_id", F.col("density").alias("_c")), "user_id", "left")
              .join(trait_density.select("user_id", F.col("density").alias("_t")), "user_id", "left")

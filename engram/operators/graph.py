@@ -162,7 +162,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
         # every neighbour above a node is linked to the smallest id around it
         ways = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # every smaller neighbour and the node itself are linked to the smallest of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

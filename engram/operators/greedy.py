@@ -16,20 +16,18 @@ def losers(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     row that has no undecided predecessor, so rounds grow with the longest chain of
     decisions, not with the group; a hot group of copies ends in one round.
     """
-    edges = cut(pairs.select("first", "second", "rank"))
-    decided = None
+    every = cut(pairs.select("first", "second", "rank"))
+    edges, gone_all = every, None
     for _ in range(max_rounds):
         if edges.isEmpty():
             break
         taken = edges.select("first").distinct().join(edges.select(F.col("second").alias("first")).distinct(), "first", "left_anti")
-        lost = cut(edges.join(taken, "first").groupBy(F.col("second").alias("loser"))
-                   .agg(F.min_by("first", F.struct("rank", "first")).alias("winner")))
-        decided = lost if decided is None else decided.unionByName(lost)
-        gone = lost.select(F.col("loser").alias("second"))
+        gone = cut(edges.join(taken, "first", "left_semi").select("second").distinct())
+        gone_all = gone if gone_all is None else gone_all.unionByName(gone)
         edges = cut(edges.join(gone, "second", "left_anti")
                     .join(gone.withColumnRenamed("second", "first"), "first", "left_anti"))
     else:
         raise RuntimeError(f"pairs not settled after {max_rounds} rounds")
-    if decided is None:
-        return pairs.select(F.col("second").alias("loser"), F.col("first").alias("winner")).limit(0)
-    return decided
+    kept = every if gone_all is None else every.join(gone_all.withColumnRenamed("second", "first"), "first", "left_anti")
+    return (kept.groupBy(F.col("second").alias("loser"))
+            .agg(F.min_by("first", F.struct("rank", "first")).alias("winner")))

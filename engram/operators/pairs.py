@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from engram import vocab as V
 from engram.functions import text as T
+from engram.session import cut
 
 POSTINGS_PER_TASK = 4000
 VECTORS_PER_BLOCK = 1024
@@ -29,7 +30,8 @@ def word_pairs(sets: DataFrame, keys: Sequence[str], id_col: str, words: str, th
     if measure not in ("jaccard", "overlap"):
         raise ValueError(f"unknown measure {measure}")
     keys = list(keys)
-    base = sets.select(*keys, F.col(id_col).alias("id"), F.col(words).alias("words"), F.size(words).alias("n")).filter("n > 0")
+    # read four times below; written once so that texts are scanned and split only once
+    base = cut(sets.select(*keys, F.col(id_col).alias("id"), F.col(words).alias("words"), F.size(words).alias("n")).filter("n > 0"))
     postings = base.select(*keys, "id", "n", F.explode("words").alias("word"))
     spread = postings.groupBy(*keys, "word").agg(F.count("*").alias("df"))
     position = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("df", "word"))
