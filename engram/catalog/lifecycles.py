@@ -93,10 +93,10 @@ def sc_47(t):
     return t.memories_v.select("memory_id", state.alias("new_state"), r6(strength).alias("new_strength"))
 
 
-@query("sc_48", "SELECT memory_id, ROUND(COALESCE(memory_strength, 0.5) * POW(1.0 - decay_rate, memory_id % 9), 8) AS new_strength FROM memories_v")
+@query("sc_48", "SELECT memory_id, ROUND(COALESCE(memory_strength, 0.5) * POW(1.0 - decay_rate, memory_id % 9), 10) AS new_strength FROM memories_v")
 def sc_48(t):
     value = L.decayed_steps(F.coalesce("memory_strength", F.lit(0.5)), F.col("decay_rate"), F.col("memory_id") % 9)
-    return t.memories_v.select("memory_id", F.round(value, 8).alias("new_strength"))
+    return t.memories_v.select("memory_id", F.round(value, 10).alias("new_strength"))
 
 
 _TARGET = "CASE CAST(memory_id % 7 AS INT) " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(V.STATES)) + " END"

@@ -250,16 +250,17 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength", ma
     order of distance, and dependencies flow back. Rounds stop when nothing changes.
     """
     e = edges.groupBy("user_id", "src", "dst").agg(F.min(F.round(weight, 9)).alias("w"))
-    dist = nodes.select("user_id", F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(0.0).alias("d"), F.lit(0).alias("hops"))
-    for i in range(max_hops):
-        longer = dist.join(e.withColumnRenamed("src", "t"), ["user_id", "t"]).select(
-            "user_id", "s", F.col("dst").alias("t"), F.round(F.col("d") + F.col("w"), 9).alias("d"), (F.col("hops") + 1).alias("hops"))
-        merged = dist.unionByName(longer).groupBy("user_id", "s", "t").agg(F.min(F.struct("d", "hops")).alias("b"))
-        new = cut(merged.select("user_id", "s", "t", "b.d", "b.hops"))
-        if i and new.join(dist, ["user_id", "s", "t", "d"], "left_anti").isEmpty():
-            dist = new
+    keys = ["user_id", "s", "t"]
+    dist = nodes.select("user_id", F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(0.0).alias("d"))
+    e, front = cut(e), dist
+    for _ in range(max_hops):
+        # only pairs that improved in the last round can improve others
+        longer = (front.join(e.withColumnRenamed("src", "t"), ["user_id", "t"])
+                  .groupBy("user_id", "s", F.col("dst").alias("t")).agg(F.min(F.round(F.col("d") + F.col("w"), 9)).alias("d")))
+        front = cut(longer.join(dist.withColumnRenamed("d", "_d"), keys, "left").filter(F.col("_d").isNull() | (F.col("d") < F.col("_d"))).drop("_d"))
+        if front.isEmpty():
             break
-        dist = new
+        dist = cut(dist.join(front.select(*keys), keys, "left_anti").unionByName(front))
     a = dist.select("user_id", "s", F.col("t").alias("src"), F.col("d").alias("da"))
     b = dist.select("user_id", "s", F.col("t").alias("dst"), F.col("d").alias("db"))
     tight = cut(a.join(e, ["user_id", "src"]).join(b, ["user_id", "s", "dst"])
