@@ -10,12 +10,10 @@ from engram.catalog.extraction import DECISIONS, LOW_SIMILARITY, PATTERNS, PROJE
 from engram.catalog.registry import query, r6
 from engram.catalog.relevance import CASE, GAPS, GOALS, KNOWLEDGE, RANKED_SQL, understood, useful
 from engram.catalog.reports import TRAIT_QUERY_WORDS
-from engram.catalog.texts import BUCKETS, LEX, WITH_IMPORTANCE, scored
+from engram.catalog.texts import BUCKETS, LEX, WITH_IMPORTANCE
 from engram.catalog.views import as_of, world_as_of
 from engram.functions import quality as Q
-from engram.functions import scoring as S
 from engram.functions import text as T
-from engram.operators import graph as G
 from engram.plans import compose as CO
 from engram.plans import consolidation as CS
 from engram.plans import evolution as EV

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from engram import vocab as V
 from engram.catalog.lifecycles import FLT02_SQL
 from engram.catalog.registry import query, r6
-from engram.catalog.relevance import edge, near_copies
-from engram.catalog.texts import BUCKETS, GROUPS, _STOP, case_sql, hit_sql
+from engram.catalog.texts import BUCKETS, GROUPS, _STOP
 from engram.catalog.views import as_of
 from engram.functions import text as T
 from engram.operators import analytics as A
@@ -16,7 +15,6 @@ from engram.operators import clusters as C
 from engram.operators import eligibility as E
 from engram.operators import entropy as N
 from engram.operators import extract as X
-from engram.operators import graph as G
 from engram.operators import pairs as PR
 
 VOCABULARY = {"technology": {"ring": "Ring", "hand": "Hand", "ringer": "Ring"}, "service": {"eaux": "Eaux"}}

@@ -77,7 +77,6 @@ def test_weak_active_row_remains_because_archiving_is_illegal(spark):
 
 
 def test_identity_decays_slower_than_small_talk(memories, as_of):
-    from engram.operators.memberships import membership_flags  # noqa: F401
     from engram.plans.evolution import effective_rate
     df = memories({"memory_type": "identity", "last_accessed": days_ago(60)}, {"memory_type": "episodic", "importance_score": 0.1, "last_accessed": days_ago(60)})
     df = df.withColumns({"in_concept": F.lit(False), "in_identity": F.lit(False)})

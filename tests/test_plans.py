@@ -6,7 +6,6 @@ import datetime as dt
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import AS_OF, days_ago
 from engram.operators import analytics as A
