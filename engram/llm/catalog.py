@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe
+from engram.llm import bitsliced, bpe, crosspolytope, ring
 from engram.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,24 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op1_bit_sliced_top_k", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+               WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op1_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", bitsliced.every(50), 5)
+
+
+@query("op9_cross_polytope")
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", crosspolytope.every(50), 5)
+
+
+@query("op2_bounded_load_ring")
+def op2_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.assign(table(spark, sf_dir, "documents"), 40)
