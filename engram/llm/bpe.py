@@ -30,7 +30,9 @@ from engram.llm.common import lists, slices
 
 CHUNK, OVERLAP = 32_768, 2_048
 #: Distinct pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Ids that are decoded at a time.
+DECODED = 1 << 18
 
 
 class Codec:
@@ -131,13 +133,19 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for batch in batches:
-            column = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-            raw = b"".join(map(c.bytes.__getitem__, flat.tolist()))
-            at = np.concatenate([[0], np.cumsum(c.lengths[flat])])[np.concatenate([[0], ends]).astype(np.int64)]
-            data = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, out])
+        for whole in batches:
+            counts = np.cumsum(np.nan_to_num(whole.column(ids).value_lengths().to_numpy(zero_copy_only=False).astype(float)))
+            # a row belongs to the slice its last id falls in, so a slice holds about DECODED ids or one longer row
+            for rows in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(counts // DECODED)) + 1):
+                if not len(rows):
+                    continue
+                batch = whole.slice(rows[0], len(rows))
+                column = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+                raw = b"".join(map(c.bytes.__getitem__, flat.tolist()))
+                at = np.concatenate([[0], np.cumsum(c.lengths[flat])])[np.concatenate([[0], ends]).astype(np.int64)]
+                data = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, BinaryType())]))
