@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bitsliced, bpe, crosspolytope, ring
+from engram.llm import bitsliced, bpe, crosspolytope, linededup, ring
 from engram.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,9 +36,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op1_bit_sliced_top_k", """
-    WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
-               WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+               WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
@@ -54,3 +54,20 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_bounded_load_ring")
 def op2_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(table(spark, sf_dir, "documents"), 40)
+
+
+LINE_KEY = "trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("op6_line_dedup", f"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    k AS (SELECT doc_id, unnest(list_distinct(list_transform(ls, lambda x: {LINE_KEY}))) AS line_key FROM d),
+    hot AS (SELECT line_key, max(doc_id) AS last FROM k WHERE length(line_key) >= 20 GROUP BY line_key HAVING count(*) >= 3),
+    g AS (SELECT doc_id, list(line_key) AS gone FROM k JOIN hot USING (line_key) WHERE doc_id <> last GROUP BY doc_id),
+    r AS (SELECT doc_id, len(ls) AS n_lines, CASE WHEN gone IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(gone, {LINE_KEY})) END AS kept
+          FROM d LEFT JOIN g USING (doc_id))
+    SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - len(kept) AS BIGINT) AS n_dropped,
+      sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM r""")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -77,10 +77,10 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, search: Search, score: st
     parts = max(1, n_blocks // 2)
     left = blocks.withColumn("part", F.expr(f"pmod(xxhash64(keys), {parts})"))
     right = (asked.withColumns({"q_keys": F.col("keys"), "q_data": F.col("data")})
-             .select("dim", "q_keys", "q_data", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("part")))
+             .select("dim", "q_keys", "q_data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")))
     # each block meets each chunk; both are few, large rows
     right = right.withColumn("chunk", F.expr(f"pmod(xxhash64(q_keys), {n_chunks})"))
-    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).withColumn("chunk", F.col("chunk").cast("long"))
+    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
     met = left.join(right, ["part", "chunk", "dim"]).select("dim", "keys", "data", "q_keys", "q_data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
