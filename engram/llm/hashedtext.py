@@ -43,11 +43,11 @@ class Memory(dict):
 
 
 def fit(rows: DataFrame, label: str, text: str, tokens: Callable[[], Tokens], features: Callable[[], Features], grades: int,
-        scaled: bool, rounds: int = 150, l2: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
+        scaled: bool, emphasis: float = 1.0, rounds: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of P(grade > j) = sigmoid(score - threshold j), from a bounded number of rows.
 
     A token counts once a document, times 1 / sqrt(tokens) if ``scaled``; the second set that ``tokens`` gives is never
-    scaled. Without rows, or with one grade only, the weights are 0 and the thresholds follow the smoothed shares.
+    scaled. Rows above the lowest grade weigh ``emphasis``. Without rows, or with one grade only, the weights are 0 and the thresholds follow the smoothed shares.
     """
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, of = tokens(), features()
@@ -81,19 +81,19 @@ def fit(rows: DataFrame, label: str, text: str, tokens: Callable[[], Tokens], fe
         above = y[:, None] > np.arange(grades - 1)[None, :]
         shares = (above.sum(axis=0) + 1) / (len(y) + 2)
         theta = np.log((1 - shares) / shares)
-        w = np.zeros(len(used))
+        w, stress = np.zeros(len(used)), np.where(y > 0, emphasis, 1.0)
         if len(np.unique(y)) > 1:
             m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(theta), np.zeros_like(theta)
             for i in range(1, rounds + 1):
                 score = np.bincount(doc, values * w[ids], len(y))
-                miss = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -30, 30))) - above
+                miss = (1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -30, 30))) - above) * stress[:, None]
                 g = np.bincount(ids, values * miss.sum(axis=1)[doc], len(used)) / len(y) + l2 * w
                 gt = -miss.mean(axis=0)
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 mt, vt = 0.9 * mt + 0.1 * gt, 0.999 * vt + 0.001 * gt * gt
                 fix, fix2 = 1 - 0.9**i, 1 - 0.999**i
-                w -= 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-                theta = np.maximum.accumulate(theta - 0.05 * (mt / fix) / (np.sqrt(vt / fix2) + 1e-8))
+                w -= 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
+                theta = np.maximum.accumulate(theta - 0.1 * (mt / fix) / (np.sqrt(vt / fix2) + 1e-8))
         out = np.zeros(WIDTH, np.float32)
         out[used] = w
         return pa.table({"weights": pa.array([out.tobytes()], pa.binary()), "thresholds": pa.array([theta.tolist()], pa.list_(pa.float64()))})

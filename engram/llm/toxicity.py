@@ -153,7 +153,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     model = language_model(docs, text)
     picked = F.broadcast(sample(labels, label_key, F.col(toxic), sampled))  # at most ``sampled`` rows of two numbers
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(picked, "key")
-    weights, thresholds = fit(rows, "label", "text", lambda: tokens, lambda: features_of(model), 2, scaled=False)
+    weights, thresholds = fit(rows, "label", "text", lambda: tokens, lambda: features_of(model), 2, scaled=False, emphasis=3.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(weights, tokens, features_of(model), scaled=False)
