@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engram.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,3 +65,20 @@ def ranked(df: DataFrame, group: str, cells: Column, order: list[str], name: str
     inside = df.withColumn("_row", F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order)))
     keyed = inside.join(before.withColumnsRenamed({group: "_g", "_cell": "_c"}), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_c")))
     return keyed.withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_cell", "_row", "_before", "_g", "_c")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of ``links`` (a, b) reaches.
+
+    Each round joins every node to its smallest smaller neighbour and carries the remaining links over to what the ends
+    were joined to. Minima are combined before the shuffle, joined nodes leave the links, and it ends when no link is left.
+    """
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    labels = edges.select(F.col("hi").alias("node")).unionByName(edges.select(F.col("lo").alias("node"))).distinct().withColumn("component", F.col("node"))
+    while not edges.isEmpty():
+        up = cut(edges.groupBy("hi").agg(F.min("lo").alias("to")))
+        labels = cut(labels.join(up.withColumnRenamed("hi", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        left = edges.join(up, "hi").where("lo <> to").select(F.col("to").alias("a"), "lo")
+        moved = left.join(up.select(F.col("hi").alias("lo"), F.col("to").alias("lower")), "lo", "left").select("a", F.coalesce("lower", "lo").alias("b"))
+        edges = cut(moved.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    return labels
