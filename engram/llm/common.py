@@ -70,15 +70,22 @@ def ranked(df: DataFrame, group: str, cells: Column, order: list[str], name: str
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``links`` (a, b) reaches.
 
-    Each round joins every node to its smallest smaller neighbour and carries the remaining links over to what the ends
-    were joined to. Minima are combined before the shuffle, joined nodes leave the links, and it ends when no link is left.
+    Nodes go by a hash, which puts them in random order. Each round every node points to its smallest smaller neighbour,
+    pointers are followed to their ends, which lie few steps away in a random order, and the links are carried over to the
+    ends. Minima are combined before the shuffle; it ends when no link is left.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    labels = edges.select(F.col("hi").alias("node")).unionByName(edges.select(F.col("lo").alias("node"))).distinct().withColumn("component", F.col("node"))
+    named = links.where("a <> b").select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"), "a", "b")
+    nodes = cut(named.select(F.col("x").alias("id"), F.col("a").alias("node")).unionByName(named.select(F.col("y").alias("id"), F.col("b").alias("node"))).distinct())
+    edges = cut(named.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
+    labels = nodes.withColumn("root", F.col("id"))
     while not edges.isEmpty():
         up = cut(edges.groupBy("hi").agg(F.min("lo").alias("to")))
-        labels = cut(labels.join(up.withColumnRenamed("hi", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        while not up.join(up.select(F.col("hi").alias("to")), "to", "left_semi").isEmpty():
+            further = up.select(F.col("hi").alias("to"), F.col("to").alias("further"))
+            up = cut(up.join(further, "to", "left").select("hi", F.coalesce("further", "to").alias("to")))
+        labels = cut(labels.join(up.withColumnRenamed("hi", "root"), "root", "left").select("id", "node", F.coalesce("to", "root").alias("root")))
         left = edges.join(up, "hi").where("lo <> to").select(F.col("to").alias("a"), "lo")
         moved = left.join(up.select(F.col("hi").alias("lo"), F.col("to").alias("lower")), "lo", "left").select("a", F.coalesce("lower", "lo").alias("b"))
         edges = cut(moved.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    return labels
+    smallest = labels.groupBy("root").agg(F.min("node").alias("component"))
+    return labels.join(smallest, "root").select("node", "component")
