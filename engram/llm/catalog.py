@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bitsliced, bpe, crosspolytope, linededup, minhash, ring, toxicity
+from engram.llm import bitsliced, bpe, crosspolytope, linededup, minhash, ring, suffixes, toxicity
 from engram.llm.common import table
 from engram.llm.hashedtext import held_out
 
@@ -84,3 +84,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_bottom_k_near_dedup")
 def op4_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bucket_pointer_dedup")
+def op3_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
