@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bitsliced, bpe, crosspolytope, linededup, minhash, ring, suffixes, toxicity
+from engram.llm import bitsliced, bpe, crosspolytope, linededup, minhash, mixing, quality, ring, suffixes, toxicity
 from engram.llm.common import table
 from engram.llm.hashedtext import held_out
 
@@ -90,3 +90,16 @@ def op4_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_pfair_mix")
+def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query("op7_ordinal_quality")
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    graded = quality.with_grades(docs, labels, F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2), 3)
+    return graded.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", "kept")
