@@ -52,7 +52,7 @@ def _sets(docs: DataFrame, words: int, k: int) -> DataFrame:
     """(doc_id, text_key, node, n, sketch) per row; node is a hash of the set, null for an empty one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 19):
                 sets = shingle_sets(batch.column("text"), words)
                 node = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
                 sketch = [s[:k].view(np.int64) for s in sets]
@@ -67,7 +67,7 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, full): the whole set as 64-bit numbers in rising order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 19):
                 sets = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s) - 2**63 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "full"])
 
@@ -89,29 +89,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+class _Members:
+    """One side of many block pairs: members in a row, where each pair's begin, and where each member's sketch begins."""
+
+    def __init__(self, column: pa.ListArray) -> None:
+        self.at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        rows = column.flatten()
+        self.node, self.n, self.component = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component"))
+        sketch = rows.field("sketch")
+        self.sketch_at = np.concatenate([[0], np.cumsum(sketch.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.values = sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def sketches(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.sketch_at[a:b + 1]
+        return self.values[at[0]:at[-1]], np.diff(at)
+
+    def sketch(self, i: int) -> np.ndarray:
+        return self.values[self.sketch_at[i]:self.sketch_at[i + 1]]
+
+
 def _in_blocks(blocks: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of different components in a pair of blocks that size and union sketch do not rule out."""
     least = needed(k, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            left, right = _Members(batch.column("left")), _Members(batch.column("right"))
             out: set[tuple[int, int]] = set()
-            for same, left, right in zip(*(batch.column(c).to_pylist() for c in ("same", "left", "right")), strict=True):
-                for i, p in enumerate(left):
-                    for q in left[i + 1:] if same else right:
-                        small, large = sorted((p["n"], q["n"]))
-                        if p["component"] == q["component"] or 100 * small < percent * large:
+            for row, same in enumerate(batch.column("same").to_pylist()):
+                a, b = left.at[row], left.at[row + 1]
+                other = left if same else right
+                c, d = other.at[row], other.at[row + 1]
+                small, large = np.minimum.outer(left.n[a:b], other.n[c:d]), np.maximum.outer(left.n[a:b], other.n[c:d])
+                fits = np.not_equal.outer(left.component[a:b], other.component[c:d]) & (100 * small >= percent * large)
+                if same:
+                    fits = np.triu(fits, 1)
+                if not fits.any():
+                    continue
+                # common sketch values of all pairs at once
+                x, lx = left.sketches(a, b)
+                y, ly = other.sketches(c, d)
+                common, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
+                one, two = np.zeros((b - a, len(common)), np.float32), np.zeros((d - c, len(common)), np.float32)
+                one[np.repeat(np.arange(b - a), lx), codes[:len(x)]] = 1
+                two[np.repeat(np.arange(d - c), ly), codes[len(x):]] = 1
+                both = (one @ two.T).astype(np.int64)
+                whole = large <= k  # both sketches are the whole sets
+                fits &= np.where(whole, 100 * both >= percent * (small + large - both), both >= least)
+                for i, j in zip(*np.nonzero(fits), strict=True):
+                    if not whole[i, j]:
+                        p, q = left.sketch(a + i), other.sketch(c + j)
+                        if np.isin(np.union1d(p, q)[:k], np.intersect1d(p, q, assume_unique=True), assume_unique=True).sum() < least:
                             continue
-                        x, y = (np.array(z["sketch"], np.int64).view(np.uint64) for z in (p, q))
-                        union = np.union1d(x, y)
-                        both = np.intersect1d(x, y, assume_unique=True)
-                        if large <= k:
-                            near = 100 * len(both) >= percent * len(union)
-                        else:
-                            near = np.isin(union[:k], both, assume_unique=True).sum() >= least
-                        if near:
-                            out.add((min(p["node"], q["node"]), max(p["node"], q["node"])))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+                    p, q = int(left.node[a + i]), int(other.node[c + j])
+                    out.add((min(p, q), max(p, q)))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
