@@ -194,7 +194,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         start = gone.column("start").to_numpy()[order]
         stop = start + gone.column("count").to_numpy()[order] - 1 + length
         ids, first = np.unique(doc[order], return_index=True)
-        for i, a, b in zip(ids.tolist(), first, [*first[1:], len(order)], strict=True):
+        for i, a, b in zip(ids.tolist(), first, np.append(first, len(order))[1:], strict=True):
             by_doc[i] = [a, b]
         out: list[tuple] = []
         for doc_id, place, text in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "doc", "text")), strict=True):
