@@ -5,7 +5,9 @@ Two sets similar enough share a number of sketch values: all that the threshold
 at least ``needed(k)`` of them but for one link in 10^10. Hence
 
 1. values that one class alone holds say nothing, and a class with too few shared values has no partner;
-2. of the shared values of a class, rarest first, only as many enter the inverted lists that a partner must meet one of them;
+2. the classes left are taken with their full sets: a value that one of them alone holds is no overlap either, and the smaller of
+   two similar sets shares 2t / (1 + t) of its values with the larger, the larger t. A class short of both has no partner.
+   Of the shared values of the others, rarest first, only as many enter the inverted lists that two partners must meet there;
 3. members of a list are first held against one member each, twice, by exact Jaccard on the full sets, which joins large groups
    of copies with few comparisons;
 4. what still lies in different components of a list is compared in bounded blocks: union sketches give an estimate, and the
@@ -64,14 +66,22 @@ def _sets(docs: DataFrame, words: int, k: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, full): the whole set as 64-bit numbers in rising order."""
+    """(node, n, full): the whole set in rising order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 19):
-                sets = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s) - 2**63 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "full"])
+                sets = shingle_sets(batch.column("text"), words)
+                n = np.array([len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64()), pa.array(n, pa.int64()),
+                                                  lists(np.concatenate(sets).view(np.int64), n, pa.int64())], ["node", "n", "full"])
+
+    return docs.mapInArrow(run, "node long, n long, full array<long>")
 
-    return docs.mapInArrow(run, "node long, full binary")
+
+def _shared(members: DataFrame) -> DataFrame:
+    """(node, n, v, c): values that more than one node holds, and how many do."""
+    held = members.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return members.join(held, "v").select("node", "n", "v", "c")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -80,7 +90,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -96,6 +106,7 @@ class _Members:
         self.at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         rows = column.flatten()
         self.node, self.n, self.component = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component"))
+        self.small = rows.field("small").to_numpy(zero_copy_only=False).astype(bool)
         sketch = rows.field("sketch")
         self.sketch_at = np.concatenate([[0], np.cumsum(sketch.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         self.values = sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -121,7 +132,9 @@ def _in_blocks(blocks: DataFrame, k: int, percent: int) -> DataFrame:
                 other = left if same else right
                 c, d = other.at[row], other.at[row + 1]
                 small, large = np.minimum.outer(left.n[a:b], other.n[c:d]), np.maximum.outer(left.n[a:b], other.n[c:d])
-                fits = np.not_equal.outer(left.component[a:b], other.component[c:d]) & (100 * small >= percent * large)
+                led = np.where(np.less.outer(left.n[a:b], other.n[c:d]), left.small[a:b, None], np.where(
+                    np.greater.outer(left.n[a:b], other.n[c:d]), other.small[None, c:d], np.logical_or.outer(left.small[a:b], other.small[c:d])))
+                fits = led & np.not_equal.outer(left.component[a:b], other.component[c:d]) & (100 * small >= percent * large)
                 if same:
                     fits = np.triu(fits, 1)
                 if not fits.any():
@@ -159,14 +172,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     held = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # a set so small that all its partners are whole in their sketches shares what the threshold asks for
     wanted = F.when(100 * F.col("n") <= percent * k, F.expr(f"({percent} * n + 99) div 100")).otherwise(F.lit(needed(k, percent)))
-    shared = postings.join(held, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("held")).withColumn("wanted", wanted)
-    keys = cut(shared.where(F.size("held") >= F.col("wanted"))
-               .select("node", "n", F.explode(F.expr("slice(held, 1, cast(size(held) - wanted + 1 as int))")).alias("e")).select("node", "n", F.col("e.v").alias("v")))
-
-    open_ = keys.select("node").distinct()
+    open_ = postings.join(held, "v").groupBy("node", "n").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") >= wanted)
     needed_texts = classes.join(open_, "node", "left_semi").select("text_key").hint("shuffle_hash")
     sets = cut(_full_sets(docs.select("text_key", "text").join(needed_texts, "text_key", "left_semi").select("text"), words).dropDuplicates(["node"]))
 
+    members = cut(_shared(sets.select("node", "n", F.explode("full").alias("v"))))
+    fit = members.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n")).where(f"100 * h >= {percent} * n")
+    held = _shared(members.join(fit.select("node"), "node", "left_semi").select("node", "n", "v")).groupBy("node", "n").agg(
+        F.array_sort(F.collect_list(F.struct("c", "v"))).alias("held"))
+    as_larger = F.expr(f"size(held) - ({percent} * n + 99) div 100")
+    as_smaller = F.expr(f"size(held) - (2 * {percent} * n + {99 + percent}) div {100 + percent}")
+    keys = cut(held.withColumns({"larger": as_larger, "smaller": as_smaller}).where("larger >= 0")
+               .select("node", "n", "smaller", F.posexplode(F.expr("slice(held, 1, cast(larger + 1 as int))")).alias("nth", "e"))
+               .select("node", "n", F.col("e.v").alias("v"), (F.col("nth") <= F.col("smaller")).alias("small")))
+    # a list in which nobody can be the smaller partner holds no pair
+    keys = cut(keys.join(keys.groupBy("v").agg(F.max("small").alias("any"), F.count(F.lit(1)).alias("c")).where("any and c > 1").select("v"), "v", "left_semi"))
+    open_ = keys.select("node").distinct()
+
     links, labels = None, open_.withColumn("component", F.col("node"))
     for salt in (None, 1):
         # one member of each list stands for it: the smallest, then any
@@ -185,8 +207,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rest = (at.join(mixed.select("v", "c"), "v").join(classes.select("node", "sketch"), "node")
             .withColumn("blocks", F.expr(f"cast(1 + c div {block} as int)")).withColumn("own", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    side = F.when(F.col("own") <= F.col("other"), F.struct("node", "n", "component", "sketch"))
-    mate = F.when(F.col("own") > F.col("other"), F.struct("node", "n", "component", "sketch"))
+    side = F.when(F.col("own") <= F.col("other"), F.struct("node", "n", "component", "small", "sketch"))
+    mate = F.when(F.col("own") > F.col("other"), F.struct("node", "n", "component", "small", "sketch"))
     blocks = (rest.groupBy("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
               .agg(F.collect_list(side).alias("left"), F.collect_list(mate).alias("right"))
               .select((F.col("i") == F.col("j")).alias("same"), "left", "right"))
