@@ -19,6 +19,14 @@ def reach_sql(edges: str, depth: int, sources: str = "SELECT user_id, node_id FR
       near AS (SELECT user_id, source, node, MIN(depth) AS depth FROM walk GROUP BY user_id, source, node)"""
 
 
+def all_reach_sql(edges: str, sources: str = "SELECT user_id, node_id FROM nodes_v") -> str:
+    """The same without a depth: a node enters ``near`` once, when it is first reached."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT user_id, src, dst FROM ({edges})),
+      near(user_id, source, node, depth) USING KEY (user_id, source, node) AS (SELECT user_id, node_id, node_id, 0 FROM ({sources})
+        UNION SELECT w.user_id, w.source, e.dst, w.depth + 1 FROM near w JOIN e ON e.user_id = w.user_id AND e.src = w.node
+          WHERE NOT EXISTS (SELECT 1 FROM recurring.near r WHERE r.user_id = w.user_id AND r.source = w.source AND r.node = e.dst))"""
+
+
 def source_nodes(t):
     return t.nodes_v.select("user_id", "node_id")
 
@@ -49,10 +57,10 @@ def first_pairs(t):
     return t.nodes_v.select("user_id", F.col("node_id").alias("source")).join(first, "user_id")
 
 
-@query("g_03", reach_sql("SELECT * FROM edges_v", 4) + f""", first AS ({FIRST})
+@query("g_03", all_reach_sql("SELECT * FROM edges_v") + f""", first AS ({FIRST})
     SELECT n.user_id, source, target, depth FROM near n JOIN first f ON f.user_id = n.user_id AND f.target = n.node""")
 def g_03(t):
-    found = G.shortest_paths(first_pairs(t), t.edges_v, 4)
+    found = G.shortest_paths(first_pairs(t), t.edges_v)
     ok = F.size("path") == F.col("depth") + 1
     return found.filter(ok).select("user_id", "source", "target", "depth")
 
@@ -87,19 +95,13 @@ def g_05(t):
     return G.pagerank(t.nodes_v, t.edges_v, iterations=4).select("user_id", "node_id", r6("rank").alias("rank"))
 
 
-@query("g_06", """
-    WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT user_id, dst AS src, src AS dst FROM edges_v),
-      walk AS (SELECT user_id, node_id AS source, node_id AS node, 0 AS depth FROM nodes_v
-        UNION ALL SELECT w.user_id, w.source, e.dst, w.depth + 1 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, source, node) AS r FROM walk) w
-          JOIN e ON e.user_id = w.user_id AND e.src = w.node
-          WHERE w.r = 1 AND w.depth < 9),
-      near AS (SELECT user_id, source, node, MIN(depth) AS depth FROM walk GROUP BY user_id, source, node),
+@query("g_06", all_reach_sql("SELECT user_id, dst AS src, src AS dst FROM edges_v") + """,
       s AS (SELECT user_id, source, COUNT(*) AS k, SUM(depth) AS total FROM near WHERE depth > 0 GROUP BY user_id, source)
     SELECT n.user_id, n.node_id, ROUND(CASE WHEN s.k > 0 AND c.n > 1 THEN s.k / s.total * (s.k / (c.n - 1)) ELSE 0.0 END, 6) AS closeness
     FROM nodes_v n JOIN (SELECT user_id, COUNT(*) AS n FROM nodes_v GROUP BY user_id) c ON c.user_id = n.user_id
       LEFT JOIN s ON s.user_id = n.user_id AND s.source = n.node_id""")
 def g_06(t):
-    return G.closeness(t.nodes_v, t.edges_v, 9).select("user_id", "node_id", r6("closeness").alias("closeness"))
+    return G.closeness(t.nodes_v, t.edges_v).select("user_id", "node_id", r6("closeness").alias("closeness"))
 
 
 @query("g_06_betweenness")
@@ -146,10 +148,11 @@ def _importance_sql(depth: int) -> str:
     return "WITH " + ",\n".join(ctes) + f" SELECT user_id, source, node AS node_id, ROUND(SUM(value), 6) AS importance FROM ({union}) GROUP BY user_id, source, node"
 
 
-@query("g_09", _importance_sql(3))
+# a factor below 0.71 leaves nothing above 0.01 after fourteen hops
+@query("g_09", _importance_sql(14))
 def g_09(t):
     # a long factor keeps products off the midpoints that the two roundings treat apart
-    rows = G.spread_importance(strong(t), t.edges_v, factor=0.70710678, max_depth=3)
+    rows = G.spread_importance(strong(t), t.edges_v, factor=0.70710678)
     return rows.select("user_id", "source", "node_id", r6("importance").alias("importance"))
 
 
@@ -202,10 +205,10 @@ def g_15(t):
     return G.dependencies(source_nodes(t), t.edges_v, 3).select("user_id", "source", "node", "depth")
 
 
-@query("g_16", reach_sql(BOTH, 3) + f""", first AS ({FIRST})
+@query("g_16", all_reach_sql(BOTH) + f""", first AS ({FIRST})
     SELECT n.user_id, source, target, depth, depth AS n_hops FROM near n JOIN first f ON f.user_id = n.user_id AND f.target = n.node WHERE depth > 0""")
 def g_16(t):
-    hops = G.explain_paths(first_pairs(t), t.edges_v, 3)
+    hops = G.explain_paths(first_pairs(t), t.edges_v)
     return hops.groupBy("user_id", "source", "target", "depth").agg(F.count("relation").cast("int").alias("n_hops"))
 
 
@@ -239,11 +242,11 @@ def j_11(t):
     return blockers(t.nodes_v, t.edges_v).select("user_id", "blocker", "rank")
 
 
-@query("j_12", reach_sql("SELECT * FROM edges_v", 3, "SELECT user_id, node_id FROM nodes_v WHERE entity_type = 'project'") + """
+@query("j_12", all_reach_sql("SELECT * FROM edges_v", "SELECT user_id, node_id FROM nodes_v WHERE entity_type = 'project'") + """
     , pairs AS (SELECT n.user_id, COUNT(*) AS aligned FROM near n JOIN nodes_v v ON v.user_id = n.user_id AND v.node_id = n.node AND v.entity_type = 'technology' GROUP BY n.user_id),
     sizes AS (SELECT user_id, SUM(CAST(entity_type = 'technology' AS INT)) * SUM(CAST(entity_type = 'project' AS INT)) AS total FROM nodes_v GROUP BY user_id)
     SELECT s.user_id, COALESCE(aligned, 0) AS aligned_pairs, CAST(total AS BIGINT) AS total_pairs, ROUND(CASE WHEN total > 0 THEN COALESCE(aligned, 0) / total ELSE 0.0 END, 6) AS alignment_score
     FROM sizes s LEFT JOIN pairs p ON p.user_id = s.user_id""")
 def j_12(t):
-    rows = I.goal_interest_alignment(t.nodes_v.withColumnRenamed("entity_type", "node_type"), t.edges_v, "technology", "project", 3)
+    rows = I.goal_interest_alignment(t.nodes_v.withColumnRenamed("entity_type", "node_type"), t.edges_v, "technology", "project")
     return rows.select("user_id", "aligned_pairs", "total_pairs", r6("alignment_score").alias("alignment_score"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,86 +16,50 @@ from engram.operators.pairs import contradicts, vector_pairs, word_pairs
 from engram.session import cut
 from engram.sources.store import event_log, top_per_group
 
-MAX_GROUP = 2000
-
-
-def _conflict(a: set, b: set) -> bool:
-    shared = len(a & b)
-    return shared >= 2 and len(a) > shared and len(b) > shared and shared / min(len(a), len(b)) >= V.CONTRADICT_AT
-
-
-def _place(rows: list[tuple], threshold: float, exclude_conflicts: bool) -> list:
-    """Leader id per row: the first group whose pooled words the row overlaps enough."""
-    leaders: list = []
-    pooled: list[set] = []
-    members: list[list[set]] = []
-    out = []
-    for row_id, words in rows:
-        home = None
-        if words:
-            for i, pool in enumerate(pooled):
-                if not pool or len(words & pool) < threshold * min(len(words), len(pool)) - 1e-12:
-                    continue
-                if exclude_conflicts and any(_conflict(words, m) for m in members[i]):
-                    continue
-                home = i
-                break
-        if home is None:
-            leaders.append(row_id)
-            pooled.append(set(words))
-            members.append([words])
-            home = len(leaders) - 1
-        else:
-            pooled[home] |= words
-            members[home].append(words)
-        out.append(leaders[home])
-    return out
-
 
 def leader_clusters(df: DataFrame, keys: Sequence[str], id_col: str, words: str, threshold: float,
-                    exclude_conflicts: bool = False, order: str | None = None, min_size: int = 2,
-                    max_group: int = MAX_GROUP) -> DataFrame:
+                    exclude_conflicts: bool = False, order: str | None = None, min_size: int = 2) -> DataFrame:
     """(keys, id, cluster_id) of groups found by taking rows in order (C-04 … C-06).
 
-    A row joins the first group it overlaps by at least ``threshold`` (overlap coefficient),
-    else it leads a new one; ``cluster_id`` is the leader. Up to ``max_group`` rows the words of
-    a group pool as it grows, which is inherently sequential and runs in one bounded task. A
-    larger group is settled over its pair list instead: leaders are the rows without an
-    earlier overlapping leader, everyone else joins the earliest leader it overlaps.
+    A leader is a row without an earlier leader that it overlaps by at least ``threshold`` (overlap coefficient); every other
+    row joins the earliest leader it overlaps, and ``cluster_id`` is the leader. With ``exclude_conflicts`` a row never joins
+    a group that holds an earlier row it contradicts: it goes on to the next leader it overlaps, or leads. The rule is
+    the same for a group of any size and is settled over the list of overlapping pairs.
     """
     keys, order = list(keys), order or id_col
-    rows = df.select(*keys, F.col(id_col).alias("id"), F.col(order).alias("ord"), F.col(words).alias("words"))
-    types = dict(rows.dtypes)
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "id"], kind="stable")
-        found = _place([(i, set(w)) for i, w in zip(pdf["id"], pdf["words"])], threshold, exclude_conflicts)
-        return pdf.assign(cluster_id=found)[[*keys, "id", "cluster_id"]]
-
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", id {types['id']}, cluster_id {types['id']}"
-    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_group).select(*keys)
-    if large.isEmpty():
-        placed = rows.groupBy(*keys).applyInPandas(place, schema)
-    else:
-        small = rows.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(place, schema)
-        placed = small.unionByName(_clusters_over_pairs(rows.join(large, keys, "left_semi"), keys, threshold, exclude_conflicts))
-    sizes = placed.groupBy(*keys, "cluster_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
-    return placed.join(sizes.drop("_n"), [*keys, "cluster_id"], "left_semi").withColumnRenamed("id", id_col)
-
-
-def _clusters_over_pairs(rows: DataFrame, keys: list[str], threshold: float, exclude_conflicts: bool) -> DataFrame:
+    every = df.select(*keys, F.col(id_col).alias("id"), F.col(order).alias("ord"), F.array_sort(F.coalesce(words, F.array())).alias("words"))
+    # rows with the same words share one fate, that of the first of them
+    first = every.filter(F.size("words") > 0).groupBy(*keys, "words").agg(F.min(F.struct("ord", "id")).alias("_f"))
+    rows = cut(first.select(*keys, F.col("_f.id").alias("id"), F.col("_f.ord").alias("ord"), "words"))
     pairs = word_pairs(rows, keys, "id", "words", threshold, "overlap")
-    if exclude_conflicts:
-        pairs = pairs.filter(~(contradicts() & (F.col("score") >= V.CONTRADICT_AT)))
-    at = rows.select("id", "ord")
-    both = (pairs.join(at.select(F.col("id").alias("id_a"), F.col("ord").alias("ord_a")), "id_a")
-            .join(at.select(F.col("id").alias("id_b"), F.col("ord").alias("ord_b")), "id_b"))
+    at = rows.select(*keys, "id", "ord")
+    both = (pairs.join(at.select(*keys, F.col("id").alias("id_a"), F.col("ord").alias("ord_a")), [*keys, "id_a"])
+            .join(at.select(*keys, F.col("id").alias("id_b"), F.col("ord").alias("ord_b")), [*keys, "id_b"]))
+    # a row is known by its keys and id together
+    name = lambda c: F.struct(*keys, F.col(c).alias("id"))
     a_first = F.struct("ord_a", "id_a") < F.struct("ord_b", "id_b")
-    ordered = both.select(F.when(a_first, F.col("id_a")).otherwise(F.col("id_b")).alias("first"),
-                          F.when(a_first, F.col("id_b")).otherwise(F.col("id_a")).alias("second"),
-                          F.least("ord_a", "ord_b").alias("rank"))
-    joined = losers(ordered).select(F.col("loser").alias("id"), F.col("winner").alias("_leader"))
-    return rows.join(joined, "id", "left").select(*keys, "id", F.coalesce("_leader", "id").alias("cluster_id"))
+    ordered = both.select(F.when(a_first, name("id_a")).otherwise(name("id_b")).alias("first"),
+                          F.when(a_first, name("id_b")).otherwise(name("id_a")).alias("second"), F.least("ord_a", "ord_b").alias("rank"),
+                          (contradicts() & (F.col("score") >= V.CONTRADICT_AT)).alias("_against"))
+    ordered = cut(ordered) if exclude_conflicts else ordered
+    open_ = ordered.filter("not _against").select("first", "second", "rank") if exclude_conflicts else ordered.select("first", "second", "rank")
+    joined = losers(open_)
+    while exclude_conflicts:
+        # two rows of one group that contradict each other: the later one is turned away from that leader
+        joined, against = cut(joined), ordered.filter("_against")
+        own = joined.select(F.col("loser").alias("second"), F.col("winner").alias("leader"))
+        near = own.join(against, "second").join(joined.select(F.col("loser").alias("first"), F.col("winner").alias("_l")), "first")
+        clash = near.filter(F.col("leader") == F.col("_l")).select(F.struct("leader", F.col("first").alias("row")).alias("first"), F.struct("leader", F.col("second").alias("row")).alias("second"), "rank")
+        turned = cut(losers(clash).select(F.col("loser.leader").alias("first"), F.col("loser.row").alias("second")))
+        if turned.isEmpty():
+            break
+        open_ = cut(open_.join(turned, ["first", "second"], "left_anti"))
+        joined = losers(open_)
+    joined = joined.select(F.col("loser.id").alias("id"), *[F.col(f"loser.{k}").alias(k) for k in keys], F.col("winner.id").alias("_leader"))
+    led = rows.join(joined, [*keys, "id"], "left").select(*keys, "words", F.coalesce("_leader", "id").alias("_leader"))
+    placed = every.join(led, [*keys, "words"], "left").select(*keys, "id", F.coalesce("_leader", "id").alias("cluster_id"))
+    sizes = placed.groupBy(*keys, "cluster_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
+    return placed.join(sizes.drop("_n"), [*keys, "cluster_id"], "left_semi").withColumnRenamed("id", id_col)
 
 
 # ---- duplicates ----------------------------------------------------------------

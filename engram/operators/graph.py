@@ -87,8 +87,8 @@ def related_concepts(sources: DataFrame, edges: DataFrame, depth: int = 2, limit
     return top_per_group(nearest.drop("_r"), ["user_id", "source"], [F.desc("strength"), F.col("node")], limit)
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 6, undirected: bool = False) -> DataFrame:
-    """One shortest path per (user_id, source, target), absent when out of reach (G-03)."""
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None, undirected: bool = False) -> DataFrame:
+    """One shortest path per (user_id, source, target), absent when there is none (G-03)."""
     steps = both_ways(edges) if undirected else edges
     starts = pairs.select("user_id", F.col("source").alias("node_id")).distinct()
     found = reach(starts, steps, max_depth, with_path=True).withColumnRenamed("node", "target")
@@ -107,7 +107,7 @@ def simple_paths(sources: DataFrame, edges: DataFrame, max_hops: int = 3) -> Dat
     return out.withColumnRenamed("node", "target")
 
 
-def explain_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
+def explain_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Hops of the shortest undirected path, with relation, direction and strength (G-16)."""
     paths = shortest_paths(pairs, edges, max_depth, undirected=True).filter("depth > 0")
     hops = paths.select("user_id", "source", "target", "depth",
@@ -148,35 +148,29 @@ def ego_graph(centers: DataFrame, edges: DataFrame, radius: int = 2, undirected:
 
 
 # ---- components ------------------------------------------------------------------
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, component) with the smallest member as label (G-10).
 
-    Alternating star contraction: rounds grow with the logarithm of the size, and each
-    round first takes minima per node, so a hub is combined before it is shuffled.
-    ``edges`` holds (src, dst); ids must be unique across users. ``vertices`` (id) adds lone nodes.
+    Ids are ordered by a hash first. In each round every node points to its least neighbour below it, pointers are followed
+    to their ends, which lie few steps away in a random order, and the edges are carried over to the ends. Minima are
+    combined before the shuffle, joined nodes leave the edges, and it ends when no edge is left. ``edges`` holds (src, dst);
+    ids must be unique across users. ``vertices`` (id) adds lone nodes.
     """
-    pairs = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    pairs = cut(pairs)
-    mark = None
-    for _ in range(max_rounds):
-        # every neighbour above a node is linked to the smallest id around it
-        ways = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        # every smaller neighbour and the node itself are linked to the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        pairs = cut(small)
-        state = pairs.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
-        if state == mark:
-            break
-        mark = state
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    labels = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    out = labels.unionByName(roots)
+    at = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    pairs = edges.filter("src <> dst").select(at("src").alias("a"), at("dst").alias("b"))
+    links = cut(pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    labels = links.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().withColumn("root", F.col("node"))
+    while not links.isEmpty():
+        up = cut(links.groupBy("hi").agg(F.min("lo").alias("to")))
+        while not up.join(up.select(F.col("hi").alias("to")), "to", "left_semi").isEmpty():
+            further = up.select(F.col("hi").alias("to"), F.col("to").alias("end"))
+            up = cut(up.join(further, "to", "left").select("hi", F.coalesce("end", "to").alias("to")))
+        labels = cut(labels.join(up.withColumnRenamed("hi", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        open_ = links.join(up, "hi").filter("lo <> to").select(F.col("to").alias("a"), "lo")
+        moved = open_.join(up.select(F.col("hi").alias("lo"), F.col("to").alias("end")), "lo", "left").select("a", F.coalesce("end", "lo").alias("b"))
+        links = cut(moved.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    least = labels.groupBy("root").agg(F.min("node.id").alias("component"))
+    out = labels.join(least, "root").select(F.col("node.id").alias("id"), "component")
     if vertices is None:
         return out
     return vertices.select("id").distinct().join(out, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -243,7 +237,7 @@ def closeness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None)
     return df.select("user_id", "node_id", value.alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength", max_hops: int = 64) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength") -> DataFrame:
     """Share of lightest paths that run through a node (G-06), with edge weights as distances.
 
     Distances relax over all sources at once; path counts then flow along tight edges in
@@ -253,7 +247,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength", ma
     keys = ["user_id", "s", "t"]
     dist = nodes.select("user_id", F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(0.0).alias("d"))
     e, front = cut(e), dist
-    for _ in range(max_hops):
+    while True:
         # only pairs that improved in the last round can improve others
         longer = (front.join(e.withColumnRenamed("src", "t"), ["user_id", "t"])
                   .groupBy("user_id", "s", F.col("dst").alias("t")).agg(F.min(F.round(F.col("d") + F.col("w"), 9)).alias("d")))
@@ -268,7 +262,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength", ma
     # counts by number of edges walked; every lightest path has some length
     walk = nodes.select("user_id", F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(1.0).alias("c"))
     counts = walk
-    for _ in range(max_hops):
+    while True:
         walk = (walk.join(tight.withColumnRenamed("src", "t"), ["user_id", "s", "t"])
                 .groupBy("user_id", "s", F.col("dst").alias("t")).agg(F.sum("c").alias("c")))
         walk = cut(walk)
@@ -282,7 +276,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength", ma
                 .select("user_id", "s", "src", "dst", (F.col("sig_a") / F.col("sig_b")).alias("r")))
     back = sigma.filter("s <> t").select("user_id", "s", "t", F.lit(1.0).alias("g"))
     total = None
-    for _ in range(max_hops):
+    while True:
         back = (share.join(back.withColumnRenamed("t", "dst"), ["user_id", "s", "dst"])
                 .groupBy("user_id", "s", F.col("src").alias("t")).agg(F.sum(F.col("r") * F.col("g")).alias("g")))
         back = cut(back.filter("s <> t"))
@@ -334,8 +328,9 @@ def spread_confidence(sources: DataFrame, edges: DataFrame, factor: float = 0.5,
             .agg(F.sum("boost").alias("boost"), F.count("*").alias("edges_used")))
 
 
-def spread_importance(sources: DataFrame, edges: DataFrame, factor: float = 0.7, floor: float = 0.01, max_depth: int = 6) -> DataFrame:
-    """Importance passed on from each source (G-09): strength times ``factor`` per hop while above ``floor``.
+def spread_importance(sources: DataFrame, edges: DataFrame, factor: float = 0.7, floor: float = 0.01) -> DataFrame:
+    """Importance passed on from each source (G-09): strength times ``factor`` per hop while above ``floor``,
+    until nothing is left to pass on.
 
     Every node expands once, with the value that reaches it first; what a node receives sums up.
     ``sources`` carries (user_id, node_id, importance).
@@ -344,16 +339,18 @@ def spread_importance(sources: DataFrame, edges: DataFrame, factor: float = 0.7,
     front = sources.select("user_id", F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.col("importance").alias("value"))
     seen = front.select("user_id", "source", "node")
     got = None
-    for depth in range(1, max_depth + 1):
+    while True:
         sent = (front.join(step, ["user_id", "node"])
                 .select("user_id", "source", F.col("node").alias("sender"), F.col("next").alias("node"), (F.col("value") * F.col("strength") * factor).alias("value"))
                 .filter(F.col("value") > floor))
-        if depth % 2 == 0:
-            sent = cut(sent)
+        sent = cut(sent)
+        if got is not None and sent.isEmpty():
+            break
         got = sent.select("user_id", "source", "node", "value") if got is None else got.unionByName(sent.select("user_id", "source", "node", "value"))
         keys = ["user_id", "source", "node"]
         # of the values arriving in one round the largest counts as the first
         front = sent.groupBy(*keys).agg(F.max("value").alias("value")).join(seen, keys, "left_anti")
+        front = cut(front)
         seen = seen.unionByName(front.select(*keys))
     return got.groupBy("user_id", "source", F.col("node").alias("node_id")).agg(F.sum("value").alias("importance"))
 

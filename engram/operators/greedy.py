@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram.session import cut
 
 
-def losers(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def losers(pairs: DataFrame) -> DataFrame:
     """Who drops out when rows are taken in order and a taken row excludes its later partners.
 
     ``pairs`` holds (first, second, rank): ``first`` precedes ``second`` and ``rank`` orders the
@@ -18,16 +18,12 @@ def losers(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     every = cut(pairs.select("first", "second", "rank"))
     edges, gone_all = every, None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         taken = edges.select("first").distinct().join(edges.select(F.col("second").alias("first")).distinct(), "first", "left_anti")
         gone = cut(edges.join(taken, "first", "left_semi").select("second").distinct())
         gone_all = gone if gone_all is None else gone_all.unionByName(gone)
         edges = cut(edges.join(gone, "second", "left_anti")
                     .join(gone.withColumnRenamed("second", "first"), "first", "left_anti"))
-    else:
-        raise RuntimeError(f"pairs not settled after {max_rounds} rounds")
     kept = every if gone_all is None else every.join(gone_all.withColumnRenamed("second", "first"), "first", "left_anti")
     return (kept.groupBy(F.col("second").alias("loser"))
             .agg(F.min_by("first", F.struct("rank", "first")).alias("winner")))

@@ -65,12 +65,16 @@ def knapsack_mask(values: np.ndarray, costs: np.ndarray, budget: int) -> np.ndar
 
 
 def optimize_budget(rows: DataFrame, key: str, id_col: str, budget: int, value: str = "utility_score",
-                    cost: str = "token_cost", max_exact: int = V.KNAPSACK_MAX) -> DataFrame:
-    """Rows worth their tokens: exact up to ``max_exact`` feasible rows per group, by ratio beyond (C-07, C-08)."""
+                    cost: str = "token_cost", method: str = "exact") -> DataFrame:
+    """Rows worth their tokens, whatever their number: ``method`` "exact" solves the knapsack (C-07), "ratio" fills by value per token (C-08).
+
+    The exact way holds a table of rows x budget for one group; groups are candidate pools, bounded by definition.
+    """
     if budget <= 0:
         return rows.limit(0)
-    n = F.count("*").over(Window.partitionBy(key))
-    feasible = rows.filter(F.col(cost) <= budget).withColumn("_n", n)
+    feasible = rows.filter(F.col(cost) <= budget)
+    if method == "ratio":
+        return rows.join(fill_by_ratio(feasible, key, id_col, value, cost, budget).select(key, id_col), [key, id_col], "left_semi")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["value", "id"], ascending=[False, True], kind="stable")
@@ -78,12 +82,10 @@ def optimize_budget(rows: DataFrame, key: str, id_col: str, budget: int, value:
         return pdf.loc[mask, [key, "id"]]
 
     types = dict(rows.dtypes)
-    exact = (feasible.filter(F.col("_n") <= max_exact)
-             .select(key, F.col(id_col).alias("id"), F.col(value).alias("value"), F.col(cost).alias("cost"))
+    exact = (feasible.select(key, F.col(id_col).alias("id"), F.col(value).alias("value"), F.col(cost).alias("cost"))
              .groupBy(key).applyInPandas(choose, f"{key} {types[key]}, id {types[id_col]}")
              .withColumnRenamed("id", id_col))
-    large = fill_by_ratio(feasible.filter(F.col("_n") > max_exact), key, id_col, value, cost, budget).select(key, id_col)
-    return rows.join(exact.unionByName(large), [key, id_col], "left_semi")
+    return rows.join(exact, [key, id_col], "left_semi")
 
 
 def drop_near_copies(rows: DataFrame, pairs: DataFrame, keys: Sequence[str], id_col: str, score: str) -> DataFrame:

@@ -15,7 +15,8 @@ from engram.operators import clusters as C
 from engram.operators import packing as K
 from engram.operators.understanding import knowledge_gaps, reasoning_strategy
 from engram.operators.utility import candidate_pool, user_traits
-from engram.plans.evolution import conflict_losers
+from engram.operators.greedy import losers
+from engram.plans.evolution import conflict_pairs
 from engram.plans.recall import rank_selected, scored_candidates
 from engram.session import cut
 
@@ -135,11 +136,12 @@ class Composed:
 
     def snapshots(self, as_of: Column) -> tuple[DataFrame, DataFrame]:
         """(snapshot, metrics) rows to append, keyed by query (SRC-13)."""
-        lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.round("utility_score", 9)).alias("k"), "id", "content"))), lambda s: F.concat(F.lit("- "), s["content"]))
-        body = self.entries.groupBy("query_id").agg(F.array_join(lines, "\n").alias("_body"))
+        # the text a model is given: narrative, state, and what is missing
+        missing = F.transform("missing_topics", lambda t: F.concat(F.lit("- "), t))
+        gaps = F.when(F.size("missing_topics") > 0, F.concat(F.lit("\n\nKnowledge Gaps:\n"), F.array_join(missing, "\n"))).otherwise("")
         quality = self.evaluation.select("query_id", F.col("quality_score").alias("context_quality"))
-        snap = (self.state.join(body, "query_id", "left").join(self.totals, "query_id", "left").join(quality, "query_id", "left").join(self.gaps, "query_id", "left")
-                .withColumn("final_context", F.concat_ws("\n\n", "state_text", "_body")).drop("_body").withColumn("created_at", as_of))
+        snap = (self.state.join(self.totals, "query_id", "left").join(quality, "query_id", "left").join(self.gaps, "query_id", "left")
+                .withColumn("final_context", F.trim(F.concat(F.coalesce("narrative", F.lit("")), F.lit("\n\n"), F.coalesce("state_text", F.lit("")), F.coalesce(gaps, F.lit(""))))).withColumn("created_at", as_of))
         return snap, self.evaluation.withColumn("created_at", as_of)
 
 
@@ -149,11 +151,14 @@ def compose(memories: DataFrame, understood: DataFrame, traits: DataFrame, conce
     """Score, settle contradictions, compress, describe and rate the context of every query (P-04)."""
     useful, scored = scored_candidates(memories, understood, traits, concepts, as_of, weights)
     useful = cut(useful)
-    pool = candidate_pool(memories)
-    lost = cut(conflict_losers(pool, as_of, buckets))
-    # a row loses for a query only if the row it lost to is also among that query's candidates
-    here = useful.select("query_id", F.col("memory_id").alias("loser")).join(lost, "loser")
-    gone = here.join(useful.select("query_id", F.col("memory_id").alias("winner")), ["query_id", "winner"], "left_semi")
+    pool = cut(candidate_pool(memories))
+    # conflicts are settled among the candidates of each query
+    pairs, ids = conflict_pairs(pool, as_of, buckets), useful.select("query_id", "memory_id")
+    here = (pairs.join(ids.withColumnRenamed("memory_id", "first"), "first").join(ids.withColumnRenamed("memory_id", "second"), ["query_id", "second"]))
+    of_query = lambda c: F.struct("query_id", F.col(c).alias("id")).alias(c)
+    lost = losers(here.select(of_query("first"), of_query("second"), "rank"))
+    gone = cut(lost.select("loser.query_id", F.col("loser.id").alias("loser"), F.col("winner.id").alias("winner"))
+               .join(pairs.select(F.col("second").alias("loser"), F.col("first").alias("winner"), "gap"), ["loser", "winner"]))
     conflicts = gone.groupBy("query_id").agg(F.count("*").alias("contradictions"))
     kept = cut(useful.join(gone.select("query_id", F.col("loser").alias("memory_id")), ["query_id", "memory_id"], "left_anti"))
     gaps = knowledge_gaps(understood, kept.select("query_id", F.concat_ws(" ", "content", "summary").alias("text")), expectations, flags=flags)

@@ -32,8 +32,8 @@ def cluster_concepts(members: DataFrame, metrics: DataFrame, memories: DataFrame
     labels = top_word_label(texts, ["user_id", "cluster_id"], "content", 3)
     per = members.groupBy("user_id", "cluster_id").agg(F.count("*").alias("support_count"), F.array_sort(F.collect_list("memory_id")).alias("supporting_memory_ids"))
     tight = metrics.groupBy("cluster_id").agg(F.max("confidence").alias("confidence"), F.max_by("centroid", "member_count").alias("embedding"))
-    return (per.join(labels, ["user_id", "cluster_id"]).join(tight, "cluster_id")
-            .select("user_id", F.col("cluster_id").alias("concept_id"), F.col("label").alias("concept_name"),
+    return (per.join(labels, ["user_id", "cluster_id"], "left").join(tight, "cluster_id")
+            .select("user_id", F.col("cluster_id").alias("concept_id"), F.coalesce("label", F.concat(F.lit("concept_"), F.col("cluster_id").cast("string"))).alias("concept_name"),
                     F.concat(F.lit("Consolidated from "), F.col("support_count").cast("string"), F.lit(" related memories")).alias("description"),
                     "confidence", "support_count", "supporting_memory_ids", "embedding"))
 

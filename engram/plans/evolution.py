@@ -83,13 +83,9 @@ def archive_candidates(memories: DataFrame) -> DataFrame:
         "cognitive_state": F.when(F.col("changed"), "archived").otherwise(F.col("cognitive_state"))}))
 
 
-def conflict_losers(memories: DataFrame, as_of: Column, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS,
-                    types: Sequence[str] = V.STANCE_TYPES, keys: Sequence[str] = ("user_id",)) -> DataFrame:
-    """(loser, winner, gap) of every settled conflict (J-07).
-
-    Rows are taken by resolution score, best first, ids break ties; a taken row supersedes
-    the rows it conflicts with.
-    """
+def conflict_pairs(memories: DataFrame, as_of: Column, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS,
+                   types: Sequence[str] = V.STANCE_TYPES, keys: Sequence[str] = ("user_id",)) -> DataFrame:
+    """(first, second, rank, gap) of rows in conflict: the first has the better resolution score, ids break ties."""
     recency = R.exponential_recency(as_of, anchor())
     scored = memories.select("memory_id", F.round(L.resolution_score(
         recency, F.col("reinforcement_score"), F.col("memory_strength")), 12).alias("score"))
@@ -97,13 +93,21 @@ def conflict_losers(memories: DataFrame, as_of: Column, buckets: Mapping[str, Se
     both = (pairs.select("id_a", "id_b").join(scored.select(F.col("memory_id").alias("id_a"), F.col("score").alias("score_a")), "id_a")
             .join(scored.select(F.col("memory_id").alias("id_b"), F.col("score").alias("score_b")), "id_b"))
     a_first = F.col("score_a") >= F.col("score_b")
-    ordered = both.select(F.when(a_first, F.col("id_a")).otherwise(F.col("id_b")).alias("first"),
-                          F.when(a_first, F.col("id_b")).otherwise(F.col("id_a")).alias("second"),
-                          (-F.greatest("score_a", "score_b")).alias("rank"))
-    lost = losers(ordered)
-    gap = (lost.join(scored.select(F.col("memory_id").alias("loser"), F.col("score").alias("_l")), "loser")
-           .join(scored.select(F.col("memory_id").alias("winner"), F.col("score").alias("_w")), "winner"))
-    return gap.select("loser", "winner", F.abs(F.col("_w") - F.col("_l")).alias("gap"))
+    return both.select(F.when(a_first, F.col("id_a")).otherwise(F.col("id_b")).alias("first"),
+                       F.when(a_first, F.col("id_b")).otherwise(F.col("id_a")).alias("second"),
+                       (-F.greatest("score_a", "score_b")).alias("rank"), F.abs(F.col("score_a") - F.col("score_b")).alias("gap"))
+
+
+def conflict_losers(memories: DataFrame, as_of: Column, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS,
+                    types: Sequence[str] = V.STANCE_TYPES, keys: Sequence[str] = ("user_id",)) -> DataFrame:
+    """(loser, winner, gap) of every settled conflict (J-07).
+
+    Rows are taken by resolution score, best first, ids break ties; a taken row supersedes
+    the rows it conflicts with.
+    """
+    pairs = cut(conflict_pairs(memories, as_of, buckets, types, keys))
+    gaps = pairs.select(F.col("second").alias("loser"), F.col("first").alias("winner"), "gap")
+    return losers(pairs.select("first", "second", "rank")).join(gaps, ["loser", "winner"]).select("loser", "winner", "gap")
 
 
 def supersede(memories: DataFrame, as_of: Column, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram import vocab as V
@@ -47,9 +47,11 @@ def response_guidance(traits: DataFrame) -> DataFrame:
 
 
 # ---- P-14 ------------------------------------------------------------------------------
-def explain_memories(memories: DataFrame, events: DataFrame, newest: int = 50) -> DataFrame:
-    """State, reasons and the newest lifecycle events of each memory (P-14)."""
-    top = top_per_group(events, ["memory_id"], [F.desc("timestamp"), F.col("event_type")], newest)
+def explain_memories(memories: DataFrame, events: DataFrame, newest: int | None = None) -> DataFrame:
+    """State, reasons and the lifecycle events of each memory, newest first; ``newest`` keeps so many (P-14)."""
+    order = [F.desc("timestamp"), F.col("event_type")]
+    ranked = events.withColumn("rank", F.row_number().over(Window.partitionBy("memory_id").orderBy(*order)))
+    top = ranked if newest is None else top_per_group(events, ["memory_id"], order, newest)
     trail = top.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("rank", "event_type", "old_state", "new_state", "reason", "confidence"))).alias("lifecycle_events"))
     keep = [c for c in ("utility_score", "selection_reason", "archive_reason", "forget_reason") if c in memories.columns]
     return memories.select("memory_id", "user_id", "content", "cognitive_state", *keep).join(trail, "memory_id", "left")

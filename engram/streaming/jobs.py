@@ -116,10 +116,17 @@ def revive_on_queries(queries: DataFrame, checkpoint: str, memories: DataFrame,
 
 
 # ---- ST-09 --------------------------------------------------------------------------------
-def monthly_counts(usage: DataFrame, cap: int = V.MONTHLY_CAP) -> DataFrame:
-    """Uses per tenant and month so far, and whether the cap is passed (ST-09). Update mode on a stream."""
-    return (usage.groupBy("tenant_id", F.trunc("ts", "month").alias("month")).agg(F.count("*").alias("uses"))
-            .withColumn("breached", F.col("uses") > cap))
+def monthly_counts(usage: DataFrame, cap: int = V.MONTHLY_CAP, watermark: str = "32 days") -> DataFrame:
+    """Uses per tenant and month so far, and whether the cap is passed (ST-09). Update mode on a stream.
+
+    Counts are kept by day until ``watermark`` has passed; months are added up from the days, so the state of old months is
+    dropped. On a stream each output row is a day's count, to be summed by month where it lands.
+    """
+    month = F.trunc("ts", "month").alias("month")
+    if usage.isStreaming:
+        days = usage.withWatermark("ts", watermark).groupBy("tenant_id", F.window("ts", "1 day")).agg(F.count("*").alias("uses"))
+        return days.select("tenant_id", F.trunc("window.start", "month").alias("month"), F.col("window.start").alias("day"), "uses")
+    return usage.groupBy("tenant_id", month).agg(F.count("*").alias("uses")).withColumn("breached", F.col("uses") > cap)
 
 
 def daily_attempts(attempts: DataFrame, key: str, limit: int = V.SIGNUPS_PER_DAY, watermark: str = WATERMARK) -> DataFrame:

@@ -96,7 +96,7 @@ REASON_LABELS = {
     "confidence": "is a stable, well-established memory",
     "recency": "is recent",
 }
-CANDIDATE_POOL, MIN_UTILITY, KNAPSACK_MAX = 200, 0.15, 60
+CANDIDATE_POOL, MIN_UTILITY = 200, 0.15
 RECALL_BUDGET, COMPOSE_BUDGET, RETRIEVAL_BUDGET = 1000, 600, 2000
 DEDUP_AT, MERGE_AT, CONTRADICT_AT, DUPLICATE_AT = 0.80, 0.40, 0.50, 0.40
 GENERALIZE_AT, TRAIT_DUPLICATE_AT, REDUNDANT_AT, CLUSTER_AT, CENTROID_MERGE_AT = 0.25, 0.50, 0.85, 0.75, 0.85

@@ -6,6 +6,7 @@ import datetime as dt
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import AS_OF, days_ago
 from engram.operators import analytics as A
@@ -173,3 +174,21 @@ def test_conversational_turns(spark, memories, empty_concepts, empty_traits, as_
     turns = spark.createDataFrame([(1, 0, 1, AS_OF, "explain the architecture of my system design")], "conv_id long, turn long, user_id long, ts timestamp, text string")
     r = J.conversational_turns(turns, m, empty_traits, empty_concepts, as_of).first()
     assert r["goal"] == "system_design" and r["compressed_tokens"] > 0 and 0 <= r["quality_score"] <= 1
+
+
+def test_conflicts_are_settled_among_the_candidates_of_a_query(spark, memories, as_of, monkeypatch):
+    m = memories({"content": "prefers React for frontend work", "memory_strength": 0.9}, {"content": "prefers Vue for frontend work", "memory_strength": 0.6},
+                 {"content": "prefers Angular for frontend work", "memory_strength": 0.3})
+    useful = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 2), (2, 3)], "query_id long, memory_id long").join(m, "memory_id").withColumn("utility_score", F.lit(0.5))
+    seen = {}
+
+    def stop(kept, *a, **k):
+        seen["kept"] = sorted((r["query_id"], r["memory_id"]) for r in kept.collect())
+        raise StopIteration
+
+    monkeypatch.setattr(CO, "scored_candidates", lambda *a, **k: (useful, useful))
+    monkeypatch.setattr(CO, "knowledge_gaps", lambda *a, **k: None)
+    monkeypatch.setattr(CO, "compress", stop)
+    with pytest.raises(StopIteration):
+        CO.compose(m, None, None, None, as_of)
+    assert seen["kept"] == [(1, 1), (2, 2)]
