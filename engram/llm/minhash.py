@@ -99,66 +99,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-class _Members:
-    """One side of many block pairs: members in a row, where each pair's begin, and where each member's sketch begins."""
-
-    def __init__(self, column: pa.ListArray) -> None:
-        self.at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+def _in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components in a pair of blocks that sizes and what is left of their sets do not rule out."""
+    def side(column: pa.ListArray) -> tuple[np.ndarray, ...]:
         rows = column.flatten()
-        self.node, self.n, self.component = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component"))
-        self.small = rows.field("small").to_numpy(zero_copy_only=False).astype(bool)
-        sketch = rows.field("sketch")
-        self.sketch_at = np.concatenate([[0], np.cumsum(sketch.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        self.values = sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return at, *(rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component", "left"))
 
-    def sketches(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        at = self.sketch_at[a:b + 1]
-        return self.values[at[0]:at[-1]], np.diff(at)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = side(batch.column("own")), side(batch.column("others"))
+            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+            for row, same in enumerate(batch.column("same").to_pylist()):
+                at, node, n, component, left = one
+                x = slice(at[row], at[row + 1])
+                at, node_, n_, component_, left_ = one if same else two
+                y = slice(at[row], at[row + 1])
+                sizes = np.add.outer(n[x], n_[y])
+                fits = (np.not_equal.outer(component[x], component_[y]) & (np.minimum.outer(left[x], left_[y]) * (100 + percent) >= percent * sizes)
+                        & (100 * np.minimum.outer(n[x], n_[y]) >= percent * np.maximum.outer(n[x], n_[y])))
+                i, j = np.nonzero(np.triu(fits, 1) if same else fits)
+                if len(i):
+                    pair = np.stack([node[x][i], node_[y][j]], axis=1)
+                    pair.sort(axis=1)
+                    found.append(pair)
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    def sketch(self, i: int) -> np.ndarray:
-        return self.values[self.sketch_at[i]:self.sketch_at[i + 1]]
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def _in_blocks(blocks: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of different components in a pair of blocks that size and union sketch do not rule out."""
+def _alike(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that their union sketch does not rule out."""
     least = needed(k, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = _Members(batch.column("left")), _Members(batch.column("right"))
-            out: set[tuple[int, int]] = set()
-            for row, same in enumerate(batch.column("same").to_pylist()):
-                a, b = left.at[row], left.at[row + 1]
-                other = left if same else right
-                c, d = other.at[row], other.at[row + 1]
-                small, large = np.minimum.outer(left.n[a:b], other.n[c:d]), np.maximum.outer(left.n[a:b], other.n[c:d])
-                led = np.where(np.less.outer(left.n[a:b], other.n[c:d]), left.small[a:b, None], np.where(
-                    np.greater.outer(left.n[a:b], other.n[c:d]), other.small[None, c:d], np.logical_or.outer(left.small[a:b], other.small[c:d])))
-                fits = led & np.not_equal.outer(left.component[a:b], other.component[c:d]) & (100 * small >= percent * large)
-                if same:
-                    fits = np.triu(fits, 1)
-                if not fits.any():
-                    continue
-                # common sketch values of all pairs at once
-                x, lx = left.sketches(a, b)
-                y, ly = other.sketches(c, d)
-                common, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
-                one, two = np.zeros((b - a, len(common)), np.float32), np.zeros((d - c, len(common)), np.float32)
-                one[np.repeat(np.arange(b - a), lx), codes[:len(x)]] = 1
-                two[np.repeat(np.arange(d - c), ly), codes[len(x):]] = 1
-                both = (one @ two.T).astype(np.int64)
-                whole = large <= k  # both sketches are the whole sets
-                fits &= np.where(whole, 100 * both >= percent * (small + large - both), both >= least)
-                for i, j in zip(*np.nonzero(fits), strict=True):
-                    if not whole[i, j]:
-                        p, q = left.sketch(a + i), other.sketch(c + j)
-                        if np.isin(np.union1d(p, q)[:k], np.intersect1d(p, q, assume_unique=True), assume_unique=True).sum() < least:
-                            continue
-                    p, q = int(left.node[a + i]), int(other.node[c + j])
-                    out.add((min(p, q), max(p, q)))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+            keep = []
+            for n, x, y in zip(batch.column("n").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
+                both = np.intersect1d(x, y, assume_unique=True)
+                if n <= k:  # both sketches are the whole sets
+                    keep.append(100 * len(both) >= percent * (len(x) + len(y) - len(both)))
+                else:
+                    keep.append(len(both) >= least and np.isin(np.union1d(x, y)[:k], both, assume_unique=True).sum() >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    x, y = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", F.greatest("n_a", "n_b").alias("n"), "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -181,12 +169,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     held = _shared(members.join(fit.select("node"), "node", "left_semi").select("node", "n", "v")).groupBy("node", "n").agg(
         F.array_sort(F.collect_list(F.struct("c", "v"))).alias("held"))
     as_larger = F.expr(f"size(held) - ({percent} * n + 99) div 100")
-    as_smaller = F.expr(f"size(held) - (2 * {percent} * n + {99 + percent}) div {100 + percent}")
-    keys = cut(held.withColumns({"larger": as_larger, "smaller": as_smaller}).where("larger >= 0")
-               .select("node", "n", "smaller", F.posexplode(F.expr("slice(held, 1, cast(larger + 1 as int))")).alias("nth", "e"))
-               .select("node", "n", F.col("e.v").alias("v"), (F.col("nth") <= F.col("smaller")).alias("small")))
-    # a list in which nobody can be the smaller partner holds no pair
-    keys = cut(keys.join(keys.groupBy("v").agg(F.max("small").alias("any"), F.count(F.lit(1)).alias("c")).where("any and c > 1").select("v"), "v", "left_semi"))
+    keys = cut(held.withColumn("larger", as_larger).where("larger >= 0")
+               .select("node", "n", F.size("held").alias("h"), F.posexplode(F.expr("slice(held, 1, cast(larger + 1 as int))")).alias("nth", "e"))
+               .select("node", "n", F.col("e.v").alias("v"), (F.col("h") - F.col("nth")).alias("left")))
+    # two partners meet at the first value they share, and from there on each still holds what they must share; in a
+    # list where nobody holds enough for a partner of its own size there is no pair
+    able = F.max(F.col("left") * (100 + percent) >= 2 * percent * F.col("n"))
+    keys = cut(keys.join(keys.groupBy("v").agg(able.alias("able"), F.count(F.lit(1)).alias("c")).where("able and c > 1").select("v"), "v", "left_semi"))
     open_ = keys.select("node").distinct()
 
     links, labels = None, open_.withColumn("component", F.col("node"))
@@ -194,9 +183,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         # one member of each list stands for it: the smallest, then any
         pick = F.col("node") if salt is None else F.xxhash64("node", "v", F.lit(salt))
         at = keys.join(labels, "node")
-        leader = at.groupBy("v").agg(F.min_by(F.struct("node", "n", "component"), pick).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
+        leader = at.groupBy("v").agg(F.min_by(F.struct("node", "n", "component", "left"), pick).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
         stars = (at.join(leader.where("low <> high"), "v").where((F.col("component") != F.col("first.component")) &
-                 (100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")))
+                 (100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")) &
+                 (F.least("left", "first.left") * (100 + percent) >= percent * (F.col("n") + F.col("first.n"))))
                  .select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct())
         found = _verified(stars, sets, percent)
         links = found if links is None else links.unionByName(found)
@@ -204,15 +194,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     at = keys.join(labels, "node")
     mixed = at.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = (at.join(mixed.select("v", "c"), "v").join(classes.select("node", "sketch"), "node")
+    rest = (at.join(mixed.select("v", "c"), "v")
             .withColumn("blocks", F.expr(f"cast(1 + c div {block} as int)")).withColumn("own", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    side = F.when(F.col("own") <= F.col("other"), F.struct("node", "n", "component", "small", "sketch"))
-    mate = F.when(F.col("own") > F.col("other"), F.struct("node", "n", "component", "small", "sketch"))
+    member = F.struct("node", "n", "component", "left")
+    side, mate = F.when(F.col("own") <= F.col("other"), member), F.when(F.col("own") > F.col("other"), member)
     blocks = (rest.groupBy("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-              .agg(F.collect_list(side).alias("left"), F.collect_list(mate).alias("right"))
-              .select((F.col("i") == F.col("j")).alias("same"), "left", "right"))
-    last = _verified(cut(_in_blocks(blocks, k, percent)), sets, percent)
+              .agg(F.collect_list(side).alias("own"), F.collect_list(mate).alias("others"))
+              .select((F.col("i") == F.col("j")).alias("same"), "own", "others"))
+    last = _verified(_alike(cut(_in_blocks(blocks, percent)), classes, k, percent), sets, percent)
     labels = components(links.unionByName(last)).select("node", F.col("component").alias("root"))
 
     ids = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left")
