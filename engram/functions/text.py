@@ -174,11 +174,11 @@ def stance_bucket(text: Column, buckets: Mapping[str, Sequence[str]] = V.STANCE_
     return F.when(stance_verb(text, buckets).isNotNull(), lookup(stance_verb(text, buckets), table, "stance"))
 
 
-def stable_uuid(text: Column, namespace_hex: str = V.ID_NAMESPACE) -> Column:
+def stable_uuid(text: Column, namespace: str = V.ID_NAMESPACE) -> Column:
     """Name-based (version 5) id in a namespace; a value that already is an id passes through (SC-23)."""
     is_id = text.rlike(r"^(?i)[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$")
     bare = F.lower(F.replace(text, F.lit("-"), F.lit("")))
-    digest = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(text, "UTF-8")))
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(text, "UTF-8")))
     nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int")
     variant = F.lower(F.hex(nibble.bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
     named = F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant,

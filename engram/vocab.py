@@ -58,7 +58,7 @@ INGEST_HIGH = [
 INGEST_LOW = ["maybe", "could", "might", "hello", "hi", "bye", "thanks", "ok", "cool", "nice"]
 SPECIFICITY_MARKS = [["technology", "tool"], ["when", "time"], ["because", "reason"], ["specific", "exactly"]]
 
-ID_NAMESPACE = "2f1a9e2a3c9a4a5b8f1e8b6a2c9d4e10"
+ID_NAMESPACE = "2f1a9e2a-3c9a-4a5b-8f1e-8b6a2c9d4e10"
 
 # ---- decay and lifecycle (fixed values) ------------------------------------
 BASE_DECAY = {"identity": 0.002, "concept": 0.006, "procedural": 0.012, "semantic": 0.02, "episodic": 0.05}
