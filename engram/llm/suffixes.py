@@ -92,16 +92,30 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np
 
 
 def _runs(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """(bucket, whole, doc, start, count, gram) of every text."""
+    """(bucket, whole, doc, place, known) of every text.
+
+    Of runs equal in all bytes within some MB of text only the first goes to its bucket. The others are ``known`` to repeat it and
+    are dealt out evenly, so copies of one text do not meet in one task.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
+        for big in (part for batch in batches for part in slices(batch, "text")):
+            parts: list[tuple[np.ndarray, ...]] = []
             for batch in slices(big, "text", AT_ONCE):
                 row, start, count, gram, bucket, whole = runs(*flat_bytes(batch.column("text")), length, q)
-                doc = batch.column("doc").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(whole, pa.int64()), pa.array(doc, pa.int64()), pa.array(start << 16 | count << 8 | gram, pa.int64())],
-                                                 ["bucket", "whole", "doc", "place"])
-
-    return docs.mapInArrow(run, "bucket long, whole long, doc long, place long")
+                parts.append((bucket, whole, batch.column("doc").to_numpy()[row], start << 16 | count << 8 | gram))
+            bucket, whole, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, doc, whole))
+            bucket, whole, doc, place = bucket[order], whole[order], doc[order], place[order]
+            new = np.ones(len(whole), bool)
+            new[1:] = whole[1:] != whole[:-1]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            known = (doc != doc[first]) | (place != place[first])
+            spread = mixed(doc.astype(np.int64).view(np.uint64) * np.uint64(ODD) + place.astype(np.int64).view(np.uint64)).view(np.int64)
+            bucket = np.where(known, spread, bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(whole, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()),
+                                              pa.array(known)], ["bucket", "whole", "doc", "place", "known"])
+
+    return docs.mapInArrow(run, "bucket long, whole long, doc long, place long, known boolean")
 
 
 def _sorted_out(found: DataFrame) -> DataFrame:
@@ -112,8 +126,8 @@ def _sorted_out(found: DataFrame) -> DataFrame:
     seen = (found.withColumn("same", F.coalesce(before == F.col("whole"), F.lit(False))).withColumn("first", first)
             .withColumn("mixed", F.min("whole").over(bucket) != F.max("whole").over(bucket)))
     # equal rows stand at one place: neither is the earlier
-    repeats = F.col("same") & (F.struct("doc", "place") > F.col("first"))
-    return seen.withColumn("repeats", repeats).withColumn("open", F.col("mixed") & ~F.col("same")).where("repeats or open").drop("same", "first", "mixed")
+    repeats = F.col("known") | F.col("same") & (F.struct("doc", "place") > F.col("first"))
+    return seen.withColumn("repeats", repeats).withColumn("open", F.col("mixed") & ~F.col("same") & ~F.col("known")).where("repeats or open").drop("same", "first", "mixed")
 
 
 def _cut_out(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
@@ -158,7 +172,7 @@ def _split(open_: DataFrame, length: int, grid: int) -> DataFrame:
                  pa.array(high), pa.array([blob[x:y] for x, y in zip(first, last, strict=True)], pa.binary())],
                 ["bucket", "whole", "doc", "start", "count", "gram", "bytes"])
 
-    return open_.mapInArrow(run, "bucket long, whole long, doc long, start long, count long, gram long, bytes binary").withColumn("place", F.col("start"))
+    return open_.mapInArrow(run, "bucket long, whole long, doc long, start long, count long, gram long, bytes binary").withColumns({"place": F.col("start"), "known": F.lit(False)})
 
 
 def _free(spark: SparkSession) -> None:
