@@ -24,7 +24,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from engram.llm.common import lists, slices
 
@@ -83,7 +83,7 @@ def _with_ids(docs: DataFrame, text: str, out: str, ranks_path: str, pattern: st
 
 
 def _boundaries(chunks: DataFrame, ranks_path: str, pattern: str, chunk: int) -> DataFrame:
-    """Adds the boundaries of each chunk, counted from the start of the text, in its head and in its tail."""
+    """(_digest, nth, head, tail): the boundaries in the head and in the tail of each chunk, counted from the start of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for whole in batches:
@@ -94,10 +94,9 @@ def _boundaries(chunks: DataFrame, ranks_path: str, pattern: str, chunk: int) ->
                     heads.append((at[at < len(part) - chunk] if len(part) > chunk else at) + nth * chunk)
                     tails.append(at[at >= chunk] + nth * chunk)
                 both = [lists(np.concatenate(x) if x else np.zeros(0, np.int64), np.array([len(y) for y in x], np.int64), pa.int64()) for x in (heads, tails)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *both], [*batch.schema.names, "head", "tail"])
+                yield pa.RecordBatch.from_arrays([batch.column("_digest"), batch.column("nth"), *both], ["_digest", "nth", "head", "tail"])
 
-    kinds = [StructField(n, ArrayType(LongType(), False)) for n in ("head", "tail")]
-    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, *kinds]))
+    return chunks.mapInArrow(run, "_digest string, nth int, head array<long>, tail array<long>")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids",
@@ -115,13 +114,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     marked = _boundaries(chunks, ranks_path, pattern, chunk)
     order = Window.partitionBy("_digest").orderBy("nth")
     cut = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
-    cuts = (marked.withColumn("stop", cut).withColumn("start", F.lag("stop").over(order))
-            .withColumn("last", F.lead("nth").over(order).isNull())
-            .withColumn("broken", F.max(F.col("stop").isNull() & ~F.col("last")).over(Window.partitionBy("_digest"))))
-    stitched = cuts.where(~F.col("broken")).select("_digest", "nth", F.expr(
-        f"substring(part, cast(coalesce(start - nth * {chunk}, 0) as int) + 1, cast(coalesce(stop - nth * {chunk}, {chunk + overlap}) - coalesce(start - nth * {chunk}, 0) as int))").alias("piece"))
-    whole = texts.join(cuts.where("broken").select("_digest").distinct(), "_digest").select("_digest", F.lit(0).alias("nth"), F.col("whole").alias("piece"))
-    pieces = _with_ids(stitched.unionByName(whole).repartition("_digest", "nth"), "piece", "ids", ranks_path, pattern)
+    ends = marked.select("_digest", "nth", cut.alias("stop"), F.lead("nth").over(order).isNull().alias("last"))
+    # a text whose neighbours agree everywhere is parted at the stitches, another one not at all
+    stitches = ends.groupBy("_digest").agg(F.max(F.col("stop").isNull() & ~F.col("last")).alias("broken"), F.array_sort(F.collect_list("stop")).alias("stops"))
+    bounds = F.expr("if(broken, array(0L, cast(char_length(whole) as bigint)), concat(array(0L), stops, array(cast(char_length(whole) as bigint))))")
+    parted = texts.join(stitches, "_digest").withColumn("bounds", bounds).select(
+        "_digest", "whole", "bounds", F.posexplode(F.expr("slice(bounds, 1, size(bounds) - 1)")).alias("nth", "start"))
+    stitched = parted.select("_digest", "nth", F.expr("substring(whole, cast(start as int) + 1, cast(bounds[nth + 1] - start as int))").alias("piece"))
+    pieces = _with_ids(stitched.repartition("_digest", "nth"), "piece", "ids", ranks_path, pattern).drop("piece")
     joined = pieces.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("nth", "ids"))).alias("all")).select(
         "_digest", F.flatten(F.col("all.ids")).alias(out))
     return short.unionByName(long.join(joined, "_digest").drop("_digest"))
