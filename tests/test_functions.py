@@ -122,7 +122,7 @@ def test_knapsack_textbook_and_brute_force():
         assert costs[mask].sum() <= budget and values[mask].sum() == pytest.approx(best)
 
 
-def test_budget_switches_from_exact_to_ratio(spark):
+def test_budget_is_spent_exactly_or_by_ratio(spark):
     rows = [(1, i, 1.0 / (i + 1), 10) for i in range(70)] + [(2, i, 1.0, 30) for i in range(5)]
     df = spark.createDataFrame(rows, "query_id long, memory_id long, utility_score double, token_cost int")
     got = optimize_budget(df, "query_id", "memory_id", 100).groupBy("query_id").agg(F.sum("token_cost").alias("c"), F.count("*").alias("n")).collect()
