@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from engram.llm.common import lists, slices
 
 CHUNK, OVERLAP = 32_768, 2_048
 #: Distinct pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Ids that are decoded at a time.
 DECODED = 1 << 18
 
@@ -42,13 +42,18 @@ class Codec:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern)
-        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pattern = pattern
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for raw, i in ranks.items():
             self.bytes[i] = raw
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def bpe(self) -> tiktoken.Encoding:
+        """Only workers that encode need it."""
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks={raw: i for i, raw in enumerate(self.bytes) if raw}, special_tokens={})
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""
         pieces = self.split.findall(text)

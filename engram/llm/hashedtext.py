@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Hashed weights of a model.
 WIDTH = 1 << 18
 #: Tokens whose features or weight a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: How many standard deviations the mean grade of a feature's rows must lie off the mean of all.
 CLEAR = 4.0
 
