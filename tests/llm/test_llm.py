@@ -365,6 +365,41 @@ def test_mix_keeps_every_row_and_the_shares(docs, weights):
         assert all(abs(have[s] - (t + 1) * u / sum(units.values())) < 1 for s, u in units.items())
 
 
+def shares_of(rows, weights, block):
+    """Checks slots against the given weights, and gives the rows of each source."""
+    owner = {r.slot: r.source for r in rows}
+    assert sorted(owner) == list(range(len(owner)))
+    assert set(collections.Counter(r.slot for r in rows).values()) <= {block}
+    whole, have = sum(weights.values()), collections.Counter()
+    for t in range(len(owner)):
+        have[owner[t]] += 1
+        assert all(abs(have[s] - (t + 1) * w / whole) < 1 + 1e-9 for s, w in weights.items())
+    return collections.Counter(r.source for r in rows)
+
+
+def test_mix_holds_the_given_weights(spark):
+    rows = [(i, "big") for i in range(7_000)] + [(i, "rare") for i in range(8)] + [(i, "none") for i in range(9)] + [(i, "unnamed") for i in range(9)] + [(i, None) for i in range(65)]
+    weights = {"big": 0.9896, "rare": 0.0004, "none": 0.0, None: 0.01, "absent": 0.5}
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, weights=weights, block=2).collect()
+    sent = shares_of(got, {s: weights[s] for s in ("big", "rare", None)}, 2)
+    assert set(sent) == {"big", "rare", None} and abs(sent["rare"] / len(got) - 0.0004) < 2 / len(got)
+    assert collections.Counter((r.doc_id, r.source) for r in got if r.epoch == 0) == collections.Counter(r for r in rows if r[1] in ("big", "rare", None))
+    assert max(collections.Counter((r.doc_id, r.source, r.epoch) for r in got).values()) == 1
+    assert mixing.mix(docs, weights={"none": 0.0}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, weights={"big": -1.0})
+
+
+def test_mix_of_many_sources_and_of_part_blocks(spark):
+    sizes = {f"z{i}": max(1, 3_000 // i) for i in range(1, 1_201)}
+    got = mixing.mix(spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string"), block=4).collect()
+    sent = shares_of(got, {s: n**0.7 for s, n in sizes.items()}, 4)
+    assert abs(sent["z1"] / len(got) - 3_000**0.7 / sum(n**0.7 for n in sizes.values())) < 4 / len(got)
+    part = mixing.mix(spark.createDataFrame([(i, s) for s, n in (("a", 65), ("b", 640)) for i in range(n)], "doc_id long, source string"), weights={"a": 0.5, "b": 0.5}).collect()
+    assert len({*shares_of(part, {"a": 0.5, "b": 0.5}, 64).values()}) == 1
+
+
 def test_mix_of_nothing(nothing):
     assert mixing.mix(nothing).count() == 0
 
