@@ -176,6 +176,30 @@ def test_repeated_substrings(docs):
         assert collections.Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
+def test_repeated_substrings_of_rows_that_share_an_id(spark):
+    """Texts of one id, or of none, are documents of their own, in the order of their hashes."""
+    rnd = random.Random(6)
+    unique = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    same = unique(200)
+    rows = [(None, unique(50) + same * 2 + unique(90)), (None, unique(700)), (None, same + unique(150)), (None, same + unique(80)), (7, same + unique(40)), (7, unique(30) + same),
+            (8, None), (8, ""), (8, unique(120)), (9, unique(300))]
+    rows += [rows[0], rows[3], rows[3], rows[9]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, want = set(), collections.Counter()
+    ordered_rows = docs.distinct().select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()
+    for doc_id, text, _ in ordered_rows:
+        b = (text or "").encode()
+        covered = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i:i + 100] in seen:
+                covered[i:i + 100] = b"\1" * 100
+            seen.add(b[i:i + 100])
+        kept = bytes(x for x, c in zip(b, covered, strict=True) if not c)
+        want[doc_id, len(b), len(b) - len(kept), kept] += rows.count((doc_id, text))
+    got = suffixes.without_repeats(docs, batch_bytes=500).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == want
+
+
 def test_repeated_substrings_on_nothing(nothing):
     assert suffixes.without_repeats(nothing).count() == 0
 
