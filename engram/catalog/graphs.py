@@ -95,6 +95,12 @@ def g_05(t):
     return G.pagerank(t.nodes_v, t.edges_v, iterations=4).select("user_id", "node_id", r6("rank").alias("rank"))
 
 
+@query("g_05_settled")
+def g_05_settled(t):
+    """Ranks to tolerance; g_05 stops after the four rounds that its SQL writes out."""
+    return G.pagerank(t.nodes_v, t.edges_v).select("user_id", "node_id", r6("rank").alias("rank"))
+
+
 @query("g_06", all_reach_sql("SELECT user_id, dst AS src, src AS dst FROM edges_v") + """,
       s AS (SELECT user_id, source, COUNT(*) AS k, SUM(depth) AS total FROM near WHERE depth > 0 GROUP BY user_id, source)
     SELECT n.user_id, n.node_id, ROUND(CASE WHEN s.k > 0 AND c.n > 1 THEN s.k / s.total * (s.k / (c.n - 1)) ELSE 0.0 END, 6) AS closeness

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import duckdb
 import pytest
 
 from check import normal
 from conftest import SMALL
-from engram.catalog import all_oracles, all_queries
+from engram.catalog import all_oracles, all_queries, graphs
 from engram.catalog.views import BASE
 
 # multi-stage jobs are exercised by test_plans on small fixtures
@@ -40,3 +42,24 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_check_has_a_query():
     assert set(all_oracles()) <= set(all_queries())
+
+
+def test_settled_ranks(spark):
+    """A long chain, a ring with a hub and a loose node, against power iteration that runs until nothing moves."""
+    edges = [(1, i, i + 1, 1.0) for i in range(30)] + [(2, i, (i + 1) % 12, 0.5) for i in range(12)] + [(2, i, 0, 0.2) for i in range(2, 11)]
+    nodes = sorted({(u, x) for u, a, b, _ in edges for x in (a, b)} | {(2, 99)})
+    tables = SimpleNamespace(nodes_v=spark.createDataFrame(nodes, "user_id long, node_id long"), edges_v=spark.createDataFrame(edges, "user_id long, src long, dst long, strength double"))
+    got = {(r.user_id, r.node_id): r["rank"] for r in graphs.g_05_settled(tables).collect()}
+    assert sorted(got) == nodes
+    for user in (1, 2):
+        ids = [x for u, x in nodes if u == user]
+        out = {x: sum(w for u, a, _, w in edges if u == user and a == x) for x in ids}
+        rank = {x: 1 / len(ids) for x in ids}
+        for _ in range(400):
+            loose = sum(rank[x] for x in ids if not out[x])
+            new = {x: (0.85 * loose + 0.15) / len(ids) for x in ids}
+            for u, a, b, w in edges:
+                if u == user:
+                    new[b] += 0.85 * rank[a] * w / out[a]
+            rank = new
+        assert all(abs(got[user, x] - rank[x]) < len(ids) * 1e-6 for x in ids)
