@@ -287,6 +287,18 @@ def set_04(t):
     return both.select("memory_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_only"), F.size(F.array_union(a, b)).alias("n_union"))
 
 
+_P = "COALESCE({c}, '')"
+
+
+@query("set_04_user_queries", rf"""SELECT memory_id, query_id, LEN(LIST_INTERSECT(a, b)) AS n_both, LEN(a) - LEN(LIST_INTERSECT(a, b)) AS n_only, LEN(a) + LEN(b) - LEN(LIST_INTERSECT(a, b)) AS n_union
+    FROM (SELECT memory_id, query_id, {_W.format(c=_P.format(c='content'))} AS a, {_W.format(c=_P.format(c='query'))} AS b FROM memories_v m LEFT JOIN queries_v q ON q.user_id = m.user_id)""")
+def set_04_user_queries(t):
+    """Every memory against the queries of its user; set_04 meets only ids that are also query ids."""
+    a, b = T.word_set(F.coalesce("content", F.lit(""))), T.word_set(F.coalesce("query", F.lit("")))
+    both = t.memories_v.join(t.queries_v, "user_id", "left")
+    return both.select("memory_id", "query_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_only"), F.size(F.array_union(a, b)).alias("n_union"))
+
+
 @query("set_05", r"""SELECT conv_id, turn, STRING_AGG(w, ' ' ORDER BY i) AS words FROM (SELECT conv_id, turn, w, MIN(i) AS i FROM (
       SELECT conv_id, turn, UNNEST(ws) AS w, UNNEST(RANGE(1, LEN(ws) + 1)) AS i FROM (SELECT conv_id, turn, REGEXP_EXTRACT_ALL(LOWER(text), '[\p{L}\p{N}_]+') AS ws FROM turns_v)) GROUP BY conv_id, turn, w) GROUP BY conv_id, turn""")
 def set_05(t):

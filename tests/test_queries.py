@@ -9,7 +9,7 @@ import pytest
 
 from check import normal
 from conftest import SMALL
-from engram.catalog import all_oracles, all_queries, graphs
+from engram.catalog import all_oracles, all_queries, graphs, reports
 from engram.catalog.views import BASE
 
 # multi-stage jobs are exercised by test_plans on small fixtures
@@ -63,3 +63,11 @@ def test_settled_ranks(spark):
                     new[b] += 0.85 * rank[a] * w / out[a]
             rank = new
         assert all(abs(got[user, x] - rank[x]) < len(ids) * 1e-6 for x in ids)
+
+
+def test_word_sets_of_all_memories(spark):
+    """Each memory meets all queries of its user, and stays when there is none."""
+    tables = SimpleNamespace(memories_v=spark.createDataFrame([(900, 1, "Red fox, red hat"), (901, 2, "blue"), (902, 3, None)], "memory_id long, user_id long, content string"),
+                             queries_v=spark.createDataFrame([(5, 1, "a red dog"), (6, 1, "hat"), (7, 3, "blue")], "query_id long, user_id long, query string"))
+    got = {(r.memory_id, r.query_id): (r.n_both, r.n_only, r.n_union) for r in reports.set_04_user_queries(tables).collect()}
+    assert got == {(900, 5): (1, 2, 5), (900, 6): (1, 2, 3), (901, None): (0, 1, 1), (902, 7): (0, 0, 1)}
