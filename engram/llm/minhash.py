@@ -149,8 +149,8 @@ def _alike(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataF
     return cut(pairs.join(x, "a").join(y, "b").select("a", "b", F.greatest("n_a", "n_b").alias("n"), "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, k: int = K, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row."""
+def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``_sets`` gives them, and (node, root) of classes that are linked with others."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
     base = cut(_sets(docs, words, k))
     classes = base.where("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -203,8 +203,25 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
               .agg(F.collect_list(side).alias("own"), F.collect_list(mate).alias("others"))
               .select((F.col("i") == F.col("j")).alias("same"), "own", "others"))
     last = _verified(_alike(cut(_in_blocks(blocks, percent)), classes, k, percent), sets, percent)
-    labels = components(links.unionByName(last)).select("node", F.col("component").alias("root"))
+    return base, components(links.unionByName(last)).select("node", F.col("component").alias("root"))
+
+
+def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, k: int = K, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_key, copies): the first doc_id and hash of the text in each group, no doc_id last, and how many equal rows have it.
 
+    Each row without words is a group of its own; such rows come once with ``copies`` 1, as all of them stay.
+    """
+    base, labels = _grouped(docs, key, text, words, percent, k, block)
+    rows = base.where("node is not null").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = rows.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "copies")).alias("first"))
+    empty = base.where("node is null").select("doc_id", "text_key", F.lit(1).cast("long").alias("copies")).distinct()
+    return first.select("first.doc_id", "first.text_key", "first.copies").unionByName(empty)
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, k: int = K, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row."""
+    base, labels = _grouped(docs, key, text, words, percent, k, block)
     ids = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left")
     known = ids.withColumn("root", F.coalesce("root", "node"))
     smallest = known.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -450,6 +450,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(final[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items())
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(10_000)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, c), (5, c), (7, d), (7, d + " more"), (7, d), (8, d), (None, None), (None, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()]
+    seven = min((r.h, r.text) for r in docs.where("doc_id = 7").select("text", F.xxhash64("text").alias("h")).collect())[1]
+    assert collections.Counter(left) == collections.Counter([(1, a), (None, b), (5, c), (7, seven), (None, None), (None, ""), (9, "")])
+
+
+def test_pipeline_mix_comes_in_the_order_of_slots(spark):
+    docs = spark.createDataFrame([(i, "t", "en", "ab"[i % 2], 1) for i in range(1_280)], DOCS).repartition(3)
+    sources = [r.source for r in corpus_pipeline.mixed(spark, docs, "").collect()]
+    assert len(sources) == 1_280 and all(len(set(sources[i:i + 64])) == 1 and len(set(sources[i:i + 128])) == 2 for i in range(0, 1_280, 128))
+
+
 def test_queries_against_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from check import normal
