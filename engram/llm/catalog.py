@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bitsliced, bpe, crosspolytope, linededup, minhash, mixing, quality, ring, suffixes, toxicity
+from engram.llm import bitsliced, bpe, crosspolytope, linededup, minhash, mixing, packing, quality, ring, suffixes, toxicity
 from engram.llm.common import table
 from engram.llm.hashedtext import held_out
 
@@ -103,3 +103,11 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     graded = quality.with_grades(docs, labels, F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2), 3)
     return graded.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", "kept")
+
+
+@query("op13_vector_bin_packing")
+def op13_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of a document bear loss."""
+    docs = packing.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, "doc_id", tokens=4096, segments=64, loss=4096).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
