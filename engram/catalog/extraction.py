@@ -16,6 +16,7 @@ from engram.operators import eligibility as E
 from engram.operators import entropy as N
 from engram.operators import extract as X
 from engram.operators import pairs as PR
+from engram.operators.density import density_clusters
 
 VOCABULARY = {"technology": {"ring": "Ring", "hand": "Hand", "ringer": "Ring"}, "service": {"eaux": "Eaux"}}
 RULES = [("project", r"([A-Z][a-z]{3,30}) the[ .,]", 0.75), ("task", r"[ .](?:is|of) ([a-z]{3,20})[.,]", 0.5)]
@@ -210,7 +211,7 @@ def a_30(t):
 # ---- clusters ----------------------------------------------------------------------
 @query("c_01")
 def c_01(t):
-    return C.vector_clusters(t.vectors_v, min_similarity=LOW_SIMILARITY).select("user_id", "memory_id", "cluster_id")
+    return density_clusters(t.vectors_v, ["user_id"], "memory_id", LOW_SIMILARITY).select("user_id", "memory_id", "cluster_id")
 
 
 def planted(t):

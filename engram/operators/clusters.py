@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from engram import vocab as V
 from engram.functions import text as T
-from engram.operators.graph import connected_components
 from engram.operators.greedy import losers
 from engram.operators.labels import one_new_word_each, top_word_label, top_words
-from engram.operators.pairs import contradicts, vector_pairs, word_pairs
+from engram.operators.leaders import leaders
+from engram.operators.pairs import vector_pairs
 from engram.session import cut
 from engram.sources.store import event_log, top_per_group
 
@@ -21,43 +21,12 @@ def leader_clusters(df: DataFrame, keys: Sequence[str], id_col: str, words: str,
                     exclude_conflicts: bool = False, order: str | None = None, min_size: int = 2) -> DataFrame:
     """(keys, id, cluster_id) of groups found by taking rows in order (C-04 … C-06).
 
-    A leader is a row without an earlier leader that it overlaps by at least ``threshold`` (overlap coefficient); every other
-    row joins the earliest leader it overlaps, and ``cluster_id`` is the leader. With ``exclude_conflicts`` a row never joins
-    a group that holds an earlier row it contradicts: it goes on to the next leader it overlaps, or leads. The rule is
-    the same for a group of any size and is settled over the list of overlapping pairs.
+    A row joins the first group whose pooled words it overlaps by at least ``threshold`` (overlap coefficient) and opens one
+    otherwise; ``cluster_id`` is the row that opened it. With ``exclude_conflicts`` a row never joins a group that holds an
+    earlier row it contradicts. The rule is the same for a group of any size (see ``leaders``).
     """
-    keys, order = list(keys), order or id_col
-    every = df.select(*keys, F.col(id_col).alias("id"), F.col(order).alias("ord"), F.array_sort(F.coalesce(words, F.array())).alias("words"))
-    # rows with the same words share one fate, that of the first of them
-    first = every.filter(F.size("words") > 0).groupBy(*keys, "words").agg(F.min(F.struct("ord", "id")).alias("_f"))
-    rows = cut(first.select(*keys, F.col("_f.id").alias("id"), F.col("_f.ord").alias("ord"), "words"))
-    pairs = word_pairs(rows, keys, "id", "words", threshold, "overlap")
-    at = rows.select(*keys, "id", "ord")
-    both = (pairs.join(at.select(*keys, F.col("id").alias("id_a"), F.col("ord").alias("ord_a")), [*keys, "id_a"])
-            .join(at.select(*keys, F.col("id").alias("id_b"), F.col("ord").alias("ord_b")), [*keys, "id_b"]))
-    # a row is known by its keys and id together
-    name = lambda c: F.struct(*keys, F.col(c).alias("id"))
-    a_first = F.struct("ord_a", "id_a") < F.struct("ord_b", "id_b")
-    ordered = both.select(F.when(a_first, name("id_a")).otherwise(name("id_b")).alias("first"),
-                          F.when(a_first, name("id_b")).otherwise(name("id_a")).alias("second"), F.least("ord_a", "ord_b").alias("rank"),
-                          (contradicts() & (F.col("score") >= V.CONTRADICT_AT)).alias("_against"))
-    ordered = cut(ordered) if exclude_conflicts else ordered
-    open_ = ordered.filter("not _against").select("first", "second", "rank") if exclude_conflicts else ordered.select("first", "second", "rank")
-    joined = losers(open_)
-    while exclude_conflicts:
-        # two rows of one group that contradict each other: the later one is turned away from that leader
-        joined, against = cut(joined), ordered.filter("_against")
-        own = joined.select(F.col("loser").alias("second"), F.col("winner").alias("leader"))
-        near = own.join(against, "second").join(joined.select(F.col("loser").alias("first"), F.col("winner").alias("_l")), "first")
-        clash = near.filter(F.col("leader") == F.col("_l")).select(F.struct("leader", F.col("first").alias("row")).alias("first"), F.struct("leader", F.col("second").alias("row")).alias("second"), "rank")
-        turned = cut(losers(clash).select(F.col("loser.leader").alias("first"), F.col("loser.row").alias("second")))
-        if turned.isEmpty():
-            break
-        open_ = cut(open_.join(turned, ["first", "second"], "left_anti"))
-        joined = losers(open_)
-    joined = joined.select(F.col("loser.id").alias("id"), *[F.col(f"loser.{k}").alias(k) for k in keys], F.col("winner.id").alias("_leader"))
-    led = rows.join(joined, [*keys, "id"], "left").select(*keys, "words", F.coalesce("_leader", "id").alias("_leader"))
-    placed = every.join(led, [*keys, "words"], "left").select(*keys, "id", F.coalesce("_leader", "id").alias("cluster_id"))
+    keys = list(keys)
+    placed = cut(leaders(df, keys, id_col, words, order or id_col, threshold, exclude_conflicts).withColumnRenamed("leader", "cluster_id"))
     sizes = placed.groupBy(*keys, "cluster_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
     return placed.join(sizes.drop("_n"), [*keys, "cluster_id"], "left_semi").withColumnRenamed("id", id_col)
 
@@ -113,29 +82,6 @@ def merge_duplicates(memories: DataFrame, members: DataFrame, as_of: Column,
 
 
 # ---- vectors ---------------------------------------------------------------------
-def vector_clusters(vectors: DataFrame, keys: Sequence[str] = ("user_id",), id_col: str = "memory_id",
-                    min_similarity: float = V.CLUSTER_AT, min_neighbours: int = 2, min_size: int = 3) -> DataFrame:
-    """Density groups of vectors (C-01): dense rows that reach each other, plus rows near one of them.
-
-    A row is dense with ``min_neighbours`` others at ``min_similarity`` or closer. Rows near no dense
-    row are noise and left out. ``cluster_id`` is the smallest dense member.
-    """
-    keys = list(keys)
-    pairs = cut(vector_pairs(vectors, keys, id_col, min_similarity))
-    both = pairs.select(*keys, F.col("id_a").alias("id"), F.col("id_b").alias("other"), "score").unionByName(
-        pairs.select(*keys, F.col("id_b").alias("id"), F.col("id_a").alias("other"), "score"))
-    dense = both.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_neighbours).select("id")
-    inner = (pairs.join(dense.withColumnRenamed("id", "id_a"), "id_a", "left_semi")
-             .join(dense.withColumnRenamed("id", "id_b"), "id_b", "left_semi"))
-    labelled = connected_components(inner.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")), dense)
-    near = (both.join(dense, "id", "left_anti").join(labelled.withColumnRenamed("id", "other"), "other")
-            .groupBy("id").agg(F.max_by("component", F.struct("score", -F.col("other"))).alias("component")))
-    placed = labelled.unionByName(near).select(F.col("id").alias(id_col), F.col("component").alias("cluster_id"))
-    big = placed.groupBy("cluster_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
-    return (vectors.select(*keys, id_col).join(placed, id_col).join(big.select("cluster_id"), "cluster_id", "left_semi")
-            .select(*keys, id_col, "cluster_id"))
-
-
 def cluster_metrics(members: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("user_id",), id_col: str = "memory_id") -> DataFrame:
     """Size, centroid and mean pairwise similarity per group (A-20).
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engram import vocab as V
 from engram.operators import analytics as A
 from engram.operators import clusters as C
+from engram.operators.density import density_clusters
 from engram.operators.eligibility import consolidation_candidates, sound_concept
 from engram.operators.graph import connected_components
 from engram.operators.labels import top_word_label
@@ -57,7 +58,7 @@ def consolidate(memories: DataFrame, vectors: DataFrame, min_importance: float =
     """
     candidates = cut(consolidation_candidates(memories, min_importance).drop("rank"))
     own = cut(candidates.select("user_id", "memory_id").join(vectors.select("memory_id", "embedding"), "memory_id"))
-    found = cut(C.vector_clusters(own, min_similarity=min_similarity))
+    found = cut(density_clusters(own, ["user_id"], "memory_id", min_similarity))
     metrics = cut(C.cluster_metrics(found, own))
     members = cut(C.merge_similar_clusters(metrics, found))
     redundant = vector_pairs(members.join(own.select("memory_id", "embedding"), "memory_id"), ["user_id", "cluster_id"], "memory_id", V.REDUNDANT_AT)

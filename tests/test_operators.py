@@ -17,6 +17,7 @@ from engram.operators import extract as X
 from engram.operators import graph as G
 from engram.operators import greedy, packing
 from engram.operators import pairs as PR
+from engram.operators.density import density_clusters
 
 
 @pytest.fixture(scope="module")
@@ -104,36 +105,6 @@ def test_contradicting_claims_are_not_merged(memories):
     assert C.duplicate_clusters(m).count() == 0
 
 
-def leaders_by_hand(rows, threshold, conflict=None):
-    """Rows in order: (id, words). Conflicting rows are turned away from a leader, the later first, until none is left."""
-    overlap = lambda a, b: bool(a and b) and len(a & b) >= threshold * min(len(a), len(b)) - 1e-12
-    closed = {(i, j) for i, a in rows for j, b in rows if conflict and conflict(a, b)}
-    words = dict(rows)
-    while True:
-        home = {}
-        for i, w in rows:
-            home[i] = next((j for j, v in rows if j in home and home[j] == j and j != i and (j, i) not in closed and overlap(v, w)), i)
-        turned = set()
-        for n, (i, _) in enumerate(rows):
-            if home[i] != i and conflict and any(home[j] == home[i] and j != home[j] and (home[j], j) not in turned and overlap(words[j], words[i])
-                                                 and conflict(words[j], words[i]) for j, _ in rows[:n]):
-                turned.add((home[i], i))
-        if not turned:
-            return home
-        closed |= turned
-
-
-def test_groups_of_any_size_follow_one_rule(spark):
-    rng = np.random.default_rng(5)
-    rows = [(int(u), i, sorted({f"w{x}" for x in rng.integers(0, 12 + 20 * u, rng.integers(1, 7))})) for u in (0, 1) for i in range(40)]
-    df = spark.createDataFrame(rows, "user_id long, id long, words array<string>")
-    against = lambda a, b: len(a & b) >= 2 and len(a) > len(a & b) and len(b) > len(a & b) and len(a & b) / min(len(a), len(b)) >= V.CONTRADICT_AT
-    for exclude in (False, True):
-        got = {(r["user_id"], r["id"]): r["cluster_id"] for r in C.leader_clusters(df, ["user_id"], "id", "words", 0.4, exclude_conflicts=exclude, min_size=1).collect()}
-        for u in (0, 1):
-            assert {i: got[u, i] for i in range(40)} == leaders_by_hand([(i, set(w)) for x, i, w in rows if x == u], 0.4, against if exclude else None)
-
-
 def test_a_hot_group_is_one_cluster(spark):
     df = spark.range(5_000).select(F.lit(1).alias("user_id"), "id", F.array(F.lit("rust"), F.lit("go"), F.concat(F.lit("x"), F.col("id") % 3)).alias("words"))
     got = C.leader_clusters(df, ["user_id"], "id", "words", 0.4)
@@ -145,7 +116,7 @@ def test_two_tight_vector_groups(spark):
     rows = [(1, i, (np.array([1.0, 0, 0]) + rng.normal(size=3) * 0.02).tolist()) for i in range(5)]
     rows += [(1, 10 + i, (np.array([0, 1.0, 0]) + rng.normal(size=3) * 0.02).tolist()) for i in range(4)] + [(1, 99, [0.0, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "user_id long, memory_id long, embedding array<double>")
-    members = C.vector_clusters(df)
+    members = density_clusters(df, ["user_id"], "memory_id", V.CLUSTER_AT)
     got = {r["memory_id"]: r["cluster_id"] for r in members.collect()}
     assert got == {**{i: 0 for i in range(5)}, **{10 + i: 10 for i in range(4)}}
     stats = {r["cluster_id"]: r for r in C.cluster_metrics(members, df).collect()}
