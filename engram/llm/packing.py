@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,48 +31,79 @@ from tokenizers import Tokenizer
 
 from engram.llm.common import slices
 
-#: Pre-tokens that a worker remembers with their ids before it forgets all of them.
-REMEMBERED = 1 << 18
+#: Pre-tokens that a worker remembers with their ids (twice as many with those it has not met again since), and how long one may be.
+REMEMBERED, LONGEST = 1 << 17, 64
 #: A pool takes examples until it holds so many tokens or pieces.
-POOL_TOKENS, POOL_PIECES = 1 << 20, 2_048
-#: Bytes of text beyond ASCII and the letters of Latin-1, which the quick split does not judge.
-OTHER = rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]"
-SPLIT = rb"'(?:s|t|re|ve|m|ll|d)|(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|[^\sa-z0-9\x80-\xff]+"
+POOL_TOKENS, POOL_PIECES = 1 << 20, 512
+#: Bytes of plain ASCII and of the letters of Latin-1, and the two signs among those; text with other bytes is not for the quick split.
+PLAIN, SIGNS = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3]), (b"\xc3\x97", b"\xc3\xb7")
+SPLIT = rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9\x80-\xff]+"
+
+
+def plain(raw: bytes) -> bool:
+    return not raw.translate(None, PLAIN) and SIGNS[0] not in raw and SIGNS[1] not in raw
+
+
+def little(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes that cannot be seen: 256 and on, in order."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: chr(256 + i) for i, byte in enumerate(b for b in range(256) if b not in seen)}
+
+
+class Remembered(dict):
+    """Ids of pre-tokens. When it is full it starts anew, and takes over what is met again."""
+
+    def __init__(self, encode):
+        self.encode, self.before = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word) or self.encode(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
 
 
 class WordCodec:
     """Ids of lower-cased word BPE. A run between white space is parted into pre-tokens, each encoded once and remembered;
-    a run with bytes of ``OTHER`` is left whole for the tokenizer to part."""
+    a run that is not plain is left whole for the tokenizer to part."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.last[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
-        self.plain, self.any = re.compile(SPLIT), re.compile(rb"\S*(?:" + OTHER + rb")\S*|" + SPLIT)
-        self.other, self.known = re.compile(OTHER), {}
+        self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.split, self.known = re.compile(SPLIT), Remembered(self.ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, four little-endian bytes each."""
         raw = text.encode().lower()
-        found = (self.any if self.other.search(raw) else self.plain).findall(raw)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(set(found).difference(self.known))
-        return b"".join(map(self.known.__getitem__, found))
-
-    def learn(self, new: set[bytes]) -> None:
-        single = [w for w in new if not self.other.search(w)]
-        if single:  # one call for all: a pre-token ends with the token that ends a word
-            ids = np.array(self.tokenizer.encode(b" ".join(single).decode(), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(single):
-                raise ValueError("the tokenizer does not end each pre-token with a word end")
-            for word, start, end in zip(single, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.known[word] = ids[start:end].astype("<u4").tobytes()
-        for word in new.difference(single):
-            self.known[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.known.trim()
+        if plain(raw):
+            return b"".join(map(self.known.__getitem__, self.split.findall(raw)))
+        parts: list[bytes] = []
+        for run in raw.split():
+            if plain(run):
+                parts.extend(map(self.known.__getitem__, self.split.findall(run)))
+            else:
+                parts.append(little(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids))
+        return b"".join(parts)
+
+    def ids(self, word: bytes) -> bytes:
+        """Ids of a plain pre-token."""
+        shown = word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.letters)
+        return little([token.id for token in self.merge(shown)])
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +114,7 @@ def codec(path: str) -> WordCodec:
 def with_ids(docs: DataFrame, path: str, text: str = "text", out: str = "ids", end: int = 2) -> DataFrame:
     """``docs`` with the ids of ``text`` and the id ``end`` in ``out``: a binary of four little-endian bytes an id. ``out`` replaces a column of that name."""
     docs = docs.drop(out)
-    last = np.array([end], "<u4").tobytes()
+    last = little([end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -15,7 +15,7 @@ from engram.llm import catalog, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " \n\t ", "one", "It's they'RE we'LL 'tis o'clock 's", "!'s ''s don''t", "<|endoftext|> is <|startoftext|>text", "Über naïve ÀÉ × ÷ ß é ́x",
-         "ΑΣ ΣΑΣ İstanbul ǅ", "12 3a4 a1b2 ½ ² 一二三 日本語text", "a b c\x1cd\x85e", "😀😀 a😀b — “quoted” it’s", "x" * 9_000, "word " * 9_000, "\x00 null \x7f", "a_b-c.d,e;f"]
+         "ΑΣ ΣΑΣ İstanbul ǅ", "12 3a4 a1b2 ½ ² 一二三 日本語text", "a b c\x1cd\x85e", "😀😀 a😀b — “quoted” it’s", "x" * 9_000, "word " * 9_000, "\x00 null \x7f", "a_b-c.d,e;f", "a.b-é" * 40_000 + " ж"]
 
 
 def encoded(texts):
