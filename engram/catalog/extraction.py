@@ -230,13 +230,45 @@ def a_20(t):
     return C.cluster_metrics(planted(t), t.vectors_v).select("user_id", "cluster_id", "member_count", r6("avg_similarity").alias("avg_similarity"))
 
 
-@query("c_02")
+def leader_sql(rows: str, threshold: float, apart: bool, keys: str, name: str) -> str:
+    """Rows one after the other with the groups so far as state. ``rows``: keys, id, ws; words are compared by their hashes."""
+    clash = f"""AND NOT list_bool_or(list_transform(groups[i].ms, m -> LEN(LIST_INTERSECT(m, r.ws)) >= 2 AND LEN(LIST_INTERSECT(m, r.ws)) < LEN(m) AND LEN(LIST_INTERSECT(m, r.ws)) < LEN(r.ws)
+          AND LEN(LIST_INTERSECT(m, r.ws)) / LEAST(LEN(m), LEN(r.ws)) >= 0.5))""" if apart else ""
+    same = " AND ".join(f"r.{k} = s.{k}" for k in keys.split(", "))
+    cols = ", ".join(f"s.{k}" for k in keys.split(", "))
+    members = "list_append(g.ms, ws)" if apart else "g.ms"
+    return f"""
+    WITH RECURSIVE rows AS MATERIALIZED (SELECT {keys}, id, list_distinct(list_transform(ws, w -> hash(w))) AS ws, row_number() OVER (PARTITION BY {keys} ORDER BY id) AS pos FROM ({rows})),
+    st AS (SELECT {keys}, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS home, CAST([] AS STRUCT(leader BIGINT, ws UBIGINT[], ms UBIGINT[][])[]) AS groups FROM rows GROUP BY ALL
+      UNION ALL
+      SELECT {keys}, pos, id, COALESCE(groups[hit].leader, id), CASE WHEN hit IS NULL THEN list_append(groups, {{'leader': id, 'ws': ws, 'ms': [ws]}})
+        ELSE list_transform(groups, lambda g, i: CASE WHEN i = hit THEN {{'leader': g.leader, 'ws': list_distinct(list_concat(g.ws, ws)), 'ms': {members}}} ELSE g END) END
+      FROM (SELECT {cols}, r.pos, CAST(r.id AS BIGINT) AS id, r.ws, groups,
+              list_filter(range(1, len(groups) + 1), i -> LEN(r.ws) > 0 AND LEN(groups[i].ws) > 0 AND LEN(LIST_INTERSECT(groups[i].ws, r.ws)) / LEAST(LEN(groups[i].ws), LEN(r.ws)) >= {threshold} {clash})[1] AS hit
+            FROM st s JOIN rows r ON {same} AND r.pos = s.pos + 1)),
+    placed AS MATERIALIZED (SELECT {keys}, id AS {name}, home AS cluster_id FROM st WHERE pos > 0)
+    SELECT {keys}, {name}, cluster_id FROM placed WHERE (cluster_id, {keys}) IN (SELECT (cluster_id, {keys}) FROM placed GROUP BY ALL HAVING COUNT(*) >= 2)"""
+
+
+@query("c_02", f"""
+    WITH RECURSIVE p AS MATERIALIZED ({_PLANTED}),
+    dims AS (SELECT user_id, cluster_id, UNNEST(RANGE(1, 65)) AS i, UNNEST(CAST(embedding AS DOUBLE[])) AS x FROM p),
+    cent AS MATERIALIZED (SELECT user_id, cluster_id, LIST(m ORDER BY i) AS c FROM (SELECT user_id, cluster_id, i, AVG(x) AS m FROM dims GROUP BY ALL) GROUP BY ALL),
+    near AS MATERIALIZED (SELECT b.user_id, b.cluster_id, row_number() OVER (PARTITION BY b.user_id ORDER BY b.cluster_id) AS pos,
+        (SELECT LIST(a.cluster_id) FROM cent a WHERE a.user_id = b.user_id AND a.cluster_id < b.cluster_id AND LIST_COSINE_SIMILARITY(a.c, b.c) >= 0.5) AS ns FROM cent b),
+    st AS (SELECT user_id, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS cluster_id, CAST(NULL AS BIGINT) AS into_id, CAST([] AS BIGINT[]) AS led FROM near GROUP BY ALL
+      UNION ALL SELECT user_id, pos, cluster_id, COALESCE(hit, cluster_id), CASE WHEN hit IS NULL THEN list_append(led, cluster_id) ELSE led END
+        FROM (SELECT s.user_id, n.pos, n.cluster_id, led, list_filter(led, l -> list_contains(COALESCE(n.ns, []), l))[1] AS hit FROM st s JOIN near n ON n.user_id = s.user_id AND n.pos = s.pos + 1))
+    SELECT p.user_id, memory_id, into_id AS cluster_id FROM p JOIN st ON st.user_id = p.user_id AND st.cluster_id = p.cluster_id""")
 def c_02(t):
     metrics = C.cluster_metrics(planted(t), t.vectors_v)
-    return C.merge_similar_clusters(metrics, planted(t), threshold=0.5).select("user_id", "memory_id", "cluster_id")
+    return C.merge_similar_clusters(metrics, planted(t), threshold=0.5)[0].select("user_id", "memory_id", "cluster_id")
 
 
-@query("c_04")
+_WORDS = rf"LIST_FILTER(LIST_DISTINCT(REGEXP_EXTRACT_ALL(LOWER({{c}}), '[\p{{{{L}}}}\p{{{{N}}}}_]+')), w -> NOT LIST_CONTAINS({_STOP}, w))"
+
+
+@query("c_04", leader_sql(f"SELECT user_id, memory_id AS id, {_WORDS.format(c='content')} AS ws FROM memories_v WHERE memory_type IN ({', '.join(repr(x) for x in V.DUPLICATE_TYPES)})", 0.4, True, "user_id", "memory_id"))
 def c_04(t):
     return C.duplicate_clusters(t.memories_v).select("user_id", "memory_id", "cluster_id")
 
@@ -250,12 +282,18 @@ def c_05(t):
     return merged.select("query_id", F.col("id").alias("memory_id"), "n_sources", "merged")
 
 
-@query("c_06")
+_CONCEPT_TEXT = "REPLACE(COALESCE(concept_name, ''), '_', ' ') || ' ' || COALESCE(description, '')"
+
+
+@query("c_06", leader_sql(f"SELECT user_id, concept_id AS id, {_WORDS.format(c=_CONCEPT_TEXT)} AS ws FROM concepts_v WHERE NOT COALESCE(retired, false)", 0.4, False, "user_id", "concept_id"))
 def c_06(t):
     return C.concept_clusters(t.concepts_v).select("user_id", "concept_id", "cluster_id")
 
 
-@query("c_06_traits")
+_TRAIT_TEXT = "REPLACE(node_value, '_', ' ')"
+
+
+@query("c_06_traits", leader_sql(f"SELECT user_id, node_type, node_id AS id, {_WORDS.format(c=_TRAIT_TEXT)} AS ws FROM traits_v WHERE NOT COALESCE(retired, false)", 0.5, False, "user_id, node_type", "node_id"))
 def c_06_traits(t):
     return C.trait_clusters(t.traits_v).select("user_id", "node_type", "node_id", "cluster_id")
 

@@ -182,17 +182,22 @@ def g_11(t):
     return inside.groupBy("user_id", "source").agg(F.count("*").alias("n_edges"))
 
 
-@query("g_12", f"""
-    WITH b AS MATERIALIZED ({BOTH}), n AS (SELECT user_id, COUNT(*) AS n FROM nodes_v GROUP BY user_id), m AS (SELECT user_id, COUNT(*) AS m FROM edges_v GROUP BY user_id),
+@query("g_12", all_reach_sql(BOTH) + f""", b AS MATERIALIZED ({BOTH}), n AS (SELECT user_id, COUNT(*) AS n FROM nodes_v GROUP BY user_id), m AS (SELECT user_id, COUNT(*) AS m FROM edges_v GROUP BY user_id),
       deg AS (SELECT user_id, src AS node, COUNT(*) AS k FROM b GROUP BY user_id, src),
       tri AS (SELECT x.user_id, x.src AS node, COUNT(*) AS t FROM b x JOIN b y ON y.user_id = x.user_id AND y.src = x.src AND x.dst < y.dst JOIN b z ON z.user_id = x.user_id AND z.src = x.dst AND z.dst = y.dst GROUP BY x.user_id, x.src),
       cc AS (SELECT v.user_id, AVG(CASE WHEN k > 1 THEN 2.0 * COALESCE(t, 0) / (k * (k - 1)) ELSE 0.0 END) AS c FROM nodes_v v LEFT JOIN deg ON deg.user_id = v.user_id AND deg.node = v.node_id
-        LEFT JOIN tri ON tri.user_id = v.user_id AND tri.node = v.node_id GROUP BY v.user_id)
-    SELECT n.user_id, n.n AS n_nodes, COALESCE(m.m, 0) AS n_edges, ROUND(CASE WHEN n.n > 1 THEN COALESCE(m.m, 0) / (n.n * (n.n - 1)) ELSE 0.0 END, 6) AS density, ROUND(cc.c, 6) AS avg_clustering
-    FROM n LEFT JOIN m ON m.user_id = n.user_id JOIN cc ON cc.user_id = n.user_id""")
+        LEFT JOIN tri ON tri.user_id = v.user_id AND tri.node = v.node_id GROUP BY v.user_id),
+      roots AS (SELECT user_id, source, MIN(node) AS root FROM near GROUP BY user_id, source),
+      w AS (SELECT user_id, COUNT(DISTINCT root) AS parts FROM roots GROUP BY user_id),
+      far AS (SELECT user_id, SUM(depth) AS total, COUNT(*) AS pairs FROM near WHERE depth > 0 GROUP BY user_id)
+    SELECT n.user_id, n.n AS n_nodes, COALESCE(m.m, 0) AS n_edges, ROUND(CASE WHEN n.n > 1 THEN COALESCE(m.m, 0) / (n.n * (n.n - 1)) ELSE 0.0 END, 6) AS density, ROUND(cc.c, 6) AS avg_clustering,
+      w.parts AS weak_components, ROUND(CASE WHEN n.n > 1 THEN 2.0 * COALESCE(m.m, 0) / (n.n * (n.n - 1)) ELSE 1.0 END, 6) AS avg_degree_centrality,
+      ROUND(CASE WHEN w.parts = 1 AND n.n > 1 THEN far.total / far.pairs END, 6) AS avg_shortest_path
+    FROM n LEFT JOIN m ON m.user_id = n.user_id JOIN cc ON cc.user_id = n.user_id JOIN w ON w.user_id = n.user_id LEFT JOIN far ON far.user_id = n.user_id""")
 def g_12(t):
     s = G.statistics(t.nodes_v, t.edges_v)
-    return s.select("user_id", "n_nodes", "n_edges", r6("density").alias("density"), r6("avg_clustering").alias("avg_clustering"))
+    return s.select("user_id", "n_nodes", "n_edges", r6("density").alias("density"), r6("avg_clustering").alias("avg_clustering"), "weak_components",
+                    r6("avg_degree_centrality").alias("avg_degree_centrality"), r6("avg_shortest_path").alias("avg_shortest_path"))
 
 
 @query("g_13", reach_sql(BOTH, 2) + """

@@ -280,11 +280,11 @@ _W = r"LIST_DISTINCT(REGEXP_EXTRACT_ALL(LOWER({c}), '[\p{{L}}\p{{N}}_]+'))"
 
 
 @query("set_04", rf"""SELECT memory_id, LEN(LIST_INTERSECT(a, b)) AS n_both, LEN(a) - LEN(LIST_INTERSECT(a, b)) AS n_only, LEN(a) + LEN(b) - LEN(LIST_INTERSECT(a, b)) AS n_union
-    FROM (SELECT memory_id, {_W.format(c='content')} AS a, {_W.format(c='query')} AS b FROM memories_v JOIN queries_v ON query_id = memory_id)""")
+    FROM (SELECT memory_id, {_W.format(c="COALESCE(content, '')")} AS a, {_W.format(c="COALESCE(summary, '')")} AS b FROM memories_v)""")
 def set_04(t):
-    a, b = T.word_set(F.col("content")), T.word_set(F.col("query"))
-    both = t.memories_v.join(t.queries_v.drop("user_id"), F.col("query_id") == F.col("memory_id"))
-    return both.select("memory_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_only"), F.size(F.array_union(a, b)).alias("n_union"))
+    """The words of every memory against those of its summary."""
+    a, b = T.word_set(F.coalesce("content", F.lit(""))), T.word_set(F.coalesce("summary", F.lit("")))
+    return t.memories_v.select("memory_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_only"), F.size(F.array_union(a, b)).alias("n_union"))
 
 
 _P = "COALESCE({c}, '')"
@@ -293,7 +293,7 @@ _P = "COALESCE({c}, '')"
 @query("set_04_user_queries", rf"""SELECT memory_id, query_id, LEN(LIST_INTERSECT(a, b)) AS n_both, LEN(a) - LEN(LIST_INTERSECT(a, b)) AS n_only, LEN(a) + LEN(b) - LEN(LIST_INTERSECT(a, b)) AS n_union
     FROM (SELECT memory_id, query_id, {_W.format(c=_P.format(c='content'))} AS a, {_W.format(c=_P.format(c='query'))} AS b FROM memories_v m LEFT JOIN queries_v q ON q.user_id = m.user_id)""")
 def set_04_user_queries(t):
-    """Every memory against the queries of its user; set_04 meets only ids that are also query ids."""
+    """Every memory against the queries of its user."""
     a, b = T.word_set(F.coalesce("content", F.lit(""))), T.word_set(F.coalesce("query", F.lit("")))
     both = t.memories_v.join(t.queries_v, "user_id", "left")
     return both.select("memory_id", "query_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_only"), F.size(F.array_union(a, b)).alias("n_union"))

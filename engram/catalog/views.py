@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.session import spread
+
 AS_OF_S = 1706745600  # 2024-02-01 00:00:00 UTC
 WORLD_AS_OF_S = 883612800  # 1998-01-01 00:00:00 UTC
 
@@ -209,7 +211,8 @@ class Tables:
 
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df, "doc_id") if name == "documents" else df
         sql = VIEWS[name]
         needs = {n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", sql))}
         df = self.spark.sql(_expand(sql, "spark"), **needs)

@@ -103,13 +103,21 @@ def cluster_metrics(members: DataFrame, vectors: DataFrame, keys: Sequence[str]
 
 
 def merge_similar_clusters(metrics: DataFrame, members: DataFrame, keys: Sequence[str] = ("user_id",),
-                           threshold: float = V.CENTROID_MERGE_AT) -> DataFrame:
-    """Members with the cluster that absorbed theirs: an earlier cluster takes the later ones near its centroid (C-02)."""
+                           threshold: float = V.CENTROID_MERGE_AT) -> tuple[DataFrame, DataFrame]:
+    """(members, metrics) after an earlier cluster took the later ones near its centroid (C-02).
+
+    What absorbs keeps its centroid and pair mean, counts all members and is as confident as the most confident of them.
+    """
     keys = list(keys)
     pairs = vector_pairs(metrics, keys, "cluster_id", threshold, embedding="centroid")
-    moved = losers(pairs.select(F.col("id_a").alias("first"), F.col("id_b").alias("second"), F.col("id_a").alias("rank")))
-    moves = moved.select(F.col("loser").alias("cluster_id"), F.col("winner").alias("_into"))
-    return (members.join(moves, "cluster_id", "left").withColumn("cluster_id", F.coalesce("_into", "cluster_id")).drop("_into"))
+    moves = cut(losers(pairs.select(F.col("id_a").alias("first"), F.col("id_b").alias("second"), F.col("id_a").alias("rank")))
+                .select(F.col("loser").alias("cluster_id"), F.col("winner").alias("_into")))
+    to = lambda df: df.join(moves, "cluster_id", "left").withColumn("_into", F.coalesce("_into", "cluster_id"))
+    own = F.col("cluster_id") == F.col("_into")
+    merged = to(metrics).groupBy(*keys, "_into").agg(
+        F.sum("member_count").alias("member_count"), F.max(F.when(own, F.struct("centroid", "avg_similarity"))).alias("_own"), F.max("confidence").alias("confidence"))
+    return (to(members).drop("cluster_id").withColumnRenamed("_into", "cluster_id"),
+            merged.select(*keys, F.col("_into").alias("cluster_id"), "member_count", "_own.centroid", "_own.avg_similarity", "confidence"))
 
 
 def merge_groups(memories: DataFrame, groups: DataFrame) -> DataFrame:

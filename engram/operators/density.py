@@ -1,15 +1,19 @@
 """Hierarchical density clustering of vectors by joins (C-01).
 
 Single linkage over mutual-reachability distances, condensed to groups of a least size, of which the most stable are kept.
-Nothing is done group by group: a user with a third of all rows is spread like the rest.
+A user with few rows is settled in one task; one with a third of all rows is spread over all of them by joins. Both do the
+same, so the bound decides where the work is done and never what comes out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from engram.operators.graph import connected_components
@@ -18,6 +22,8 @@ from engram.session import cut
 
 #: Distances are rounded to so many digits and taken as at least the last of them, so that copies have a finite density.
 DIGITS, NEAREST = 9, 1e-9
+#: Rows up to which one task settles a user.
+ROWS_IN_TASK = 1_024
 
 
 def _density(distance: Column) -> Column:
@@ -132,16 +138,86 @@ def _topmost(clusters: DataFrame) -> DataFrame:
     return jump.select("k", "top")
 
 
-def density_clusters(vectors: DataFrame, keys: Sequence[str], id_col: str, min_similarity: float, min_samples: int = 2, min_size: int = 3) -> DataFrame:
-    """(keys, id, cluster_id) of the most stable density clusters of a hierarchy (C-01). Rows in no cluster are noise and left out.
+def settle(vectors: np.ndarray, min_similarity: float, min_samples: int, min_size: int) -> np.ndarray:
+    """The first row of the cluster of each row, or -1, for rows (of one length) in the order of their ids."""
+    n, limit = len(vectors), round(1 - min_similarity, DIGITS)
+    out = np.full(n, -1)
+    if n < max(min_size, min_samples + 1):
+        return out
+    size = np.linalg.norm(vectors, axis=1)
+    m = np.divide(vectors, size[:, None], out=np.zeros_like(vectors), where=size[:, None] > 0)
+    d = np.maximum(np.round(1 - m @ m.T, DIGITS), 0)
+    _, kind = np.unique(vectors, axis=0, return_inverse=True)
+    d[kind.ravel()[:, None] == kind.ravel()[None, :]] = 0
+    others = d.copy()
+    np.fill_diagonal(others, np.inf)
+    core = np.partition(others, min_samples - 1, axis=1)[:, min_samples - 1]
+    i, j = np.triu_indices(n, 1)
+    w = np.maximum(np.maximum(d[i, j], core[i]), core[j])
+    near = np.flatnonzero(w <= limit)
+    near = near[np.lexsort((j[near], i[near], w[near]))]
+    density = lambda x: 1.0 / max(x, NEAREST)
+    root, members = list(range(n)), {x: [x] for x in range(n)}
+    # an open cluster: rows that fell out, their summed densities, rows of the clusters below, where those were born, what they are worth, which are kept
+    open_: dict[int, list] = {}
 
-    Distance is one minus the cosine. A row's core distance is that of its ``min_samples``-th nearest other row, two rows are as far apart
-    as the largest of their distance and both core distances. The hierarchy starts at ``min_similarity``: rows further apart are never joined, and a
-    whole part may be one cluster. ``cluster_id`` is the smallest id of a cluster; ids must be unique across ``keys``. Equal vectors count
-    as often as they occur but are compared once.
-    """
-    keys, limit = list(keys), round(1 - min_similarity, DIGITS)
-    rows = vectors.filter(F.size("embedding") > 0).select(*keys, F.col(id_col).alias("id"), F.col("embedding").alias("v"))
+    def close(part: int, birth: float) -> tuple[float, list[list[int]]]:
+        own, dense, below, death, best, kept = open_.pop(part)
+        stability = dense - own * birth + below * (death - birth)
+        return (stability, [list(members[part])]) if stability >= best else (best, kept)
+
+    for weight, a, b in zip(w[near].tolist(), i[near].tolist(), j[near].tolist()):
+        a, b = root[a], root[b]
+        if a == b:
+            continue
+        at, into, from_ = density(weight), *((a, b) if len(members[a]) >= len(members[b]) else (b, a))
+        large = [x for x in (into, from_) if x in open_]
+        if len(large) == 2:
+            done = [close(x, at) for x in large]
+            state = [0, 0.0, len(members[a]) + len(members[b]), at, sum(s for s, _ in done), done[0][1] + done[1][1]]
+        elif large:
+            state = open_.pop(large[0])
+            state[0] += len(members[from_])
+            state[1] += len(members[from_]) * at
+        else:
+            total = len(members[a]) + len(members[b])
+            state = [total, total * at, 0, 0.0, 0.0, []]
+        for x in members[from_]:
+            root[x] = into
+        members[into] += members.pop(from_)
+        if len(members[into]) >= min_size:
+            open_[into] = state
+    for part in list(open_):
+        for cluster in close(part, density(limit))[1]:
+            out[cluster] = min(cluster)
+    return out
+
+
+def _in_tasks(rows: DataFrame, keys: list[str], min_similarity: float, min_samples: int, min_size: int) -> DataFrame:
+    """(keys, id, cluster_id) of users whose rows one task can hold; vectors of each length by themselves."""
+    kind = rows.schema["id"].dataType
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("id", kind), StructField("cluster_id", kind)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        column = table.column("v").combine_chunks()
+        lengths, parts = column.value_lengths().to_numpy(zero_copy_only=False), []
+        ends = np.cumsum(lengths)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        for dim in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == dim)
+            first = settle(flat[(ends[at] - dim)[:, None] + np.arange(dim)], min_similarity, min_samples, min_size)
+            some = np.flatnonzero(first >= 0)
+            mine = table.take(pa.array(at[some]))
+            parts.append(pa.table([*[mine.column(k) for k in keys], mine.column("id"), table.column("id").take(pa.array(at[first[some]]))], [f.name for f in schema.fields]))
+        return pa.concat_tables(parts)
+
+    return rows.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _by_rounds(rows: DataFrame, keys: list[str], min_similarity: float, min_samples: int, min_size: int) -> DataFrame:
+    """(keys, id, cluster_id) of users of any size. Equal vectors are compared once."""
+    limit = round(1 - min_similarity, DIGITS)
     same = cut(rows.groupBy(*keys, "v").agg(F.min("id").alias("node"), F.count("*").alias("n")))
     pairs = cut(vector_pairs(same.withColumnRenamed("v", "embedding"), keys, "node", min_similarity).select(
         "id_a", "id_b", F.greatest(F.round(1 - F.col("score"), DIGITS), F.lit(0.0)).alias("d")))
@@ -168,4 +244,21 @@ def density_clusters(vectors: DataFrame, keys: Sequence[str], id_col: str, min_s
     placed = homes.join(_topmost(clusters), "k").filter("top is not null").select("node", "top")
     named = placed.groupBy("top").agg(F.min("node").alias("cluster_id"))
     member = placed.join(named, "top").select("node", "cluster_id").join(same.select(*keys, "node", "v"), "node")
-    return rows.join(member, [*keys, "v"]).select(*keys, F.col("id").alias(id_col), "cluster_id")
+    return rows.join(member, [*keys, "v"]).select(*keys, "id", "cluster_id")
+
+
+def density_clusters(vectors: DataFrame, keys: Sequence[str], id_col: str, min_similarity: float, min_samples: int = 2, min_size: int = 3,
+                     rows_in_task: int = ROWS_IN_TASK) -> DataFrame:
+    """(keys, id, cluster_id) of the most stable density clusters of a hierarchy (C-01). Rows in no cluster are noise and left out.
+
+    Distance is one minus the cosine. A row's core distance is that of its ``min_samples``-th nearest other row, two rows are as far apart
+    as the largest of their distance and both core distances. The hierarchy starts at ``min_similarity``: rows further apart are never joined, and a
+    whole part may be one cluster. ``cluster_id`` is the smallest id of a cluster; ids must be unique across ``keys``.
+    """
+    keys = list(keys)
+    rows = cut(vectors.filter(F.size("embedding") > 0).select(*keys, F.col(id_col).alias("id"), F.col("embedding").alias("v")))
+    large = cut(rows.groupBy(*keys).agg(F.count("*").alias("_all")).filter(F.col("_all") > rows_in_task).select(*keys))
+    if large.isEmpty():
+        return _in_tasks(rows, keys, min_similarity, min_samples, min_size).withColumnRenamed("id", id_col)
+    found = _in_tasks(rows.join(large, keys, "left_anti"), keys, min_similarity, min_samples, min_size)
+    return found.unionByName(_by_rounds(rows.join(large, keys, "left_semi"), keys, min_similarity, min_samples, min_size)).withColumnRenamed("id", id_col)

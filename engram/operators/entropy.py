@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,26 +12,34 @@ from engram import vocab as V
 from engram.functions import quality as Q
 from engram.functions import text as T
 from engram.operators import clusters as C
-from engram.operators.pairs import contradictory_pairs
+from engram.operators.pairs import contradictions
 from engram.session import cut
 
 
-def _signals(memories: DataFrame, buckets) -> tuple[DataFrame, DataFrame]:
-    """(duplicate group members, conflicting pairs) of the given rows."""
-    return cut(C.duplicate_clusters(memories)), cut(contradictory_pairs(memories, buckets).select("user_id", "id_a", "id_b"))
+@dataclass
+class Signals:
+    """What disorder is measured by: members of duplicate groups, conflicts counted per user, rows in conflict."""
+
+    members: DataFrame
+    conflicts: DataFrame
+    rows: DataFrame
+
+
+def signals(memories: DataFrame, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS) -> Signals:
+    conflicts, rows = contradictions(memories, buckets)
+    return Signals(cut(C.duplicate_clusters(memories)), conflicts, rows)
 
 
 def store_entropy(memories: DataFrame, concepts: DataFrame, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS,
-                  signals: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                  found: Signals | None = None) -> DataFrame:
     """Redundancy, conflicts, fragmentation, obsolescence and their weighted sum (A-11)."""
-    members, pairs = signals or _signals(memories, buckets)
+    found = found or signals(memories, buckets)
     low = (F.col("cognitive_state") == "decaying") | F.coalesce(F.col("memory_strength") < 0.2, F.lit(False))
     base = memories.groupBy("user_id").agg(F.count("*").alias("total_memories"), F.count_if(low).alias("_low"))
-    dup = members.groupBy("user_id").agg(F.count("*").alias("_dup"), F.count_distinct("cluster_id").alias("duplicate_clusters"))
-    con = pairs.groupBy("user_id").agg(F.count("*").alias("conflict_count"))
+    dup = found.members.groupBy("user_id").agg(F.count("*").alias("_dup"), F.count_distinct("cluster_id").alias("duplicate_clusters"))
     thin = F.coalesce(F.when(F.col("support_count") != 0, F.col("support_count")), F.lit(1)) <= 1
     frag = concepts.groupBy("user_id").agg((F.count_if(thin) / F.count("*")).alias("fragmentation"))
-    df = base.join(dup, "user_id", "left").join(con, "user_id", "left").join(frag, "user_id", "left")
+    df = base.join(dup, "user_id", "left").join(found.conflicts, "user_id", "left").join(frag, "user_id", "left")
     n = F.col("total_memories")
     df = df.withColumns({
         "duplicate_clusters": F.coalesce("duplicate_clusters", F.lit(0)), "conflict_count": F.coalesce("conflict_count", F.lit(0)),
@@ -46,10 +55,9 @@ def per_memory_entropy(memories: DataFrame, concepts: DataFrame, buckets: Mappin
     The store score looks at rows not forgotten, as the measurement does.
     """
     live = memories.filter(F.col("cognitive_state") != "forgotten")
-    members, pairs = _signals(live, buckets)
-    score = store_entropy(live, concepts, buckets, (members, pairs)).select("user_id", F.col("entropy_score").alias("_store"))
-    flagged = members.select("memory_id").unionByName(
-        pairs.select(F.explode(F.array("id_a", "id_b")).alias("memory_id"))).distinct().withColumn("_flag", F.lit(True))
+    found = signals(live, buckets)
+    score = store_entropy(live, concepts, buckets, found).select("user_id", F.col("entropy_score").alias("_store"))
+    flagged = found.members.select("memory_id").unionByName(found.rows).distinct().withColumn("_flag", F.lit(True))
     df = memories.join(flagged, "memory_id", "left").join(score, "user_id", "left")
     calm = F.least(F.coalesce("entropy_score", F.lit(0.0)), F.lit(0.05))
     return df.withColumn("entropy_score", F.when(F.col("_flag"), F.col("_store")).otherwise(calm)).select(*memories.columns)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engram import vocab as V
 from engram.session import cut
@@ -237,35 +238,60 @@ def closeness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None)
     return df.select("user_id", "node_id", value.alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength") -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength", batches: int = 1) -> DataFrame:
     """Share of lightest paths that run through a node (G-06), with edge weights as distances.
 
-    Distances relax over all sources at once; path counts then flow along tight edges in
-    order of distance, and dependencies flow back. Rounds stop when nothing changes.
+    Of equally light paths those with fewer edges of weight zero count, so that a ring of such edges lengthens a path and everything ends; loops at a node are on no path
+    and weights below zero count as zero. Distances relax over all sources at once; path counts then flow along tight edges in
+    order of distance, and dependencies flow back. Rounds stop when nothing changes. With ``batches`` the sources are taken in so many
+    parts one after the other, since what is held grows with sources times nodes.
     """
-    e = edges.groupBy("user_id", "src", "dst").agg(F.min(F.round(weight, 9)).alias("w"))
+    light = edges.filter("src <> dst").select("user_id", "src", "dst", F.greatest(F.round(weight, 9), F.lit(0.0)).alias("w")).filter("w is not null")
+    e = cut(light.groupBy("user_id", "src", "dst").agg(F.min("w").alias("w")).withColumn("z", (F.col("w") == 0).cast("int")))
+    ids = nodes.select("user_id", "node_id").distinct()
+    totals = []
+    for batch in range(batches):
+        sources = ids.filter(F.pmod(F.xxhash64("user_id", "node_id"), F.lit(batches)) == batch)
+        part = _dependencies(sources, e)
+        if part is not None:
+            totals.append(part)
+    sizes = ids.groupBy("user_id").agg(F.count("*").alias("n"))
+    base = ids.join(sizes, "user_id")
+    if not totals:
+        return base.select("user_id", "node_id", F.lit(0.0).alias("betweenness"))
+    total = totals[0]
+    for more in totals[1:]:
+        total = total.unionByName(more)
+    sums = total.groupBy("user_id", F.col("t").alias("node_id")).agg(F.sum("g").alias("g"))
+    scale = F.when(F.col("n") > 2, 1.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
+    return base.join(sums, ["user_id", "node_id"], "left").select(
+        "user_id", "node_id", (F.coalesce("g", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(sources: DataFrame, e: DataFrame) -> DataFrame | None:
+    """(user_id, t, g): what each node carries of the paths from the sources, over edges (user_id, src, dst, w, z) with z for weight zero."""
     keys = ["user_id", "s", "t"]
-    dist = nodes.select("user_id", F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(0.0).alias("d"))
-    e, front = cut(e), dist
+    far = F.struct(F.round(F.col("d") + F.col("w"), 9).alias("d"), (F.col("k") + F.col("z")).alias("k"))
+    dist = cut(sources.select("user_id", F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(0.0).alias("d"), F.lit(0).alias("k")))
+    front = dist
     while True:
         # only pairs that improved in the last round can improve others
-        longer = (front.join(e.withColumnRenamed("src", "t"), ["user_id", "t"])
-                  .groupBy("user_id", "s", F.col("dst").alias("t")).agg(F.min(F.round(F.col("d") + F.col("w"), 9)).alias("d")))
-        front = cut(longer.join(dist.withColumnRenamed("d", "_d"), keys, "left").filter(F.col("_d").isNull() | (F.col("d") < F.col("_d"))).drop("_d"))
+        longer = front.join(e.withColumnRenamed("src", "t"), ["user_id", "t"]).groupBy("user_id", "s", F.col("dst").alias("t")).agg(F.min(far).alias("f"))
+        known = dist.select(*keys, F.struct("d", "k").alias("_f"))
+        front = cut(longer.join(known, keys, "left").filter(F.col("_f").isNull() | (F.col("f") < F.col("_f"))).select(*keys, "f.d", "f.k"))
         if front.isEmpty():
             break
         dist = cut(dist.join(front.select(*keys), keys, "left_anti").unionByName(front))
-    a = dist.select("user_id", "s", F.col("t").alias("src"), F.col("d").alias("da"))
-    b = dist.select("user_id", "s", F.col("t").alias("dst"), F.col("d").alias("db"))
+    a = dist.select("user_id", "s", F.col("t").alias("src"), F.col("d").alias("da"), F.col("k").alias("ka"))
+    b = dist.select("user_id", "s", F.col("t").alias("dst"), F.col("d").alias("db"), F.col("k").alias("kb"))
     tight = cut(a.join(e, ["user_id", "src"]).join(b, ["user_id", "s", "dst"])
-                .filter(F.abs(F.col("da") + F.col("w") - F.col("db")) < 1e-9).select("user_id", "s", "src", "dst"))
+                .filter((F.abs(F.col("da") + F.col("w") - F.col("db")) < 1e-9) & (F.col("ka") + F.col("z") == F.col("kb"))).select("user_id", "s", "src", "dst"))
     # counts by number of edges walked; every lightest path has some length
-    walk = nodes.select("user_id", F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(1.0).alias("c"))
+    walk = sources.select("user_id", F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(1.0).alias("c"))
     counts = walk
     while True:
-        walk = (walk.join(tight.withColumnRenamed("src", "t"), ["user_id", "s", "t"])
-                .groupBy("user_id", "s", F.col("dst").alias("t")).agg(F.sum("c").alias("c")))
-        walk = cut(walk)
+        walk = cut(walk.join(tight.withColumnRenamed("src", "t"), ["user_id", "s", "t"])
+                   .groupBy("user_id", "s", F.col("dst").alias("t")).agg(F.sum("c").alias("c")))
         if walk.isEmpty():
             break
         counts = counts.unionByName(walk)
@@ -281,16 +307,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength") ->
                 .groupBy("user_id", "s", F.col("src").alias("t")).agg(F.sum(F.col("r") * F.col("g")).alias("g")))
         back = cut(back.filter("s <> t"))
         if back.isEmpty():
-            break
-        total = back if total is None else total.unionByName(back)
-    sizes = nodes.groupBy("user_id").agg(F.count("*").alias("n"))
-    base = nodes.select("user_id", "node_id").join(sizes, "user_id")
-    if total is None:
-        return base.select("user_id", "node_id", F.lit(0.0).alias("betweenness"))
-    sums = total.groupBy("user_id", F.col("t").alias("node_id")).agg(F.sum("g").alias("g"))
-    scale = F.when(F.col("n") > 2, 1.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
-    return base.join(sums, ["user_id", "node_id"], "left").select(
-        "user_id", "node_id", (F.coalesce("g", F.lit(0.0)) * scale).alias("betweenness"))
+            return total
+        total = back.select("user_id", "t", "g") if total is None else total.unionByName(back.select("user_id", "t", "g"))
 
 
 # ---- spreading ---------------------------------------------------------------------
@@ -370,26 +388,59 @@ def clustering_coefficient(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return local.groupBy("user_id").agg(F.avg(c).alias("avg_clustering"))
 
 
-def statistics(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+def distance_sums(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user_id, total, pairs): the summed distances and the number of ordered pairs of different nodes that reach each other along edges.
+
+    Breadth-first from 64 sources at once: a node holds one long per group of sources, a bit for each that has reached it, and bits are combined before
+    they are shuffled. What is held is a row per node and 64 sources, not one per pair.
+    """
+    step = cut(edges.select("user_id", F.col("src").alias("node"), F.col("dst").alias("next")).filter("node <> next").distinct())
+    ids = nodes.select("user_id", F.col("node_id").alias("node")).distinct()
+    sizes = ids.groupBy("user_id").agg(F.ceil(F.count("*") / 48).alias("_parts"))
+    dealt = ids.join(sizes, "user_id").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts")))
+    place = F.row_number().over(Window.partitionBy("user_id", "part").orderBy("node")) - 1
+    front = dealt.withColumn("_at", place).select(
+        "user_id", F.struct("part", F.floor(F.col("_at") / 64).alias("more")).alias("group"), "node", F.expr("shiftleft(1L, cast(_at % 64 as int))").alias("bits"))
+    keys = ["user_id", "group", "node"]
+    front = cut(front)
+    seen, sums, depth = front, [], 0
+    while True:
+        depth += 1
+        sent = (front.join(step, ["user_id", "node"]).groupBy("user_id", "group", F.col("next").alias("node")).agg(F.bit_or("bits").alias("bits")))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))
+        front = cut(sent.join(seen.withColumnRenamed("bits", "_seen"), keys, "left").select(*keys, fresh.alias("bits")).filter("bits <> 0"))
+        if front.isEmpty():
+            break
+        sums.append(front.groupBy("user_id").agg(F.sum(F.bit_count("bits")).alias("pairs")).withColumn("total", F.col("pairs") * depth))
+        seen = cut(seen.unionByName(front).groupBy(*keys).agg(F.bit_or("bits").alias("bits")))
+    if not sums:
+        return ids.select("user_id", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("pairs")).limit(0)
+    every = sums[0]
+    for more in sums[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("user_id").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+
+
+def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts, density, clustering, weak components, degree centrality, mean shortest path (G-12).
 
-    The mean path is given for graphs in one piece.
+    The mean path is given for graphs in one piece, and distances are taken in those alone.
     """
     from engram.operators.entropy import density
-    pair = edges.select("user_id", "src", "dst").distinct()
+    pair = cut(edges.select("user_id", "src", "dst").distinct())
     base = density(nodes, pair)
-    name = lambda c: F.concat(F.col("user_id").cast("string"), F.lit("\u0001"), F.col(c).cast("string"))
+    name = lambda c: F.concat(F.col("user_id").cast("string"), F.lit("\u0001"), F.col(c).cast("string"))
     comp = connected_components(pair.select(name("src").alias("src"), name("dst").alias("dst")), nodes.select(name("node_id").alias("id")))
-    parts = (comp.select(F.split("id", "\u0001")[0].alias("_u"), "component").groupBy("_u").agg(F.count_distinct("component").alias("weak_components")))
-    far = (reach(nodes, both_ways(pair), max_depth).filter("depth > 0").groupBy("user_id")
-           .agg(F.sum("depth").alias("_sum"), F.count("*").alias("_pairs")))
+    parts = cut(comp.select(F.split("id", "\u0001")[0].alias("_u"), "component").groupBy("_u").agg(F.count_distinct("component").alias("weak_components")))
+    whole = parts.filter("weak_components = 1").select("_u")
+    one = lambda df: df.join(whole, F.col("_u") == F.col("user_id").cast("string"), "left_semi")
+    far = distance_sums(one(nodes), one(both_ways(pair)))
     df = (base.join(clustering_coefficient(nodes, pair), "user_id", "left")
           .join(parts, F.col("_u") == F.col("user_id").cast("string"), "left").drop("_u").join(far, "user_id", "left"))
     n = F.col("n_nodes")
-    whole = (F.col("weak_components") == 1) & (F.col("_pairs") == n * (n - 1))
     return df.withColumns({
         "avg_degree_centrality": F.when(n > 1, 2.0 * F.col("n_edges") / (n * (n - 1))).otherwise(1.0),
-        "avg_shortest_path": F.when(whole, F.col("_sum") / F.col("_pairs"))}).drop("_sum", "_pairs")
+        "avg_shortest_path": F.when((F.col("weak_components") == 1) & (F.col("pairs") == n * (n - 1)), F.col("total") / F.col("pairs"))}).drop("total", "pairs")
 
 
 def upsert_edges(edges: DataFrame, new: DataFrame, mode: str = "strengthen", as_of: Column | None = None) -> DataFrame:

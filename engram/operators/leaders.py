@@ -18,7 +18,7 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from engram import vocab as V
-from engram.operators.pairs import contradicts, word_pairs
+from engram.operators.pairs import contradicts, distinct_pairs, distinct_sets
 from engram.session import cut
 
 #: Words of all rows together up to which one task settles a group of rows.
@@ -116,8 +116,8 @@ def _by_rounds(rows: DataFrame, keys: list[str], threshold: float, apart: bool)
 
 def _conflicts(base: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, sig, other): word sets that contradict each other, each pair both ways; equal sets are one."""
-    sets = base.groupBy(*keys, "sig").agg(F.first("words").alias("words"))
-    pairs = word_pairs(sets, keys, "sig", "words", V.CONTRADICT_AT, "overlap").filter(contradicts())
+    _, sets = distinct_sets(base, keys, "sig", "words")
+    pairs = distinct_pairs(sets, keys, V.CONTRADICT_AT, "overlap").filter(contradicts())
     return pairs.select(*keys, F.col("id_a").alias("sig"), F.col("id_b").alias("other")).unionByName(pairs.select(*keys, F.col("id_b").alias("sig"), F.col("id_a").alias("other")))
 
 

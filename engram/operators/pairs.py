@@ -18,63 +18,113 @@ POSTINGS_PER_TASK = 4000
 VECTORS_PER_BLOCK = 1024
 
 
-def word_pairs(sets: DataFrame, keys: Sequence[str], id_col: str, words: str, threshold: float,
-               measure: str = "jaccard") -> DataFrame:
-    """All pairs (id_a < id_b) within ``keys`` whose word sets reach ``threshold``, with counts and score.
+def distinct_sets(sets: DataFrame, keys: Sequence[str], id_col: str, words: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, distinct): rows (keys, id, words) with words in order, and each different set (keys, id, words, n, copies) under the smallest id that has it."""
+    keys = list(keys)
+    rows = cut(sets.select(*keys, F.col(id_col).alias("id"), F.array_sort(words).alias("words")).filter(F.size("words") > 0))
+    distinct = (rows.groupBy(*keys, F.xxhash64("words").alias("_h"), "words").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+                .select(*keys, "id", "words", F.size("words").alias("n"), "copies"))
+    return rows, cut(distinct)
+
+
+def distinct_pairs(base: DataFrame, keys: Sequence[str], threshold: float, measure: str = "jaccard") -> DataFrame:
+    """Pairs (id_a < id_b) of different sets of ``base`` (see ``distinct_sets``) that reach ``threshold``, with counts and copies.
 
-    Exact. Words are ordered rare first; a pair that qualifies must share a word within the
-    leading part of the smaller set (of both sets for Jaccard), so only those are joined.
-    Long posting lists are split over several tasks by salt. Candidates are then measured
-    on the whole sets.
+    Exact. Words are ordered rare first; a pair that qualifies must share a word within the leading part of the smaller set (of both
+    sets for Jaccard), and at the first word they share enough words must follow in both. A long posting list is split into blocks that
+    meet block by block, so no task holds a whole list on either side. Candidates are then measured on the whole sets.
     """
     if measure not in ("jaccard", "overlap"):
         raise ValueError(f"unknown measure {measure}")
     keys = list(keys)
-    # read four times below; written once so that texts are scanned and split only once
-    base = cut(sets.select(*keys, F.col(id_col).alias("id"), F.col(words).alias("words"), F.size(words).alias("n")).filter("n > 0"))
     postings = base.select(*keys, "id", "n", F.explode("words").alias("word"))
     spread = postings.groupBy(*keys, "word").agg(F.count("*").alias("df"))
     position = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("df", "word"))
-    ranked = (postings.join(spread, [*keys, "word"]).withColumn("pos", position)
-              .withColumn("lead", F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-              .filter("df > 1").withColumn("salts", F.ceil(F.col("df") / POSTINGS_PER_TASK).cast("int")))
-    leading = ranked.filter("pos <= lead")
-    left = leading.select(*keys, "word", F.col("id").alias("l"), F.col("n").alias("ln"),
-                          F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    right = (leading if measure == "jaccard" else ranked).select(
-        *keys, "word", F.col("id").alias("r"), F.col("n").alias("rn"),
-        F.pmod(F.hash("id"), F.col("salts")).alias("salt"))
+    blocks = F.ceil(F.col("df") / POSTINGS_PER_TASK).cast("int")
+    need = F.ceil(F.col("n") * threshold - 1e-9)
+    ranked = (postings.join(spread, [*keys, "word"]).withColumn("pos", position).filter("df > 1")
+              .withColumns({"lead": F.col("n") - need + 1, "rest": F.col("n") - F.col("pos") + 1, "blocks": blocks, "block": F.pmod(F.hash("id"), blocks)}))
+    ranked = ranked.filter("pos <= lead") if measure == "jaccard" else ranked
+    celled = ranked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda name, cell: celled.select(*keys, "word", F.col("id").alias(name), F.col("n").alias(f"{name}n"), F.col("rest").alias(f"{name}rest"),
+                                            F.col("pos").alias(f"{name}pos"), F.col("lead").alias(f"{name}lead"), cell.alias("cell"))
+    # a cell is (block of the left row, block of the right row)
+    left = side("l", F.struct(F.col("block").alias("i"), F.col("other").alias("j"))).filter("lpos <= llead")
+    right = side("r", F.struct(F.col("other").alias("i"), F.col("block").alias("j")))
     # the left row is the smaller set, ties go to the smaller id
     ordered = (F.col("ln") < F.col("rn")) | ((F.col("ln") == F.col("rn")) & (F.col("l") < F.col("r")))
+    follow = F.least("lrest", "rrest")
     if measure == "jaccard":
-        ordered = ordered & (F.col("ln") >= F.col("rn") * threshold - 1e-9)
-    candidates = (left.join(right, [*keys, "word", "salt"]).filter(ordered).select(*keys, "l", "r").distinct())
-    a = base.select(*keys, F.col("id").alias("l"), F.col("words").alias("lw"))
-    b = base.select(*keys, F.col("id").alias("r"), F.col("words").alias("rw"))
+        ordered = ordered & (F.col("ln") >= F.col("rn") * threshold - 1e-9) & (follow >= F.ceil(threshold / (1 + threshold) * (F.col("ln") + F.col("rn")) - 1e-9))
+    else:
+        ordered = ordered & (follow >= F.ceil(F.col("ln") * threshold - 1e-9))
+    candidates = left.join(right, [*keys, "word", "cell"]).filter(ordered).select(*keys, "l", "r").distinct()
+    a = base.select(*keys, F.col("id").alias("l"), F.col("words").alias("lw"), F.col("copies").alias("lc"))
+    b = base.select(*keys, F.col("id").alias("r"), F.col("words").alias("rw"), F.col("copies").alias("rc"))
     shared = F.size(F.array_intersect("lw", "rw"))
     n_l, n_r = F.size("lw"), F.size("rw")
     score = shared / (n_l + n_r - shared) if measure == "jaccard" else shared / F.least(n_l, n_r)
     swap = F.col("l") > F.col("r")
+    pick = lambda x, y: F.when(swap, y).otherwise(x)
     return (candidates.join(a, [*keys, "l"]).join(b, [*keys, "r"])
-            .select(*keys, F.when(swap, F.col("r")).otherwise(F.col("l")).alias("id_a"),
-                    F.when(swap, F.col("l")).otherwise(F.col("r")).alias("id_b"),
-                    F.when(swap, n_r).otherwise(n_l).alias("n_a"), F.when(swap, n_l).otherwise(n_r).alias("n_b"),
-                    shared.alias("shared"), score.alias("score"))
+            .select(*keys, pick(F.col("l"), F.col("r")).alias("id_a"), pick(F.col("r"), F.col("l")).alias("id_b"), pick(n_l, n_r).alias("n_a"), pick(n_r, n_l).alias("n_b"),
+                    shared.alias("shared"), score.alias("score"), pick(F.col("lc"), F.col("rc")).alias("copies_a"), pick(F.col("rc"), F.col("lc")).alias("copies_b"))
             .filter(F.col("score") >= threshold))
 
 
+def word_pairs(sets: DataFrame, keys: Sequence[str], id_col: str, words: str, threshold: float,
+               measure: str = "jaccard") -> DataFrame:
+    """All pairs (id_a < id_b) within ``keys`` whose word sets reach ``threshold``, with counts and score (J-05).
+
+    Equal sets are compared once and written out at the end. What only counts pairs should use ``distinct_pairs``, whose size does not grow with copies.
+    """
+    keys = list(keys)
+    rows, base = distinct_sets(sets, keys, id_col, words)
+    found = distinct_pairs(base, keys, threshold, measure).drop("copies_a", "copies_b")
+    if base.filter("copies > 1").isEmpty():
+        return found
+    member = cut(rows.join(base.select(*keys, "words", "n", F.col("id").alias("first"), "copies"), [*keys, "words"]).select(*keys, "first", "id", "n", "copies"))
+    a = member.select(*keys, F.col("first").alias("id_a"), F.col("id").alias("_a"))
+    b = member.select(*keys, F.col("first").alias("id_b"), F.col("id").alias("_b"))
+    swap = F.col("_a") > F.col("_b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    across = found.join(a, [*keys, "id_a"]).join(b, [*keys, "id_b"]).select(
+        *keys, pick("_a", "_b").alias("id_a"), pick("_b", "_a").alias("id_b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "shared", "score")
+    same = member.filter("copies > 1")
+    within = (same.join(same.select(*keys, "first", F.col("id").alias("_b")), [*keys, "first"]).filter(F.col("id") < F.col("_b"))
+              .select(*keys, F.col("id").alias("id_a"), F.col("_b").alias("id_b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("shared"), F.lit(1.0).alias("score")))
+    return across.unionByName(within)
+
+
 def contradicts() -> Column:
     """Same claim shape, different object: enough shared words, and each side has some of its own."""
     return (F.col("shared") >= 2) & (F.col("n_a") > F.col("shared")) & (F.col("n_b") > F.col("shared"))
 
 
+def _stances(memories: DataFrame, buckets: Mapping[str, Sequence[str]], types: Sequence[str] | None) -> DataFrame:
+    from engram.operators.eligibility import stance_memories
+    return stance_memories(memories, buckets, types).withColumn("_w", T.word_set(F.col("content"), V.STOPWORDS))
+
+
 def contradictory_pairs(memories: DataFrame, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS,
                         threshold: float = V.CONTRADICT_AT, types: Sequence[str] | None = V.STANCE_TYPES,
                         keys: Sequence[str] = ("user_id",)) -> DataFrame:
     """Pairs of stance-bearing rows that conflict (J-06)."""
-    from engram.operators.eligibility import stance_memories
-    stances = stance_memories(memories, buckets, types).withColumn("_w", T.word_set(F.col("content"), V.STOPWORDS))
-    return word_pairs(stances, keys, "memory_id", "_w", threshold, "overlap").filter(contradicts())
+    return word_pairs(_stances(memories, buckets, types), keys, "memory_id", "_w", threshold, "overlap").filter(contradicts())
+
+
+def contradictions(memories: DataFrame, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS, threshold: float = V.CONTRADICT_AT,
+                   types: Sequence[str] | None = V.STANCE_TYPES) -> tuple[DataFrame, DataFrame]:
+    """(counts, rows) of the conflicts of each user without writing pairs of rows: (user_id, conflict_count) and the (memory_id) that have any.
+
+    Rows with equal words contradict the same rows and never each other, so different word sets meet once and count by their copies.
+    """
+    rows, base = distinct_sets(_stances(memories, buckets, types), ["user_id"], "memory_id", "_w")
+    pairs = cut(distinct_pairs(base, ["user_id"], threshold, "overlap").filter(contradicts()).select("user_id", "id_a", "id_b", "copies_a", "copies_b"))
+    counts = pairs.groupBy("user_id").agg(F.sum(F.col("copies_a") * F.col("copies_b")).alias("conflict_count"))
+    marked = pairs.select("user_id", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    sets = base.join(marked, ["user_id", "id"], "left_semi").select("user_id", "words")
+    return counts, rows.join(sets, ["user_id", "words"], "left_semi").select(F.col("id").alias("memory_id"))
 
 
 def vector_pairs(vectors: DataFrame, keys: Sequence[str], id_col: str, threshold: float, strict: bool = False,

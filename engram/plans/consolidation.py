@@ -32,7 +32,7 @@ def cluster_concepts(members: DataFrame, metrics: DataFrame, memories: DataFrame
     texts = members.join(memories.select("memory_id", "content"), "memory_id")
     labels = top_word_label(texts, ["user_id", "cluster_id"], "content", 3)
     per = members.groupBy("user_id", "cluster_id").agg(F.count("*").alias("support_count"), F.array_sort(F.collect_list("memory_id")).alias("supporting_memory_ids"))
-    tight = metrics.groupBy("cluster_id").agg(F.max("confidence").alias("confidence"), F.max_by("centroid", "member_count").alias("embedding"))
+    tight = metrics.select("cluster_id", "confidence", F.col("centroid").alias("embedding"))
     return (per.join(labels, ["user_id", "cluster_id"], "left").join(tight, "cluster_id")
             .select("user_id", F.col("cluster_id").alias("concept_id"), F.coalesce("label", F.concat(F.lit("concept_"), F.col("cluster_id").cast("string"))).alias("concept_name"),
                     F.concat(F.lit("Consolidated from "), F.col("support_count").cast("string"), F.lit(" related memories")).alias("description"),
@@ -59,8 +59,8 @@ def consolidate(memories: DataFrame, vectors: DataFrame, min_importance: float =
     candidates = cut(consolidation_candidates(memories, min_importance).drop("rank"))
     own = cut(candidates.select("user_id", "memory_id").join(vectors.select("memory_id", "embedding"), "memory_id"))
     found = cut(density_clusters(own, ["user_id"], "memory_id", min_similarity))
-    metrics = cut(C.cluster_metrics(found, own))
-    members = cut(C.merge_similar_clusters(metrics, found))
+    members, metrics = C.merge_similar_clusters(cut(C.cluster_metrics(found, own)), found)
+    members, metrics = cut(members), cut(metrics)
     redundant = vector_pairs(members.join(own.select("memory_id", "embedding"), "memory_id"), ["user_id", "cluster_id"], "memory_id", V.REDUNDANT_AT)
     groups = connected_components(redundant.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))).select(F.col("id").alias("memory_id"), "component")
     merged = cut(C.merge_groups(memories, groups))

@@ -43,6 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table read in fewer partitions than there are cores is dealt out over them by ``keys``, so that work on long texts is shared. A table of more stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 _written: list[str] = []
 
 

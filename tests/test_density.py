@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from engram.operators.density import DIGITS, NEAREST, density_clusters, spanning_forest
+from engram.operators.density import DIGITS, NEAREST, density_clusters, settle, spanning_forest
 
 
 def brute(rows, min_similarity, min_samples, min_size):
@@ -77,14 +77,14 @@ def blobs(seed, n, dim=6, spread=0.25):
     return rows
 
 
-@pytest.mark.parametrize(("min_similarity", "min_samples", "min_size"), [(0.75, 2, 3), (0.2, 2, 3), (-1.0, 1, 4)])
-def test_clusters_equal_the_sequential_version(spark, min_similarity, min_samples, min_size):
+@pytest.mark.parametrize(("min_similarity", "min_samples", "min_size", "in_task"), [(0.75, 2, 3, 40), (0.2, 2, 3, 1_024), (-1.0, 1, 4, 0)])
+def test_clusters_equal_the_sequential_version(spark, min_similarity, min_samples, min_size, in_task):
     users = {u: [(100 * u + i, v) for i, v in enumerate(blobs(u, n))] for u, n in [(1, 45), (2, 30), (3, 1), (4, 60)]}
     users[5] = [(500, [1.0, 0.0]), (501, [0.0, 1.0])]
     users[6] = [(600 + i, [1.0, 2.0]) for i in range(7)]  # copies only
     rows = [(u, i, v) for u, vs in users.items() for i, v in vs] + [(7, 700, None), (7, 701, [])]
     vectors = spark.createDataFrame(rows, "user_id long, memory_id long, embedding array<double>").repartition(3)
-    got = {r.memory_id: r.cluster_id for r in density_clusters(vectors, ["user_id"], "memory_id", min_similarity, min_samples, min_size).collect()}
+    got = {r.memory_id: r.cluster_id for r in density_clusters(vectors, ["user_id"], "memory_id", min_similarity, min_samples, min_size, in_task).collect()}
     want = {}
     for vs in users.values():
         want |= brute(vs, min_similarity, min_samples, min_size)
@@ -109,3 +109,11 @@ def test_spanning_forest_takes_the_lightest_edges(spark):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "user_id long, memory_id long, embedding array<double>")
     assert density_clusters(none, ["user_id"], "memory_id", 0.5).collect() == []
+
+
+@pytest.mark.parametrize("options", [(0.75, 2, 3), (0.2, 2, 3), (-1.0, 1, 4), (0.5, 3, 2), (0.9, 2, 5)])
+def test_one_task_settles_as_the_sequential_version(options):
+    for seed in range(12):
+        rows = list(enumerate(blobs(seed, 10 + 3 * seed)))
+        got = settle(np.array([v for _, v in rows]), *options)
+        assert {i: int(c) for i, c in enumerate(got) if c >= 0} == brute(rows, *options)

@@ -186,6 +186,65 @@ def test_betweenness_counts_lightest_paths(spark):
     assert got == {"a": 0.0, "b": 1.0, "c": 1.0, "d": 3.0, "e": 0.0}
 
 
+def betweenness_by_hand(nodes, edges):
+    """Over all simple paths, lightest first and then fewest edges of weight zero."""
+    best = {}
+    for a, b, w in edges:
+        if a != b:
+            best[a, b] = min(w, best.get((a, b), w))
+    out, found = dict.fromkeys(nodes, 0.0), {}
+
+    def walk(path, cost):
+        found.setdefault((path[0], path[-1]), []).append((cost, path))
+        for (a, b), w in best.items():
+            if a == path[-1] and b not in path:
+                walk([*path, b], (round(cost[0] + w, 9), cost[1] + (w == 0)))
+
+    for n in nodes:
+        walk([n], (0.0, 0))
+    for paths in found.values():
+        low = min(c for c, _ in paths)
+        tied = [p for c, p in paths if c == low]
+        for p in tied:
+            for v in p[1:-1]:
+                out[v] += 1 / len(tied)
+    n = len(nodes)
+    return {v: round(x / ((n - 1) * (n - 2)) if n > 2 else x, 6) for v, x in out.items()}
+
+
+def test_betweenness_with_weights_of_zero_ends(spark):
+    rng = random.Random(8)
+    graphs = {1: (["a", "b", "c"], [("a", "b", 0.0), ("b", "a", 0.0), ("b", "c", 0.5), ("c", "c", 0.0)])}
+    for u in range(2, 6):
+        names = [f"n{i}" for i in range(6)]
+        graphs[u] = (names, [(rng.choice(names), rng.choice(names), rng.choice([0.0, 0.0, 0.1, 0.2, 0.3])) for _ in range(14)])
+    n = spark.createDataFrame([(u, x) for u, (ns, _) in graphs.items() for x in ns], "user_id long, node_id string")
+    e = spark.createDataFrame([(u, *x) for u, (_, es) in graphs.items() for x in es], "user_id long, src string, dst string, strength double")
+    want = {(u, v): x for u, (ns, es) in graphs.items() for v, x in betweenness_by_hand(ns, es).items()}
+    got = {(r["user_id"], r["node_id"]): round(r["betweenness"], 6) for r in G.betweenness(n, e, batches=2).collect()}
+    assert got == want
+
+
+def test_distances_from_64_sources_at_once(spark):
+    rng = random.Random(3)
+    sizes = {1: 150, 2: 1, 3: 40}
+    edges = {(u, rng.randrange(n), rng.randrange(n)) for u, n in sizes.items() for _ in range(2 * n)}
+    n = spark.createDataFrame([(u, i) for u, k in sizes.items() for i in range(k)], "user_id long, node_id long")
+    e = spark.createDataFrame(list(edges), "user_id long, src long, dst long")
+    want = {}
+    for u, k in sizes.items():
+        total = pairs = 0
+        for s in range(k):
+            depth, front = {s: 0}, [s]
+            while front:
+                front = list({d for x, a, d in edges if x == u and a in front and d not in depth})
+                depth |= {d: max(depth.values()) + 1 for d in front}
+            total, pairs = total + sum(depth.values()), pairs + len(depth) - 1
+        want[u] = (total, pairs)
+    got = {r["user_id"]: (r["total"], r["pairs"]) for r in G.distance_sums(n, e).collect()}
+    assert got == {u: v for u, v in want.items() if v[1]}
+
+
 # ---- extraction -------------------------------------------------------------------
 def test_world_model_sentences(spark):
     rows = [(1, 1, days_ago(3), "Started building Atlas. Atlas uses PostgreSQL and Redis."), (1, 2, days_ago(2), "We decided to keep Redis because it is fast. Atlas depends on Docker."),
