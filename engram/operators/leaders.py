@@ -135,4 +135,4 @@ def leaders(df: DataFrame, keys: Sequence[str], id_col: str | Column, words: str
     if large.isEmpty():
         return _in_tasks(every, keys, threshold, apart)
     small = _in_tasks(every.join(large, keys, "left_anti"), keys, threshold, apart)
-    return small.unionByName(_by_rounds(every.join(large, keys, "left_semi").withColumn("words", F.array_sort("words")), keys, threshold, apart))
+    return small.unionByName(_by_rounds(every.join(large, keys, "left_semi").withColumn("words", F.sort_array("words")), keys, threshold, apart))

@@ -6,8 +6,10 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from engram import vocab as V
@@ -15,28 +17,66 @@ from engram.functions import text as T
 from engram.session import cut
 
 POSTINGS_PER_TASK = 4000
+#: Rows times words of one key up to which one task compares them.
+CELLS_IN_TASK = 1 << 24
 VECTORS_PER_BLOCK = 1024
 
 
 def distinct_sets(sets: DataFrame, keys: Sequence[str], id_col: str, words: str) -> tuple[DataFrame, DataFrame]:
     """(rows, distinct): rows (keys, id, words) with words in order, and each different set (keys, id, words, n, copies) under the smallest id that has it."""
     keys = list(keys)
-    rows = cut(sets.select(*keys, F.col(id_col).alias("id"), F.array_sort(words).alias("words")).filter(F.size("words") > 0))
+    # filtered only once written: a filter on words would find them in the texts a second time
+    rows = cut(sets.select(*keys, F.col(id_col).alias("id"), F.sort_array(words).alias("words"))).filter(F.size("words") > 0)
     distinct = (rows.groupBy(*keys, F.xxhash64("words").alias("_h"), "words").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
                 .select(*keys, "id", "words", F.size("words").alias("n"), "copies"))
     return rows, cut(distinct)
 
 
-def distinct_pairs(base: DataFrame, keys: Sequence[str], threshold: float, measure: str = "jaccard") -> DataFrame:
+def distinct_pairs(base: DataFrame, keys: Sequence[str], threshold: float, measure: str = "jaccard",
+                   cells_in_task: int = CELLS_IN_TASK) -> DataFrame:
     """Pairs (id_a < id_b) of different sets of ``base`` (see ``distinct_sets``) that reach ``threshold``, with counts and copies.
 
-    Exact. Words are ordered rare first; a pair that qualifies must share a word within the leading part of the smaller set (of both
-    sets for Jaccard), and at the first word they share enough words must follow in both. A long posting list is split into blocks that
-    meet block by block, so no task holds a whole list on either side. Candidates are then measured on the whole sets.
+    Exact. What ``keys`` holds few words is compared in one task, the rest by joins; both find the same pairs.
     """
     if measure not in ("jaccard", "overlap"):
         raise ValueError(f"unknown measure {measure}")
     keys = list(keys)
+    large = cut(base.groupBy(*keys).agg((F.count("*") * F.sum("n")).alias("_cells")).filter(F.col("_cells") > cells_in_task).select(*keys))
+    if large.isEmpty():
+        return _pairs_in_tasks(base, keys, threshold, measure)
+    return _pairs_in_tasks(base.join(large, keys, "left_anti"), keys, threshold, measure).unionByName(
+        _pairs_by_join(base.join(large, keys, "left_semi"), keys, threshold, measure))
+
+
+def _pairs_in_tasks(base: DataFrame, keys: list[str], threshold: float, measure: str) -> DataFrame:
+    """The pairs of each key from one product of its rows-by-words matrix with itself."""
+    kind = base.schema["id"].dataType
+    schema = StructType([*[base.schema[k] for k in keys], StructField("id_a", kind), StructField("id_b", kind),
+                         *StructType.fromDDL("n_a int, n_b int, shared int, score double, copies_a long, copies_b long").fields])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        words = table.column("words").combine_chunks()
+        coded, n = words.flatten().dictionary_encode(), words.value_lengths().to_numpy(zero_copy_only=False)
+        held = np.zeros((len(n), len(coded.dictionary)), np.float32)
+        held[np.repeat(np.arange(len(n)), n), coded.indices.to_numpy()] = 1
+        shared = np.triu(held @ held.T, 1).astype(np.int64)
+        i, j = np.nonzero(shared)
+        met = shared[i, j]
+        score = met / (n[i] + n[j] - met if measure == "jaccard" else np.minimum(n[i], n[j]))
+        i, j, met, score = (x[score >= threshold] for x in (i, j, met, score))
+        at = lambda name, rows: table.column(name).take(pa.array(rows))
+        return pa.table([*[at(k, i) for k in keys], at("id", i), at("id", j), pa.array(n[i], pa.int32()), pa.array(n[j], pa.int32()), pa.array(met, pa.int32()),
+                         pa.array(score), at("copies", i), at("copies", j)], [f.name for f in schema.fields])
+
+    return base.select(*keys, "id", "words", "copies").groupBy(*keys).applyInArrow(run, schema)
+
+
+def _pairs_by_join(base: DataFrame, keys: list[str], threshold: float, measure: str) -> DataFrame:
+    """The pairs of keys of any size. Words are ordered rare first; a pair that qualifies must share a word within the leading part of the smaller set (of both
+    sets for Jaccard), and at the first word they share enough words must follow in both. A long posting list is split into blocks that
+    meet block by block, so no task holds a whole list on either side. Candidates are then measured on the whole sets.
+    """
     postings = base.select(*keys, "id", "n", F.explode("words").alias("word"))
     spread = postings.groupBy(*keys, "word").agg(F.count("*").alias("df"))
     position = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("df", "word"))
@@ -73,14 +113,14 @@ def distinct_pairs(base: DataFrame, keys: Sequence[str], threshold: float, measu
 
 
 def word_pairs(sets: DataFrame, keys: Sequence[str], id_col: str, words: str, threshold: float,
-               measure: str = "jaccard") -> DataFrame:
+               measure: str = "jaccard", cells_in_task: int = CELLS_IN_TASK) -> DataFrame:
     """All pairs (id_a < id_b) within ``keys`` whose word sets reach ``threshold``, with counts and score (J-05).
 
     Equal sets are compared once and written out at the end. What only counts pairs should use ``distinct_pairs``, whose size does not grow with copies.
     """
     keys = list(keys)
     rows, base = distinct_sets(sets, keys, id_col, words)
-    found = distinct_pairs(base, keys, threshold, measure).drop("copies_a", "copies_b")
+    found = distinct_pairs(base, keys, threshold, measure, cells_in_task).drop("copies_a", "copies_b")
     if base.filter("copies > 1").isEmpty():
         return found
     member = cut(rows.join(base.select(*keys, "words", "n", F.col("id").alias("first"), "copies"), [*keys, "words"]).select(*keys, "first", "id", "n", "copies"))

@@ -30,11 +30,11 @@ def word_rows():
 
 @pytest.mark.parametrize("measure", ["jaccard", "overlap"])
 @pytest.mark.parametrize("threshold", [0.4, 0.8])
-@pytest.mark.parametrize("per_task", [4000, 3])
-def test_word_pairs_equal_brute_force(spark, word_rows, measure, threshold, per_task, monkeypatch):
-    monkeypatch.setattr(PR, "POSTINGS_PER_TASK", per_task)  # 3 forces salting
+@pytest.mark.parametrize(("per_task", "cells"), [(4000, 1 << 24), (3, 0), (4000, 900)])
+def test_word_pairs_equal_brute_force(spark, word_rows, measure, threshold, per_task, cells, monkeypatch):
+    monkeypatch.setattr(PR, "POSTINGS_PER_TASK", per_task)  # 3 forces blocks
     df = spark.createDataFrame(word_rows, "user_id long, id long, words array<string>")
-    got = {(r["id_a"], r["id_b"]): (r["shared"], round(r["score"], 9), r["n_a"], r["n_b"]) for r in PR.word_pairs(df, ["user_id"], "id", "words", threshold, measure).collect()}
+    got = {(r["id_a"], r["id_b"]): (r["shared"], round(r["score"], 9), r["n_a"], r["n_b"]) for r in PR.word_pairs(df, ["user_id"], "id", "words", threshold, measure, cells).collect()}
     want = {}
     for (u, i, a), (v, j, b) in itertools.combinations(sorted(word_rows, key=lambda r: r[1]), 2):
         if u != v or not a or not b:
@@ -105,6 +105,23 @@ def test_contradicting_claims_are_not_merged(memories):
     assert C.duplicate_clusters(m).count() == 0
 
 
+def test_a_word_in_every_row_of_a_hot_user(spark):
+    """A user with a third of all rows, one word in each of them and many copies: blocks bound what meets, copies do not multiply."""
+    hot = spark.range(6_000).select(F.lit(1).alias("user_id"), "id", F.array(F.lit("all"), F.concat(F.lit("a"), F.col("id") % 900), F.concat(F.lit("b"), F.col("id") % 900), F.lit("too")).alias("words"))
+    rest = spark.range(12_000).select((2 + F.col("id") % 3_000).alias("user_id"), (F.col("id") + 6_000).alias("id"), F.array(F.concat(F.lit("w"), F.col("id") % 7), F.lit("x")).alias("words"))
+    _, base = PR.distinct_sets(hot.unionByName(rest), ["user_id"], "id", "words")
+    assert base.filter("user_id = 1").count() == 900
+    pairs = PR.distinct_pairs(base, ["user_id"], 0.75, "overlap", cells_in_task=1_000).filter("user_id = 1")
+    assert pairs.count() == 0 and PR.distinct_pairs(base, ["user_id"], 0.5, "overlap", cells_in_task=1_000).filter("user_id = 1").count() == 900 * 899 // 2
+
+
+def test_conflicts_are_counted_from_different_sets(spark, memories):
+    m = memories(*[{"content": "prefers Angular for frontend work"}] * 5, *[{"content": "prefers React for frontend work"}] * 3, {"content": "likes tea"})
+    counts, rows = PR.contradictions(m)
+    assert [r["conflict_count"] for r in counts.collect()] == [15] == [PR.contradictory_pairs(m).count()]
+    assert sorted(r["memory_id"] for r in rows.collect()) == list(range(1, 9))
+
+
 def test_a_hot_group_is_one_cluster(spark):
     df = spark.range(5_000).select(F.lit(1).alias("user_id"), "id", F.array(F.lit("rust"), F.lit("go"), F.concat(F.lit("x"), F.col("id") % 3)).alias("words"))
     got = C.leader_clusters(df, ["user_id"], "id", "words", 0.4)
