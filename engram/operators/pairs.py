@@ -20,6 +20,8 @@ POSTINGS_PER_TASK = 4000
 #: Rows times words of one key up to which one task compares them.
 CELLS_IN_TASK = 1 << 24
 VECTORS_PER_BLOCK = 1024
+#: Pivots that part a large group of vectors.
+PIVOTS = 256
 
 
 def distinct_sets(sets: DataFrame, keys: Sequence[str], id_col: str, words: str) -> tuple[DataFrame, DataFrame]:
@@ -167,29 +169,88 @@ def contradictions(memories: DataFrame, buckets: Mapping[str, Sequence[str]] = V
     return counts, rows.join(sets, ["user_id", "words"], "left_semi").select(F.col("id").alias("memory_id"))
 
 
+def _cells(rows: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """(keys, id, v, pivot, angle) of groups of several blocks: the nearest of the group's pivots to each row, and how far it is off.
+
+    Pivots are rows with the least hashes, ``PIVOTS`` a group at most. They meet the rows of a group in parts of bounded size.
+    """
+    types = dict(rows.dtypes)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))
+    pivots = cut(rows.join(sizes.select(*keys, "blocks"), keys).withColumn("pivot", place).filter(F.col("pivot") <= F.least(3 * F.col("blocks"), F.lit(PIVOTS)))
+              .select(*keys, "pivot", F.col("v").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")))
+    parted = rows.join(sizes.select(*keys, "blocks"), keys).select(*keys, "id", "v", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int").alias("part"))
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", id {types['id']}, v {types['v']}, pivot int, angle double"
+
+    def near(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        out = mine.drop(columns="part").assign(pivot=0, angle=np.pi)
+        for dim, same in mine.groupby(mine["v"].map(len)):
+            with_length = theirs[theirs["p"].map(len) == dim]
+            if len(with_length):
+                cos = _unit(same["v"]) @ _unit(with_length["p"]).T
+                best = cos.argmax(axis=1)
+                out.loc[same.index, "pivot"] = with_length["pivot"].to_numpy()[best]
+                out.loc[same.index, "angle"] = np.arccos(np.clip(cos[np.arange(len(best)), best], -1, 1))
+        return out
+
+    return parted.groupBy(*keys, "part").cogroup(pivots.groupBy(*keys, "part")).applyInPandas(near, schema)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), dtype=np.float64)
+    size = np.linalg.norm(m, axis=1)
+    return np.divide(m, size[:, None], out=np.zeros_like(m), where=size[:, None] > 0)
+
+
+def vector_blocks(rows: DataFrame, keys: Sequence[str], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, meetings): rows (keys, id, v, block) and the pairs (keys, lo, hi) of blocks that can hold a pair of rows at ``threshold``.
+
+    A group of several blocks is cut along its pivots, so that a block holds rows on one side of the sphere. Two blocks whose nearest rows cannot be
+    within the angle of the threshold, by the triangle inequality over the angles to a pivot, do not meet.
+    """
+    keys = list(keys)
+    sizes = cut(rows.groupBy(*keys).agg(F.ceil(F.count("*") / VECTORS_PER_BLOCK).cast("int").alias("blocks")))
+    one = rows.join(sizes.filter("blocks = 1"), keys, "left_semi").withColumn("block", F.lit("0"))
+    alone = sizes.filter("blocks = 1").select(*keys, F.lit("0").alias("lo"), F.lit("0").alias("hi"))
+    several = sizes.filter("blocks > 1")
+    if several.isEmpty():
+        return one, alone
+    celled = cut(_cells(rows.join(several, keys, "left_semi"), keys, several))
+    many = celled.groupBy(*keys, "pivot").agg(F.ceil(F.count("*") / VECTORS_PER_BLOCK).cast("int").alias("_n"))
+    placed = cut(celled.join(many, [*keys, "pivot"]).withColumn("block", F.concat_ws(":", "pivot", F.pmod(F.hash("id"), "_n"))))
+    shells = placed.groupBy(*keys, "block", "pivot").agg(F.max("angle").alias("far"))
+    centres = placed.join(placed.groupBy(*keys, "pivot").agg(F.min_by("id", F.struct("angle", "id")).alias("id"), F.min("angle").alias("off")), [*keys, "pivot", "id"]).select(*keys, "pivot", F.col("v").alias("c"), "off")
+    ends = shells.join(centres, [*keys, "pivot"]).select(*keys, "block", "c", (F.col("far") + F.col("off")).alias("reach"))
+    a = ends.select(*keys, F.col("block").alias("lo"), F.col("c").alias("ca"), F.col("reach").alias("ra"))
+    b = ends.select(*keys, F.col("block").alias("hi"), F.col("c").alias("cb"), F.col("reach").alias("rb"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, w: u.cast("double") * w.cast("double")), F.lit(0.0), lambda s, u: s + u)
+    cos = dot("ca", "cb") / F.sqrt(dot("ca", "ca") * dot("cb", "cb"))
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
+    # a centre of length zero or of another length rules nothing out; a little slack for rounding
+    meet = (a.join(b, keys).filter(F.col("lo") <= F.col("hi"))
+            .filter((F.col("lo") == F.col("hi")) | F.coalesce(F.isnan(apart), F.lit(True)) | (apart - F.col("ra") - F.col("rb") <= float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6)))
+    return one.unionByName(placed.select(*one.columns)), alone.unionByName(meet.select(*keys, "lo", "hi"))
+
+
 def vector_pairs(vectors: DataFrame, keys: Sequence[str], id_col: str, threshold: float, strict: bool = False,
                  embedding: str = "embedding") -> DataFrame:
     """All pairs (id_a < id_b) within ``keys`` with cosine at or above ``threshold`` (J-03, J-04).
 
     A group is cut into blocks of bounded size; each task multiplies one pair of blocks and
-    returns only the pairs that qualify, so no task ever holds a whole large group.
+    returns only the pairs that qualify, so no task ever holds a whole large group. Pairs of blocks too far apart are not sent.
     """
     keys = list(keys)
     rows = vectors.filter(F.size(embedding) > 0).select(*keys, F.col(id_col).alias("id"), F.col(embedding).alias("v"))
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / VECTORS_PER_BLOCK).cast("int").alias("blocks"))
-    blocked = (rows.join(sizes, keys).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select(*keys, "id", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    placed, meetings = vector_blocks(rows, keys, threshold)
+    ends = meetings.select(*keys, "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    blocked = placed.join(ends, [*keys, "block"])
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", id_a {types['id']}, id_b {types['id']}, score double"
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, same in pdf.groupby(pdf["v"].map(len)):  # only vectors of one length compare
-            m = np.array(same["v"].tolist(), dtype=np.float64)
-            size = np.linalg.norm(m, axis=1)
-            m = np.divide(m, size[:, None], out=np.zeros_like(m), where=size[:, None] > 0)
-            lo, hi = int(same["lo"].iloc[0]), int(same["hi"].iloc[0])
+            m = _unit(same["v"])
+            lo, hi = same["lo"].iloc[0], same["hi"].iloc[0]
             block, ids = same["block"].to_numpy(), same["id"].to_numpy()
             left = np.flatnonzero(block == lo)
             right = left if lo == hi else np.flatnonzero(block == hi)

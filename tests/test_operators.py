@@ -142,6 +142,23 @@ def test_two_tight_vector_groups(spark):
     assert stats[0]["member_count"] == 5 and stats[0]["avg_similarity"] == pytest.approx(np.mean((v @ v.T)[np.triu_indices(5, 1)]))
 
 
+def test_blocks_too_far_apart_do_not_meet(spark, monkeypatch):
+    """Clustered vectors of one hot user: most pairs of blocks are skipped, and no pair of rows is lost."""
+    monkeypatch.setattr(PR, "VECTORS_PER_BLOCK", 40)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(20, 16))
+    rows = [(1, i, (middles[i % 20] + rng.normal(size=16) * 0.08).tolist()) for i in range(1_200)] + [(1, 5_000, [0.0] * 16), (1, 5_001, [1.0, 2.0]), (2, 5_002, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "user_id long, id long, embedding array<double>")
+    got = {(r["id_a"], r["id_b"]) for r in PR.vector_pairs(df, ["user_id"], "id", 0.9).collect()}
+    m = np.array([r[2] for r in rows[:1_200]])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(m @ m.T >= 0.9, 1)))}
+    placed, meetings = PR.vector_blocks(df.select("user_id", "id", F.col("embedding").alias("v")), ["user_id"], 0.9)
+    blocks, met = placed.filter("user_id = 1").select("block").distinct().count(), meetings.filter("user_id = 1").count()
+    assert placed.count() == len(rows)
+    assert met < 0.3 * blocks * (blocks + 1) / 2
+
+
 # ---- graphs --------------------------------------------------------------------
 EDGES = [(1, "a", "b", "uses", 0.5), (1, "b", "c", "depends_on", 0.5), (1, "a", "d", "related_to", 0.9), (1, "d", "c", "uses", 0.2), (1, "e", "a", "blocks", 0.8), (2, "a", "b", "uses", 1.0)]
 
