@@ -64,9 +64,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that nothing still to be computed reads."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            name = next((w for w in _written if path.endswith(w.rsplit("/", 1)[1])), None)
+            if name is not None:
+                _remove(table.sparkSession, name)
+                _written.remove(name)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the tables that ``cut`` wrote, once no result that reads them is needed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _remove(spark, _written.pop())
