@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.common import components, lists, slices
 from engram.llm.shingles import shingle_sets
-from engram.session import cut
+from engram.session import cut, discard
 
 K = 64
 #: Members of a list that one comparison block holds.
@@ -161,7 +161,7 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
     # a set so small that all its partners are whole in their sketches shares what the threshold asks for
     wanted = F.when(100 * F.col("n") <= percent * k, F.expr(f"({percent} * n + 99) div 100")).otherwise(F.lit(needed(k, percent)))
     open_ = postings.join(held, "v").groupBy("node", "n").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") >= wanted)
-    needed_texts = classes.join(open_, "node", "left_semi").select("text_key").hint("shuffle_hash")
+    needed_texts = classes.join(open_, "node", "left_semi").select("text_key")
     sets = cut(_full_sets(docs.select("text_key", "text").join(needed_texts, "text_key", "left_semi").select("text"), words).dropDuplicates(["node"]))
 
     members = cut(_shared(sets.select("node", "n", F.explode("full").alias("v"))))
@@ -175,7 +175,9 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
     # two partners meet at the first value they share, and from there on each still holds what they must share; in a
     # list where nobody holds enough for a partner of its own size there is no pair
     able = F.max(F.col("left") * (100 + percent) >= 2 * percent * F.col("n"))
-    keys = cut(keys.join(keys.groupBy("v").agg(able.alias("able"), F.count(F.lit(1)).alias("c")).where("able and c > 1").select("v"), "v", "left_semi"))
+    every, keys = keys, cut(keys.join(keys.groupBy("v").agg(able.alias("able"), F.count(F.lit(1)).alias("c")).where("able and c > 1").select("v"), "v", "left_semi"))
+    discard(every)
+    discard(members)
     open_ = keys.select("node").distinct()
 
     links, labels = None, open_.withColumn("component", F.col("node"))
@@ -194,14 +196,15 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
 
     at = keys.join(labels, "node")
     mixed = at.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = (at.join(mixed.select("v", "c"), "v")
-            .withColumn("blocks", F.expr(f"cast(1 + c div {block} as int)")).withColumn("own", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    member = F.struct("node", "n", "component", "left")
-    side, mate = F.when(F.col("own") <= F.col("other"), member), F.when(F.col("own") > F.col("other"), member)
-    blocks = (rest.groupBy("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-              .agg(F.collect_list(side).alias("own"), F.collect_list(mate).alias("others"))
-              .select((F.col("i") == F.col("j")).alias("same"), "own", "others"))
+    # members are packed into blocks first, and blocks of a list meet, not members
+    own = (at.join(mixed.select("v", "c"), "v").withColumn("blocks", F.expr(f"cast(1 + c div {block} as int)"))
+           .withColumn("i", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
+           .groupBy("v", "blocks", "i").agg(F.collect_list(F.struct("node", "n", "component", "left")).alias("own")))
+    own = cut(own)
+    mates = own.where("i > 0").select("v", F.col("i").alias("j"), F.col("own").alias("others"))
+    later = own.where("i < blocks - 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
+    blocks = own.select(F.lit(True).alias("same"), "own", F.col("own").alias("others")).unionByName(
+        later.join(mates, ["v", "j"]).select(F.lit(False).alias("same"), "own", "others"))
     last = _verified(_alike(cut(_in_blocks(blocks, percent)), classes, k, percent), sets, percent)
     return base, components(links.unionByName(last)).select("node", F.col("component").alias("root"))
 

@@ -11,7 +11,7 @@ from engram.llm.common import flat_bytes
 
 ODD, INVERSE = 6364136223846793005, pow(6364136223846793005, -1, 2**64)
 #: Longest run of bytes that is hashed with one table of powers.
-POWERS = 1 << 22
+POWERS = 1 << 18
 
 
 @cache
