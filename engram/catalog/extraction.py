@@ -84,7 +84,7 @@ def ex_05(t):
 
 
 PROJECT = {"phase": r" (?:the|to) ([a-z]{3,20})[.,]", "next_step": r" (?:and|with) ([a-z]{3,20})[.,]",
-           "status": [("paused", "[ .]by[ .]"), ("completed", "[ .]was[ .]")]}
+           "status": [("paused", ["[ .]by[ .]"]), ("completed", ["[ .]was[ .]"])]}
 
 
 @query("ex_06", f"""

@@ -9,6 +9,7 @@ from engram.catalog.relevance import understood
 from engram.catalog.texts import IMPORTANCE, LEX, SCORED
 from engram.catalog.views import as_of
 from engram.streaming import jobs as J
+from engram.streaming import state as ST
 
 
 def _turns_sql() -> str:
@@ -63,6 +64,22 @@ def st_07(t):
     return df.select("memory_id", "n", r6("memory_strength").alias("memory_strength"), "reinforcement_count", F.round("decay_rate", 8).alias("decay_rate"), "cognitive_state")
 
 
+@query("st_07_state", """
+    WITH RECURSIVE d AS MATERIALIZED (SELECT e.memory_id, e.day, e.n, COALESCE(memory_strength, 0.5) AS s0, COALESCE(reinforcement_count, 0) AS c0, COALESCE(decay_rate, 0.05) AS r0,
+        row_number() OVER (PARTITION BY e.memory_id ORDER BY day) AS pos, lead(day) OVER (PARTITION BY e.memory_id ORDER BY day) AS ahead
+      FROM (SELECT memory_id, CAST(ts_s // 86400 AS BIGINT) AS day, COUNT(DISTINCT event_id) AS n FROM activity_v WHERE event_type = 'click' GROUP BY 1, 2) e JOIN memories_v m ON m.memory_id = e.memory_id),
+    f AS (SELECT memory_id, pos, day, n, ahead, LEAST(1.0, s0 + 0.1 * n) AS s, c0 + n AS c, r0 * POW(0.8, n) AS r FROM d WHERE pos = 1
+      UNION ALL SELECT d.memory_id, d.pos, d.day, d.n, d.ahead, LEAST(1.0, f.s * POW(1 - f.r, GREATEST(0, d.day - f.day - 1)) + 0.1 * d.n), f.c + d.n, f.r * POW(0.8, d.n)
+        FROM f JOIN d ON d.memory_id = f.memory_id AND d.pos = f.pos + 1),
+    a AS (SELECT memory_id, day, n, s, c, r FROM f UNION ALL SELECT memory_id, day + 3, 0, s * POW(1 - r, 3), c, r FROM f WHERE ahead > day + 3)
+    SELECT memory_id, CAST(day AS INTEGER) AS day, n, ROUND(s, 6) AS memory_strength, c AS reinforcement_count, ROUND(r, 8) AS decay_rate,
+      CASE WHEN s >= 0.85 AND c >= 3 THEN 'active' WHEN s >= 0.70 AND c >= 2 THEN 'reinforced' WHEN c >= 5 AND s >= 0.60 THEN 'semantic_candidate'
+        WHEN s < 0.30 THEN 'decaying' WHEN c >= 4 THEN 'semantic_candidate' ELSE 'reinforced' END AS cognitive_state FROM a""")
+def st_07_state(t):
+    df = ST.running_state(t.activity_v.filter("event_type = 'click'"), t.memories_v)
+    return df.select("memory_id", "day", "n", r6("memory_strength").alias("memory_strength"), "reinforcement_count", F.round("decay_rate", 8).alias("decay_rate"), "cognitive_state")
+
+
 @query("st_08")
 def st_08(t):
     df = J.revivals(understood(t), t.memories_v, t.traits_v, t.concepts_v, as_of(), 0.35)
@@ -75,6 +92,14 @@ def st_09(t):
     return J.monthly_counts(t.activity_v.filter("event_type = 'purchase'").withColumn("tenant_id", F.floor(F.col("user_id") / 15)))
 
 
+@query("st_09_cap", """
+    WITH c AS MATERIALIZED (SELECT tenant_id, CAST(DATE_TRUNC('month', make_timestamp(CAST(ts_s AS BIGINT) * 1000000)) AS DATE) AS month, COUNT(*) AS uses
+      FROM (SELECT CAST(FLOOR(user_id / 15.0) AS BIGINT) AS tenant_id, ts_s FROM activity_v WHERE event_type = 'purchase') GROUP BY 1, 2)
+    SELECT tenant_id, month, uses, uses > 20 AS breached, true AS closed FROM c UNION ALL SELECT tenant_id, month, 21, true, false FROM c WHERE uses > 20""")
+def st_09_cap(t):
+    return ST.monthly_cap(t.activity_v.filter("event_type = 'purchase'").withColumn("tenant_id", F.floor(F.col("user_id") / 15)), cap=20)
+
+
 @query("st_09_daily", """SELECT h * 3600 AS start_s, tenant_id, COUNT(*) AS n FROM (SELECT CAST(FLOOR(user_id / 15.0) AS BIGINT) AS tenant_id, UNNEST(RANGE(ts_s // 3600 - 23, ts_s // 3600 + 1)) AS h
     FROM activity_v WHERE event_type = 'signup') GROUP BY 1, 2 HAVING COUNT(*) >= 5""")
 def st_09_daily(t):
@@ -87,11 +112,11 @@ def src_04(t):
     """Write memories and vectors as two tables into the checkpoint folder and read them back."""
     import uuid
     from engram.session import shared_folder
-    from engram.sources import store as ST
+    from engram.sources import store
     root = f"{shared_folder(t.spark)}/pairs-{uuid.uuid4().hex}"
     kept = t.memories_v.filter("importance_score >= 0.3")
-    ST.write_pairs(kept.select("memory_id", "user_id", "content", "importance_score"), t.vectors_v.select("memory_id", "embedding"), root)
-    back = ST.attach_vectors(ST.read_table(t.spark, root, "memories"), ST.read_table(t.spark, root, "memory_embeddings"))
+    store.write_pairs(kept.select("memory_id", "user_id", "content", "importance_score"), t.vectors_v.select("memory_id", "embedding"), root)
+    back = store.attach_vectors(store.read_table(t.spark, root, "memories"), store.read_table(t.spark, root, "memory_embeddings"))
     return back.select("memory_id", F.coalesce(F.when(F.col("embedding").isNotNull(), F.size("embedding")), F.lit(0)).alias("n_dims"))
 
 

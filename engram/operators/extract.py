@@ -120,14 +120,14 @@ def relation_rollup(found: DataFrame, step: float = 0.05) -> DataFrame:
 
 
 def project_fields(text: Column, phase: str = V.PHASE_PATTERN, next_step: str = V.NEXT_STEP_PATTERN,
-                   status: Sequence[tuple[str, str]] = V.STATUS_PATTERNS) -> dict[str, Column]:
+                   status: Sequence[tuple[str, Sequence[str]]] = V.STATUS_PATTERNS) -> dict[str, Column]:
     def first(pattern: str) -> Column:
         found = F.trim(F.regexp_extract(text, pattern, 1))
         return F.when(found != "", found)
 
     state = None
-    for name, pattern in status:
-        hit = F.lower(text).rlike(pattern)
+    for name, any_of in status:
+        hit = F.lower(text).rlike("|".join(any_of))
         state = F.when(hit, name) if state is None else state.when(hit, name)
     return {"current_phase": first(phase), "next_step": first(next_step), "status": state}
 

@@ -116,17 +116,12 @@ def revive_on_queries(queries: DataFrame, checkpoint: str, memories: DataFrame,
 
 
 # ---- ST-09 --------------------------------------------------------------------------------
-def monthly_counts(usage: DataFrame, cap: int = V.MONTHLY_CAP, watermark: str = "32 days") -> DataFrame:
-    """Uses per tenant and month so far, and whether the cap is passed (ST-09). Update mode on a stream.
-
-    Counts are kept by day until ``watermark`` has passed; months are added up from the days, so the state of old months is
-    dropped. On a stream each output row is a day's count, to be summed by month where it lands.
-    """
-    month = F.trunc("ts", "month").alias("month")
+def monthly_counts(usage: DataFrame, cap: int = V.MONTHLY_CAP) -> DataFrame:
+    """Uses per tenant and month of a table, and whether the cap is passed (ST-09). ``state.monthly_cap`` serves streams as well."""
     if usage.isStreaming:
-        days = usage.withWatermark("ts", watermark).groupBy("tenant_id", F.window("ts", "1 day")).agg(F.count("*").alias("uses"))
-        return days.select("tenant_id", F.trunc("window.start", "month").alias("month"), F.col("window.start").alias("day"), "uses")
-    return usage.groupBy("tenant_id", month).agg(F.count("*").alias("uses")).withColumn("breached", F.col("uses") > cap)
+        raise ValueError("use engram.streaming.state.monthly_cap on a stream")
+    counts = usage.groupBy("tenant_id", F.trunc("ts", "month").alias("month")).agg(F.count("*").alias("uses"))
+    return counts.withColumn("breached", F.col("uses") > cap)
 
 
 def daily_attempts(attempts: DataFrame, key: str, limit: int = V.SIGNUPS_PER_DAY, watermark: str = WATERMARK) -> DataFrame:
@@ -137,10 +132,15 @@ def daily_attempts(attempts: DataFrame, key: str, limit: int = V.SIGNUPS_PER_DAY
 
 
 # ---- P-16 ---------------------------------------------------------------------------------
+def turn_id() -> Column:
+    """A number of its own for each turn of each conversation, for conversations below 2^31 and turns below 2^32."""
+    return F.shiftleft(F.col("conv_id").cast("long"), 32).bitwiseOR(F.col("turn").cast("long"))
+
+
 def turn_memories(turns: DataFrame, lexicon: S.Lexicon = S.DEFAULT, memory_type: str = "episodic") -> DataFrame:
     """Arriving turns as memory rows. Ids are negative, below those of stored rows."""
     scored_rows = score_turns(turns.withColumn("memory_type", F.lit(memory_type)), lexicon)
-    return scored_rows.withColumns({"memory_id": -(F.col("conv_id") * 1_000_000 + F.col("turn")) - 1, "content": F.col("text"), "created_at": F.col("ts"),
+    return scored_rows.withColumns({"memory_id": -turn_id() - 1, "content": F.col("text"), "created_at": F.col("ts"),
                                     "last_accessed": F.lit(None).cast("timestamp"), "summary": F.lit(None).cast("string"), "entropy_score": F.lit(None).cast("double"),
                                     "reinforcement_count": F.lit(0), "retrieval_count": F.lit(0), "access_count": F.lit(0), "revival_count": F.lit(0)})
 
@@ -152,7 +152,7 @@ def conversational_turns(turns: DataFrame, memories: DataFrame, traits: DataFram
     kept = turn_memories(turns, lexicon)
     shared = [c for c in memories.columns if c in kept.columns]
     store = memories.select(*shared).unionByName(kept.select(*shared))
-    asked = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("query_id"), "user_id", F.col("text").alias("query"))
+    asked = turns.select(turn_id().alias("query_id"), "user_id", F.col("text").alias("query"))
     found = understand(asked, goals, intents, knowledge, flags)
     done = compose(store, found, traits, concepts, as_of, budget, flags=flags)
     return (found.select("query_id", "user_id", "goal").join(done.totals.select("query_id", "original_tokens", "compressed_tokens"), "query_id", "left")

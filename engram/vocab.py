@@ -370,9 +370,9 @@ PHASE_PATTERN = (r"(?i)\b(?:currently|now)\s+(?:implementing|working on|building
                  r"([A-Za-z][\w\s]{2,40}?)(?:[.!?\n]|$)")
 NEXT_STEP_PATTERN = r"(?i)\b(?:next(?: step| up| goal)?|then)\s*(?:is|will be|:)?\s+([A-Za-z][^.!?\n]{2,80})"
 STATUS_PATTERNS = [
-    ("paused", r"\bpaus(?:e|ed|ing)\b|\bon hold\b"),
-    ("completed", r"\b(?:completed|finished|shipped|done)\b"),
-    ("archived", r"\barchiv(?:e|ed|ing)\b|\babandon(?:ed|ing)?\b"),
+    ("paused", [r"\bpaus(?:e|ed|ing)\b", r"\bon hold\b"]),
+    ("completed", [r"\b(?:completed|finished|shipped|done)\b"]),
+    ("archived", [r"\barchiv(?:e|ed|ing)\b", r"\babandon(?:ed|ing)?\b"]),
 ]
 DECISION_PATTERNS = [
     ("postponed", r"([A-Za-z][^.!?\n]{3,100}?\s+(?:postponed|deferred|delayed))"),
