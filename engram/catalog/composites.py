@@ -27,7 +27,7 @@ from engram.sources import store as ST
 @query("p_01")
 def p_01(t):
     df = RC.retrieve_and_compress(t.memories_v, t.vectors_v, t.query_vectors, as_of(), budget=600)
-    return df.select("query_id", "estimated_tokens", "raw_tokens", "source_memory_count", "lines_kept", F.length("context_summary").alias("n_chars"))
+    return df.select("query_id", "estimated_tokens", "raw_tokens", "source_memory_count", "lines_kept", F.length("context_summary").alias("n_chars"), F.sha2("context_summary", 256).alias("context_sha256"))
 
 
 @query("p_02")
@@ -70,14 +70,15 @@ def p_04(t):
 
 @query("c_10")
 def c_10(t):
-    entries, _ = CO.compress(useful(t), useful(t), V.COMPOSE_BUDGET)
+    rows = useful(t)
+    entries, _ = CO.compress(rows, CO.without_near_copies(rows), V.COMPOSE_BUDGET)
     return entries.select("query_id", "id", "token_cost", "n_sources", "shortened")
 
 
 @query("src_13")
 def src_13(t):
     snap, _ = composed(t).snapshots(as_of())
-    return snap.select("query_id", "user_id", "primary_goal", F.length("final_context").alias("n_chars"), r6("context_quality").alias("context_quality"))
+    return snap.select("query_id", "user_id", "primary_goal", F.length("final_context").alias("n_chars"), F.sha2("final_context", 256).alias("context_sha256"), r6("context_quality").alias("context_quality"))
 
 
 _KEPT = f"SELECT query_id, STRING_AGG(LOWER(m.content), ' ' ORDER BY rank) AS body, COUNT(*) AS n FROM ({RANKED_SQL}) r JOIN memories_v m ON m.memory_id = r.memory_id GROUP BY query_id"
@@ -200,13 +201,38 @@ def p_13_guidance(t):
 def p_14(t):
     _, events = EV.idle_transitions(t.memories_v, as_of())
     df = PE.explain_memories(t.memories_v, events)
-    return df.select("memory_id", "cognitive_state", F.transform("lifecycle_events", lambda e: e["reason"])[0].alias("reason"))
+    return df.select("memory_id", "cognitive_state", "rank", "event_type", "old_state", "new_state", "reason", r6("confidence").alias("confidence"))
+
+
+def _latest_sql(table: str, columns: str, moment: str, key: str) -> str:
+    return f"SELECT user_id, {columns} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY {moment} DESC, {key} DESC) AS n FROM {table}) WHERE n = 1"
+
+
+@query("p_14_retrieval", _latest_sql("runs_v", "run_id, goal, selected_count, candidate_count, ROUND(average_utility, 6) AS average_utility", "started_s", "run_id"))
+def p_14_retrieval(t):
+    return PE.explain_latest(t.runs_v, "started_s", "run_id").select("user_id", "run_id", "goal", "selected_count", "candidate_count", r6("average_utility").alias("average_utility"))
+
+
+@query("p_14_identity", _latest_sql("(SELECT * FROM history_v WHERE event_type <> 'reinforced')", "node_id, event_type, node_value, ROUND(confidence_delta, 6) AS confidence_delta", "ts_s", "event_id"))
+def p_14_identity(t):
+    shifts = t.history_v.filter("event_type <> 'reinforced'")
+    return PE.explain_latest(shifts, "ts_s", "event_id").select("user_id", "node_id", "event_type", "node_value", r6("confidence_delta").alias("confidence_delta"))
+
+
+@query("p_14_offline", _latest_sql("(SELECT * FROM runs_v WHERE status = 'completed')", "run_id, status, ROUND(total_latency_ms, 6) AS total_latency_ms", "started_s", "run_id"))
+def p_14_offline(t):
+    return PE.explain_latest(t.runs_v.filter("status = 'completed'"), "started_s", "run_id").select("user_id", "run_id", "status", r6("total_latency_ms").alias("total_latency_ms"))
+
+
+@query("p_14_decisions", """SELECT user_id, decision_id, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts_s DESC, decision_id DESC) AS INTEGER) AS rank FROM decisions_v) WHERE rank <= 10""")
+def p_14_decisions(t):
+    return PE.explain_decisions(t.decisions_v).select("user_id", "decision_id", "rank")
 
 
 @query("p_15")
 def p_15(t):
     df = RC.assemble(recalled(t), understood(t), 800)
-    return df.select("query_id", "goal", "estimated_tokens", F.length("context_text").alias("n_chars"))
+    return df.select("query_id", "goal", "estimated_tokens", F.length("context_text").alias("n_chars"), F.sha2("context_text", 256).alias("context_sha256"))
 
 
 # ---- ingest ------------------------------------------------------------------------

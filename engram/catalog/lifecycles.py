@@ -339,10 +339,11 @@ def src_11(t):
 
 
 @query("src_15", """
+    WITH n AS MATERIALIZED (SELECT user_id, name, confidence, entity_type FROM nodes_v)
     SELECT COALESCE(b.user_id, d.user_id) AS user_id, COALESCE(b.name, d.name) AS name,
       ROUND(CASE WHEN b.name IS NULL THEN d.confidence WHEN d.name IS NULL THEN b.confidence ELSE LEAST(1.0, b.confidence + 0.05) END, 6) AS confidence
-    FROM (SELECT user_id, name, confidence FROM nodes_v WHERE entity_type IN ('task', 'project')) b
-      FULL OUTER JOIN (SELECT user_id, name, confidence FROM nodes_v WHERE entity_type IN ('task', 'service')) d ON b.user_id = d.user_id AND b.name = d.name""")
+    FROM (SELECT user_id, name, confidence FROM n WHERE entity_type IN ('task', 'project')) b
+      FULL OUTER JOIN (SELECT user_id, name, confidence FROM n WHERE entity_type IN ('task', 'service')) d ON b.user_id = d.user_id AND b.name = d.name""")
 def src_15(t):
     base = t.nodes_v.filter(F.col("entity_type").isin("task", "project")).select("user_id", "name", "confidence")
     delta = t.nodes_v.filter(F.col("entity_type").isin("task", "service")).select("user_id", "name", "confidence")

@@ -16,6 +16,7 @@ from engram.operators import packing as K
 from engram.operators.understanding import knowledge_gaps, reasoning_strategy
 from engram.operators.utility import candidate_pool, user_traits
 from engram.operators.greedy import losers
+from engram.operators.pairs import word_pairs
 from engram.plans.evolution import conflict_pairs
 from engram.plans.recall import rank_selected, scored_candidates
 from engram.session import cut
@@ -41,6 +42,14 @@ def merge_for_context(rows: DataFrame, threshold: float = V.MERGE_AT, fragments:
                       F.size("_i").alias("n_sources"), (F.size("_i") > 1).alias("merged"))
 
 
+def without_near_copies(rows: DataFrame, threshold: float = V.DEDUP_AT) -> DataFrame:
+    """Scored rows of each query without those whose words are those of a more useful one (C-03)."""
+    rows = cut(rows)
+    texts = rows.select("user_id", "memory_id", "content").dropDuplicates(["memory_id"])
+    near = word_pairs(texts.withColumn("_w", T.word_set(F.col("content"))), ["user_id"], "memory_id", "_w", threshold)
+    return K.drop_near_copies(rows, near, ["query_id"], "memory_id", "utility_score")
+
+
 def compress(rows: DataFrame, kept: DataFrame, budget: int = V.COMPOSE_BUDGET) -> tuple[DataFrame, DataFrame]:
     """(entries, totals) of the compressed context (C-10).
 
@@ -162,6 +171,7 @@ def compose(memories: DataFrame, understood: DataFrame, traits: DataFrame, conce
     conflicts = gone.groupBy("query_id").agg(F.count("*").alias("contradictions"))
     kept = cut(useful.join(gone.select("query_id", F.col("loser").alias("memory_id")), ["query_id", "memory_id"], "left_anti"))
     gaps = knowledge_gaps(understood, kept.select("query_id", F.concat_ws(" ", "content", "summary").alias("text")), expectations, flags=flags)
-    entries, totals = compress(kept, kept, budget)
+    every = scored.filter(F.round("utility_score", 12) >= V.MIN_UTILITY).join(gone.select("query_id", F.col("loser").alias("memory_id")), ["query_id", "memory_id"], "left_anti")
+    entries, totals = compress(every, kept, budget)
     state = user_state(understood, traits, entries)
     return Composed(entries, totals, state, gaps, gone, evaluate(understood, entries, totals, conflicts, gaps, scored))

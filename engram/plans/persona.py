@@ -48,13 +48,16 @@ def response_guidance(traits: DataFrame) -> DataFrame:
 
 # ---- P-14 ------------------------------------------------------------------------------
 def explain_memories(memories: DataFrame, events: DataFrame, newest: int | None = None) -> DataFrame:
-    """State, reasons and the lifecycle events of each memory, newest first; ``newest`` keeps so many (P-14)."""
+    """State and reasons of each memory with its lifecycle events, a row for each, newest first; ``newest`` keeps so many (P-14).
+
+    A memory without events has one row without them.
+    """
     order = [F.desc("timestamp"), F.col("event_type")]
-    ranked = events.withColumn("rank", F.row_number().over(Window.partitionBy("memory_id").orderBy(*order)))
-    top = ranked if newest is None else top_per_group(events, ["memory_id"], order, newest)
-    trail = top.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("rank", "event_type", "old_state", "new_state", "reason", "confidence"))).alias("lifecycle_events"))
+    trail = (events.withColumn("rank", F.row_number().over(Window.partitionBy("memory_id").orderBy(*order))) if newest is None
+             else top_per_group(events, ["memory_id"], order, newest))
     keep = [c for c in ("utility_score", "selection_reason", "archive_reason", "forget_reason") if c in memories.columns]
-    return memories.select("memory_id", "user_id", "content", "cognitive_state", *keep).join(trail, "memory_id", "left")
+    told = trail.select("memory_id", "rank", "event_type", "old_state", "new_state", "reason", "confidence")
+    return memories.select("memory_id", "user_id", "content", "cognitive_state", *keep).join(told, "memory_id", "left")
 
 
 def explain_latest(log: DataFrame, moment: str, key: str) -> DataFrame:
