@@ -3,7 +3,8 @@
 A unit vector is turned by pseudo-random rotations (three rounds of random signs and a fast Hadamard transform) and
 falls to the nearest signed axis, one bucket per table. A query probes, in each table, the axes it lies nearest to; rows
 in a probed bucket are candidates and are ranked again by their exact cosine in double precision. Every row is indexed
-and nothing is capped. More ``tables`` or ``probes`` raise recall and cost.
+and nothing is capped. More ``tables`` or ``probes`` raise recall and cost; without ``probes`` their number follows the width. A query that meets
+fewer than k rows in the buckets of a block probes all of them there, so it gets k neighbours, or all rows where there are fewer.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without a key, take no part; a query
 meets vectors of its own length. Ties go to the smaller key, each repeated row counts by itself, an empty table gives
@@ -21,6 +22,12 @@ from engram.llm.vectors import BLOCK, CHUNK, best_of, nearest, usable
 TABLES, PROBES = 24, 4
 
 
+def probes_for(dim: int) -> int:
+    """Buckets to probe in each table: four up to a padded width of 64, beyond it a sixteenth of all, as wider vectors without structure need more for the same recall."""
+    width = 1 << max(0, dim - 1).bit_length()
+    return PROBES if width <= 64 else width // 8
+
+
 def rotated(units: np.ndarray, table: int, seed: int) -> np.ndarray:
     """Rows turned by the table's pseudo-rotation, padded to a power of two; lengths grow by one common factor."""
     width = 1 << max(0, units.shape[1] - 1).bit_length()
@@ -55,7 +62,7 @@ def probed(units: np.ndarray, table: int, seed: int, probes: int) -> np.ndarray:
     return out
 
 
-def search(k: int, tables: int, probes: int, seed: int):
+def search(k: int, tables: int, probes: int | None, seed: int):
     def run(keys: np.ndarray, rows: np.ndarray, q_keys: np.ndarray, queries: np.ndarray):
         long, q_long = np.linalg.norm(rows, axis=1), np.linalg.norm(queries, axis=1)
         keys, rows, long = keys[long > 0], rows[long > 0], long[long > 0]
@@ -64,10 +71,13 @@ def search(k: int, tables: int, probes: int, seed: int):
         if len(keys) and len(q_keys):
             units, q_units = rows / long[:, None], queries / q_long[:, None]
             near = np.zeros((len(keys), len(q_keys)), bool)
+            asked = probes or probes_for(rows.shape[1])
             for t in range(tables):
                 # per bucket the queries that probe it
-                near |= np.ascontiguousarray(probed(q_units, t, seed, probes).T)[buckets(units, t, seed)]
+                near |= np.ascontiguousarray(probed(q_units, t, seed, asked).T)[buckets(units, t, seed)]
             near = np.ascontiguousarray(near.T)
+            # a query that found fewer than k rows, itself aside, probes every bucket of the block
+            near[near.sum(axis=1) <= k] = True
             for i, own in enumerate(q_keys):
                 at = np.flatnonzero(near[i])
                 at = at[keys[at] != own]
@@ -79,7 +89,7 @@ def search(k: int, tables: int, probes: int, seed: int):
     return run
 
 
-def neighbours(df: DataFrame, key: str, vector: str, asks: Column, k: int, tables: int = TABLES, probes: int = PROBES, seed: int = 7,
+def neighbours(df: DataFrame, key: str, vector: str, asks: Column, k: int, tables: int = TABLES, probes: int | None = None, seed: int = 7,
                block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which ``asks`` holds, a condition on ``key``."""
     rows = usable(df, key, vector)

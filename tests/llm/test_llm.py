@@ -428,6 +428,41 @@ def test_mix_of_nothing(nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("dim", [24, 64, 256, 1024])
+def test_cross_polytope_recall_at_any_width(dim):
+    """Unstructured vectors, the hardest case; every row is a query of one block."""
+    rnd = np.random.default_rng(dim)
+    rows = rnd.normal(size=(600, dim))
+    keys = np.arange(600)
+    query, found, score = crosspolytope.search(5, crosspolytope.TABLES, None, 7)(keys, rows, keys[:200], rows[:200])
+    units = rows / np.linalg.norm(rows, axis=1)[:, None]
+    cos = units[:200] @ units.T
+    cos[np.arange(200), np.arange(200)] = -2
+    best = np.argsort(-cos, axis=1)[:, :5]
+    hits = sum(len(set(found[query == q]) & set(best[q])) for q in range(200))
+    assert hits / 1_000 >= 0.9 and len(query) == 1_000
+
+
+@pytest.mark.parametrize("n", [2, 4, 8, 20])
+def test_cross_polytope_gives_all_candidates_of_small_tables(n):
+    rows = np.random.default_rng(n).normal(size=(n, 64))
+    query, found, _ = crosspolytope.search(5, crosspolytope.TABLES, None, 7)(np.arange(n), rows, np.arange(n), rows)
+    assert all(len(set(found[query == q]) - {q}) == min(5, n - 1) for q in range(n))
+
+
+def test_pipeline_without_labels_keeps_every_row(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, f"text number {i}", "en", "s", 13, 7) for i in range(20)], DOCS + ", id int")
+    assert corpus_pipeline.without_toxic(spark, docs, str(tmp_path)).count() == 20
+    assert corpus_pipeline.without_near_copies(spark, docs, str(tmp_path)).columns == corpus_pipeline.COLUMNS
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path, nothing):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 # ---- the pipeline ----------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
