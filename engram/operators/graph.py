@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from engram import vocab as V
@@ -17,6 +21,10 @@ from engram.session import cut
 from engram.sources.store import top_per_group
 
 
+#: Edges, or nodes, of one graph up to which one task ranks it.
+EDGES_IN_TASK = 1 << 18
+
+
 def build(nodes: DataFrame, edges: DataFrame, min_confidence: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes, and the edges whose two ends are among them (G-01, J-10)."""
     kept = nodes if min_confidence is None else nodes.filter(F.col("confidence") >= min_confidence)
@@ -179,11 +187,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
 
 # ---- ranking -----------------------------------------------------------------------
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6,
-             cut_every: int = 5, weight: str = "strength") -> DataFrame:
+             weight: str = "strength", edges_in_task: int = EDGES_IN_TASK) -> DataFrame:
     """Weighted rank per user graph, dangling mass spread evenly (G-05).
 
-    Ranks of a user sum to one. Stops once every graph moved less than its size times
-    ``tolerance`` between two checks, or after ``iterations``.
+    Ranks of a user sum to one. A graph is done when its ranks moved by less than its number of nodes times
+    ``tolerance`` in a round, or after ``iterations``. A graph of few edges is ranked in one task, larger ones in rounds of joins, by the same rule.
     """
     ids = nodes.select("user_id", "node_id").distinct()
     sizes = ids.groupBy("user_id").agg(F.count("*").alias("n"))
@@ -193,25 +201,52 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
     has_out = flow.select("user_id", F.col("src").alias("node_id")).distinct().withColumn("_out", F.lit(True))
     base = cut(ids.join(sizes, "user_id").join(has_out, ["user_id", "node_id"], "left")
                .select("user_id", "node_id", "n", F.col("_out").isNull().alias("dangling")))
-    ranks = base.withColumn("rank", 1.0 / F.col("n"))
-    last = None
-    for i in range(1, iterations + 1):
+    large = cut(flow.groupBy("user_id").agg(F.count("*").alias("_e")).unionByName(base.groupBy("user_id").agg(F.count("*").alias("_e")))
+                .filter(F.col("_e") > edges_in_task).select("user_id").distinct())
+    if large.isEmpty():
+        return _ranked_in_tasks(base, flow, iterations, damping, tolerance)
+    small = _ranked_in_tasks(base.join(large, "user_id", "left_anti"), flow.join(large, "user_id", "left_anti"), iterations, damping, tolerance)
+    return small.unionByName(_ranked_in_rounds(base.join(large, "user_id", "left_semi"), cut(flow.join(large, "user_id", "left_semi")), iterations, damping, tolerance))
+
+
+def _ranked_in_tasks(base: DataFrame, flow: DataFrame, iterations: int, damping: float, tolerance: float) -> DataFrame:
+    schema = StructType([base.schema["user_id"], base.schema["node_id"], StructField("rank", DoubleType())])
+
+    def run(mine: pa.Table, links: pa.Table) -> pa.Table:
+        ids = mine.column("node_id").combine_chunks()
+        n, loose = len(ids), mine.column("dangling").to_numpy()
+        src, dst = (pc.index_in(links.column(c).combine_chunks(), value_set=ids) for c in ("src", "dst"))
+        known = pc.and_(src.is_valid(), dst.is_valid()).to_numpy(zero_copy_only=False)
+        src, dst, share = (x[known] for x in (src.fill_null(0).to_numpy(), dst.fill_null(0).to_numpy(), links.column("share").to_numpy()))
+        rank = np.full(n, 1.0 / max(n, 1))
+        for _ in range(iterations):
+            new = damping * (np.bincount(dst, share * rank[src], n) + rank[loose].sum() / n) + (1 - damping) / n if n else rank
+            moved, rank = np.abs(new - rank).sum(), new
+            if moved < n * tolerance:
+                break
+        return pa.table([mine.column("user_id"), mine.column("node_id"), pa.array(rank)], [f.name for f in schema.fields])
+
+    return base.groupBy("user_id").cogroup(flow.groupBy("user_id")).applyInArrow(run, schema)
+
+
+def _ranked_in_rounds(base: DataFrame, flow: DataFrame, iterations: int, damping: float, tolerance: float) -> DataFrame:
+    ranks, done = cut(base.withColumn("rank", 1.0 / F.col("n"))), []
+    for _ in range(iterations):
         loose = ranks.groupBy("user_id").agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose"))
         inflow = (flow.join(ranks.select("user_id", F.col("node_id").alias("src"), "rank"), ["user_id", "src"])
                   .groupBy("user_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inflow")))
-        new = (base.join(inflow, ["user_id", "node_id"], "left").join(loose, "user_id")
-               .select("user_id", "node_id", "n", "dangling",
-                       (damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("loose") / F.col("n")) + (1 - damping) / F.col("n")).alias("rank")))
-        check = i % cut_every == 0 and i < iterations
-        ranks = cut(new) if check else new
-        if check:
-            if last is not None:
-                moved = (ranks.join(last.select("user_id", "node_id", F.col("rank").alias("_old")), ["user_id", "node_id"])
-                         .groupBy("user_id").agg(F.sum(F.abs(F.col("rank") - F.col("_old"))).alias("d"), F.first("n").alias("n")))
-                if moved.filter(F.col("d") >= F.col("n") * tolerance).isEmpty():
-                    break
-            last = ranks
-    return ranks.select("user_id", "node_id", "rank")
+        new = damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("loose") / F.col("n")) + (1 - damping) / F.col("n")
+        stepped = cut(ranks.withColumnRenamed("rank", "_old").join(inflow, ["user_id", "node_id"], "left").join(loose, "user_id")
+                      .select("user_id", "node_id", "n", "dangling", new.alias("rank"), F.abs(new - F.col("_old")).alias("_moved")))
+        settled = cut(stepped.groupBy("user_id").agg(F.sum("_moved").alias("d"), F.first("n").alias("n")).filter(F.col("d") < F.col("n") * tolerance).select("user_id"))
+        done.append(stepped.join(settled, "user_id", "left_semi").select("user_id", "node_id", "rank"))
+        ranks = stepped.join(settled, "user_id", "left_anti").drop("_moved")
+        if ranks.isEmpty():
+            break
+    out = ranks.select("user_id", "node_id", "rank")
+    for more in done:
+        out = out.unionByName(more)
+    return out
 
 
 def concept_importance(nodes: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -211,6 +211,32 @@ def test_pagerank_sums_to_one_per_user(nodes, edges):
         assert r["s"] == pytest.approx(1.0, abs=1e-6)
 
 
+def test_ranks_stop_when_each_graph_has_settled(spark):
+    """In one task, in rounds of joins and by hand: a chain that takes long, a ring that settles at once, lone nodes."""
+    rng = random.Random(5)
+    graphs = {1: (12, [(i, i + 1, 1.0) for i in range(11)]), 2: (5, [(i, (i + 1) % 5, 0.3) for i in range(5)]), 3: (3, []),
+              4: (30, [(rng.randrange(30), rng.randrange(30), rng.random()) for _ in range(90)])}
+    n = spark.createDataFrame([(u, i) for u, (k, _) in graphs.items() for i in range(k)], "user_id long, node_id long")
+    e = spark.createDataFrame([(u, *x) for u, (_, es) in graphs.items() for x in es], "user_id long, src long, dst long, strength double")
+    want = {}
+    for u, (k, es) in graphs.items():
+        m = np.zeros((k, k))
+        for a, b, w in es:
+            m[a, b] += w
+        out = m.sum(axis=1)
+        m = np.divide(m, out[:, None], out=np.zeros_like(m), where=out[:, None] > 0)
+        r = np.full(k, 1 / k)
+        for _ in range(40):
+            new = 0.85 * (r @ m + r[out == 0].sum() / k) + 0.15 / k
+            moved, r = np.abs(new - r).sum(), new
+            if moved < k * 1e-3:
+                break
+        want |= {(u, i): round(float(x), 9) for i, x in enumerate(r)}
+    for bound in (1 << 18, 20, 0):
+        got = {(r["user_id"], r["node_id"]): round(r["rank"], 9) for r in G.pagerank(n, e, 40, tolerance=1e-3, edges_in_task=bound).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_betweenness_counts_lightest_paths(spark):
     # a-b-d and a-c-d weigh the same, so b and c carry half each; e hangs behind d
     rows = [(1, "a", "b", 1.0), (1, "b", "d", 1.0), (1, "a", "c", 1.0), (1, "c", "d", 1.0), (1, "d", "e", 1.0)]
