@@ -378,14 +378,30 @@ def a_09(t):
     return df.select("user_id", "total_memories", "n_episodic", "n_semantic", "concept_count", r6("compression_ratio").alias("compression_ratio"), "token_reduction")
 
 
-@query("a_11")
+_LIVE = "cognitive_state <> 'forgotten'"
+_LIVE_DUPLICATES = leader_sql(f"SELECT user_id, memory_id AS id, {_WORDS.format(c='content')} AS ws FROM memories_v WHERE {_LIVE} AND memory_type IN ({', '.join(repr(x) for x in V.DUPLICATE_TYPES)})", 0.4, True, "user_id", "memory_id")
+_LIVE_CONFLICTS = f"WITH {_STANCES.replace('FROM memories_v)', f'FROM memories_v WHERE {_LIVE})')} SELECT user_id, id_a, id_b FROM ({_CONFLICT})"
+_ENTROPY = f"""dup AS MATERIALIZED ({_LIVE_DUPLICATES}), con AS MATERIALIZED ({_LIVE_CONFLICTS}),
+    e AS MATERIALIZED (SELECT m.user_id, total_memories, COALESCE(duplicate_clusters, 0) AS duplicate_clusters, COALESCE(conflict_count, 0) AS conflict_count, COALESCE(d.n, 0) / total_memories AS redundancy,
+        LEAST(1.0, COALESCE(conflict_count, 0) / GREATEST(1.0, total_memories / 4)) AS conflicts, COALESCE(fragmentation, 0.0) AS fragmentation, low / total_memories AS obsolete
+      FROM (SELECT user_id, COUNT(*) AS total_memories, COUNT(*) FILTER (WHERE cognitive_state = 'decaying' OR COALESCE(memory_strength < 0.2, false)) AS low FROM memories_v WHERE {_LIVE} GROUP BY user_id) m
+        LEFT JOIN (SELECT user_id, COUNT(*) AS n, COUNT(DISTINCT cluster_id) AS duplicate_clusters FROM dup GROUP BY user_id) d ON d.user_id = m.user_id
+        LEFT JOIN (SELECT user_id, COUNT(*) AS conflict_count FROM con GROUP BY user_id) c ON c.user_id = m.user_id
+        LEFT JOIN (SELECT user_id, AVG(CAST(COALESCE(NULLIF(support_count, 0), 1) <= 1 AS DOUBLE)) AS fragmentation FROM concepts_v GROUP BY user_id) f ON f.user_id = m.user_id),
+    s AS (SELECT *, GREATEST(0.0, LEAST(1.0, 0.30 * redundancy + 0.25 * conflicts + 0.20 * fragmentation + 0.25 * obsolete)) AS entropy_score FROM e)"""
+
+
+@query("a_11", f"""WITH {_ENTROPY} SELECT user_id, total_memories, duplicate_clusters, conflict_count, ROUND(redundancy, 6) AS redundancy, ROUND(conflicts, 6) AS conflicts,
+    ROUND(fragmentation, 6) AS fragmentation, ROUND(obsolete, 6) AS obsolete, ROUND(entropy_score, 6) AS entropy_score FROM s""")
 def a_11(t):
     live = t.memories_v.filter("cognitive_state <> 'forgotten'")
     df = N.store_entropy(live, t.concepts_v, BUCKETS)
     return df.select("user_id", "total_memories", "duplicate_clusters", "conflict_count", *[r6(c).alias(c) for c in ("redundancy", "conflicts", "fragmentation", "obsolete", "entropy_score")])
 
 
-@query("a_12")
+@query("a_12", f"""WITH {_ENTROPY}, flagged AS (SELECT memory_id FROM dup UNION SELECT id_a FROM con UNION SELECT id_b FROM con)
+    SELECT m.memory_id, ROUND(CASE WHEN f.memory_id IS NOT NULL THEN s.entropy_score ELSE LEAST(COALESCE(m.entropy_score, 0.0), 0.05) END, 6) AS entropy_score
+    FROM memories_v m LEFT JOIN flagged f ON f.memory_id = m.memory_id LEFT JOIN s ON s.user_id = m.user_id""")
 def a_12(t):
     return N.per_memory_entropy(t.memories_v, t.concepts_v, BUCKETS).select("memory_id", r6("entropy_score").alias("entropy_score"))
 
