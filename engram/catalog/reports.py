@@ -208,7 +208,9 @@ def w_02(t):
 
 @query("w_05", "SELECT user_id, ARG_MAX(project_id, updated_s * 100000 + project_id % 100000) AS project_id FROM projects_v GROUP BY user_id")
 def w_05(t):
-    return t.projects_v.groupBy("user_id").agg(F.max_by("project_id", F.struct("updated_at", "project_id")).alias("project_id"))
+    # of a user's projects updated together the largest last five digits win, then the smallest id
+    order = F.struct("updated_at", F.col("project_id") % 100000, -F.col("project_id"))
+    return t.projects_v.groupBy("user_id").agg(F.max_by("project_id", order).alias("project_id"))
 
 
 @query("a_33", """
