@@ -45,7 +45,7 @@ def j_10(t):
 
 @query("g_02", reach_sql("SELECT * FROM edges_v", 2) + " SELECT user_id, source, node, depth FROM near WHERE depth > 0")
 def g_02(t):
-    return G.related(source_nodes(t), t.edges_v, t.nodes_v, 2).select("user_id", "source", "node", "depth")
+    return G.related(source_nodes(t), t.edges_v, source_nodes(t), 2).select("user_id", "source", "node", "depth")
 
 
 # every node asks for the way to its user's alphabetically first node
@@ -169,14 +169,14 @@ NAMED = "CAST(user_id AS VARCHAR) || '|' || node_id"
     SELECT CAST(user_id AS VARCHAR) || '|' || source AS id, MIN(CAST(user_id AS VARCHAR) || '|' || node) AS component FROM walk GROUP BY user_id, source""")
 def g_10(t):
     named = lambda c: F.concat(F.col("user_id").cast("string"), F.lit("|"), F.col(c))
-    return G.connected_components(t.edges_v.select(named("src").alias("src"), named("dst").alias("dst")), t.nodes_v.select(named("node_id").alias("id")))
+    return G.components(t.nodes_v, t.edges_v).select(named("node_id").alias("id"), named("component").alias("component"))
 
 
 @query("g_11", reach_sql(BOTH, 1) + """
     SELECT e.user_id, a.source, COUNT(*) AS n_edges FROM edges_v e JOIN near a ON a.user_id = e.user_id AND a.node = e.src
       JOIN near b ON b.user_id = e.user_id AND b.node = e.dst AND b.source = a.source GROUP BY e.user_id, a.source""")
 def g_11(t):
-    _, inside = G.ego_graph(source_nodes(t), t.edges_v, 1)
+    _, inside = G.ego_graph(source_nodes(t), t.edges_v.select("user_id", "src", "dst"), 1)
     return inside.groupBy("user_id", "source").agg(F.count("*").alias("n_edges"))
 
 
@@ -201,7 +201,7 @@ def g_12(t):
 @query("g_13", reach_sql(BOTH, 2) + """
     SELECT n.user_id, n.source, n.node, n.depth FROM near n JOIN nodes_v v ON v.user_id = n.user_id AND v.node_id = n.node WHERE n.depth > 0 AND v.entity_type = 'project'""")
 def g_13(t):
-    return G.related_of_type(source_nodes(t), t.edges_v, t.nodes_v).select("user_id", "source", "node", "depth")
+    return G.related_of_type(source_nodes(t), t.edges_v, t.nodes_v.select("user_id", "node_id", "entity_type")).select("user_id", "source", "node", "depth")
 
 
 @query("g_14", reach_sql("SELECT user_id, dst AS src, src AS dst FROM edges_v", 2) + " SELECT user_id, source, node, depth FROM near WHERE depth > 0")

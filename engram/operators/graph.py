@@ -13,10 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from engram import vocab as V
+from engram.operators import local as L
 from engram.session import cut
 from engram.sources.store import top_per_group
 
@@ -43,13 +44,70 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select("user_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reach(sources: DataFrame, edges: DataFrame, max_depth: int | None, with_path: bool = False, cut_every: int = 2) -> DataFrame:
+def _only(large: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """What tables have of the large graphs, without edges that lack an end."""
+    return [(t.filter("src is not null and dst is not null") if "src" in t.columns else t).join(large, "user_id", "left_semi") for t in tables]
+
+
+def _schema(like: DataFrame, node: str, *fields: tuple) -> StructType:
+    """Output of a task: user_id, columns of the type of a node, and columns of given types."""
+    return StructType([StructField("user_id", like.schema["user_id"].dataType)] + [StructField(f[0], f[1] if len(f) > 1 else like.schema[node].dataType) for f in fields])
+
+
+def _table(schema: StructType, *columns) -> pa.Table:
+    return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [f.name for f in schema.fields])
+
+
+def reach(sources: DataFrame, edges: DataFrame, max_depth: int | None, with_path: bool = False, cut_every: int = 2, ends: DataFrame | None = None) -> DataFrame:
     """Shortest distance (and one shortest path) from each source to what it reaches (G-02, G-03).
 
     Breadth-first over all sources at once: only nodes reached for the first time expand.
     Of equally short paths the one that reads first wins. Includes the sources at distance 0.
-    Without ``max_depth`` it runs until nothing new is reached.
+    Without ``max_depth`` it runs until nothing new is reached. With ``ends`` (user_id, node, …) only what is among them
+    returns, with their columns. Graphs of few rows are searched in tasks, larger ones in rounds of joins.
     """
+    parts, extra, some = [L.tagged(L.NODE, sources, "node_id"), L.edge_rows(edges)], [], ends is not None
+    if some:
+        ends = ends.filter("user_id is not null and node is not null")
+        extra = [f for f in ends.schema.fields if f.name not in ("user_id", "node")]
+        parts.append(L.tagged(L.END, ends.withColumn("_more", F.struct(*[f.name for f in extra])), "node", more="_more") if extra else L.tagged(L.END, ends, "node"))
+    rows, large = L.gathered(*parts)
+    node = edges.schema["src"].dataType
+    schema = _schema(edges, "src", ("source",), ("node",), ("depth", IntegerType()), *([("path", ArrayType(node))] if with_path else []), *[(f.name, f.dataType) for f in extra])
+
+    def run(g: L.Graphs):
+        g.start_at(g.a[g.of(L.NODE)])
+        # a path is followed back to its source
+        g.walk(g.a[g.edge], g.b[g.edge])
+        g.search(max_depth, with_path)
+        wanted = g.of(L.END)
+        wanted = wanted[np.argsort(g.a[wanted], kind="stable")]
+        for cells in L.pieces(np.flatnonzero(g.depth >= 0)):
+            at = None
+            if some:
+                lo, hi = (np.searchsorted(g.a[wanted], g.vertex[cells], side) for side in ("left", "right"))
+                which = np.repeat(np.arange(len(cells)), hi - lo)
+                at = wanted[lo[which] + np.arange(len(which)) - (np.cumsum(hi - lo) - (hi - lo))[which]]
+                cells = cells[which]
+            out = [g.name(g.vertex[cells]), g.id(g.start(cells)), g.id(g.vertex[cells]), g.depth[cells]]
+            if with_path:
+                flat, begin = g.trails(cells)
+                length = np.diff(begin)
+                turned = np.repeat(begin[1:] - 1 + begin[:-1], length) - np.arange(len(flat))
+                out.append(pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), g.id(flat[turned])))
+            if extra:
+                more = g.rows["more"].combine_chunks().take(pa.array(at))
+                out += [more.field(f.name) for f in extra]
+            yield _table(schema, *out)
+
+    found = L.in_tasks(rows, run, schema)
+    if large is None:
+        return found
+    far = _reach_in_rounds(*_only(large, sources, edges), max_depth, with_path, cut_every)
+    return found.unionByName(far.join(ends, ["user_id", "node"]) if some else far)
+
+
+def _reach_in_rounds(sources: DataFrame, edges: DataFrame, max_depth: int | None, with_path: bool = False, cut_every: int = 2) -> DataFrame:
     keys = ["user_id", "source", "node"]
     step = edges.select("user_id", F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     front = sources.select("user_id", F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0).alias("depth")).distinct()
@@ -78,8 +136,7 @@ def reach(sources: DataFrame, edges: DataFrame, max_depth: int | None, with_path
 
 def related(sources: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, with_path: bool = False) -> DataFrame:
     """What each source reaches along its edges, nearest and most confident first (G-02)."""
-    found = reach(sources, edges, depth, with_path).filter("depth > 0")
-    return found.join(nodes.withColumnRenamed("node_id", "node"), ["user_id", "node"])
+    return reach(sources, edges, depth, with_path, ends=nodes.withColumnRenamed("node_id", "node")).filter("depth > 0")
 
 
 def related_concepts(sources: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 10) -> DataFrame:
@@ -98,9 +155,35 @@ def related_concepts(sources: DataFrame, edges: DataFrame, depth: int = 2, limit
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None, undirected: bool = False) -> DataFrame:
     """One shortest path per (user_id, source, target), absent when there is none (G-03)."""
+    asked = pairs.select("user_id", "source", "target").filter("user_id is not null and source is not null and target is not null")
+    rows, large = L.gathered(L.tagged(L.END, asked, "source", "target"), L.edge_rows(edges))
+    schema = _schema(edges, "src", ("source",), ("target",), ("depth", IntegerType()), ("path", ArrayType(edges.schema["src"].dataType)))
+
+    def run(g: L.Graphs):
+        for cells in L.pieces(_searched_back(g, max_depth, undirected)):
+            flat, begin = g.trails(cells)
+            yield _table(schema, g.name(g.vertex[cells]), g.id(g.vertex[cells]), g.id(g.start(cells)), g.depth[cells],
+                         pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), g.id(flat)))
+
+    found = L.in_tasks(rows, run, schema)
+    return found if large is None else found.unionByName(_paths_in_rounds(*_only(large, asked, edges), max_depth, undirected))
+
+
+def _searched_back(g: L.Graphs, max_depth: int | None, undirected: bool) -> np.ndarray:
+    """Cells of the sources asked for after a search from their targets against the edges; parents lead on along the path that reads first."""
+    asked, a, b = g.of(L.END), g.a[g.edge], g.b[g.edge]
+    g.start_at(g.b[asked])
+    g.walk(np.concatenate([b, a]), np.concatenate([a, b])) if undirected else g.walk(b, a)
+    g.search(max_depth)
+    place = np.searchsorted(g.starts, g.b[asked]) - g.first_start[g.user[g.b[asked]]]
+    cells = np.unique(g.base[g.a[asked]] + place)
+    return cells[g.depth[cells] >= 0]
+
+
+def _paths_in_rounds(pairs: DataFrame, edges: DataFrame, max_depth: int | None, undirected: bool) -> DataFrame:
     steps = both_ways(edges) if undirected else edges
     starts = pairs.select("user_id", F.col("source").alias("node_id")).distinct()
-    found = reach(starts, steps, max_depth, with_path=True).withColumnRenamed("node", "target")
+    found = _reach_in_rounds(starts, steps, max_depth, with_path=True).withColumnRenamed("node", "target")
     return found.join(pairs.select("user_id", "source", "target"), ["user_id", "source", "target"], "left_semi")
 
 
@@ -118,7 +201,36 @@ def simple_paths(sources: DataFrame, edges: DataFrame, max_hops: int = 3) -> Dat
 
 def explain_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Hops of the shortest undirected path, with relation, direction and strength (G-16)."""
-    paths = shortest_paths(pairs, edges, max_depth, undirected=True).filter("depth > 0")
+    asked = pairs.select("user_id", "source", "target").filter("user_id is not null and source is not null and target is not null")
+    rows, large = L.gathered(L.tagged(L.END, asked, "source", "target"), L.edge_rows(edges, type="type", strength="strength"))
+    schema = _schema(edges, "src", ("source",), ("target",), ("depth", IntegerType()), ("hop", IntegerType()), ("a",), ("b",),
+                     ("relation", edges.schema["type"].dataType), ("direction", StringType()), ("strength", edges.schema["strength"].dataType))
+
+    def run(g: L.Graphs):
+        paths = _searched_back(g, max_depth, True)
+        kinds, types = L._codes(g.rows["type"])
+        rank = np.empty(len(types), np.int64)
+        rank[pc.sort_indices(types, null_placement="at_start").to_numpy()] = np.arange(len(types))
+        known, value = ~g.rows["strength"].is_null().to_numpy()[g.edge], g.numbers("strength")[g.edge]
+        best = g.edge[L.firsts(-rank[kinds[g.edge]], -np.where(known, value, -np.inf), ~known, g.b[g.edge], g.a[g.edge])]
+        keys = g.a[best] * g.n + g.b[best]
+        for cells in L.pieces(paths[g.depth[paths] > 0]):
+            flat, begin = g.trails(cells)
+            hop = np.delete(np.arange(len(flat)), begin[1:] - 1)
+            cell = np.repeat(np.arange(len(cells)), np.diff(begin) - 1)
+            a, b = flat[hop], flat[hop + 1]
+            at, back = (np.minimum(np.searchsorted(keys, k), len(keys) - 1) for k in (a * g.n + b, b * g.n + a))
+            forward = keys[at] == a * g.n + b
+            edge = pa.array(best[np.where(forward, at, back)])
+            yield _table(schema, g.name(a), g.id(g.vertex[cells[cell]]), g.id(g.start(cells[cell])), g.depth[cells[cell]], (hop - begin[cell]).astype(np.int32), g.id(a), g.id(b),
+                         g.rows["type"].combine_chunks().take(edge), pa.array(np.where(forward, "forward", "backward"), pa.string()), g.rows["strength"].combine_chunks().take(edge))
+
+    found = L.in_tasks(rows, run, schema)
+    return found if large is None else found.unionByName(_explained_by_joins(*_only(large, asked, edges), max_depth))
+
+
+def _explained_by_joins(pairs: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    paths = _paths_in_rounds(pairs, edges, max_depth, undirected=True).filter("depth > 0")
     hops = paths.select("user_id", "source", "target", "depth",
                         F.posexplode(F.zip_with(F.slice("path", F.lit(1), F.col("depth")), F.slice("path", F.lit(2), F.col("depth")),
                                                 lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("hop", "h"))
@@ -150,10 +262,35 @@ def dependencies(sources: DataFrame, edges: DataFrame, depth: int = 3, types: Se
 def ego_graph(centers: DataFrame, edges: DataFrame, radius: int = 2, undirected: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around each center (G-11)."""
     inside = reach(centers, both_ways(edges) if undirected else edges, radius)
+    rest = [f for f in edges.schema.fields if f.name not in ("user_id", "src", "dst")]
+    links = L.edge_rows(edges.withColumn("_more", F.struct(*[f.name for f in rest])), more="_more") if rest else L.edge_rows(edges)
+    rows, large = L.gathered(L.tagged(L.NODE, centers, "node_id"), links)
+    schema = _schema(edges, "src", ("source",), ("dst",), ("src",), *[(f.name, f.dataType) for f in rest])
+
+    def run(g: L.Graphs):
+        a, b = g.a[g.edge], g.b[g.edge]
+        g.start_at(g.a[g.of(L.NODE)])
+        g.walk(np.concatenate([a, b]), np.concatenate([b, a])) if undirected else g.walk(a, b)
+        g.search(radius)
+        g.walk(a, b)
+        for cells in L.pieces(np.flatnonzero(g.depth >= 0)):
+            which, step, to = g.expand(cells)
+            which, step, to = (x[g.depth[to] >= 0] for x in (which, step, to))
+            out = [g.name(g.vertex[to]), g.id(g.start(to)), g.id(g.vertex[to]), g.id(g.vertex[cells[which]])]
+            if rest:
+                more = g.rows["more"].combine_chunks().take(pa.array(g.edge[g.step[step]]))
+                out += [more.field(f.name) for f in rest]
+            yield _table(schema, *out)
+
+    within = L.in_tasks(rows, run, schema)
+    return inside, within if large is None else within.unionByName(_within_by_joins(*_only(large, inside, edges)))
+
+
+def _within_by_joins(inside: DataFrame, edges: DataFrame) -> DataFrame:
     ids = inside.select("user_id", "source", "node")
     within = (edges.join(ids.withColumnRenamed("node", "src"), ["user_id", "src"])
               .join(ids.withColumnRenamed("node", "dst"), ["user_id", "source", "dst"], "left_semi"))
-    return inside, within
+    return within
 
 
 # ---- components ------------------------------------------------------------------
@@ -185,6 +322,25 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     return vertices.select("id").distinct().join(out, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user_id, node_id, component) of graphs per user, with the smallest node as label (G-10): of every node, and of what only edges name."""
+    rows, large = L.gathered(L.tagged(L.NODE, nodes, "node_id"), L.edge_rows(edges))
+    schema = _schema(edges, "src", ("node_id",), ("component",))
+
+    def run(g: L.Graphs):
+        every = np.arange(g.n)
+        yield _table(schema, g.name(every), g.id(every), g.id(g.least(g.a[g.edge], g.b[g.edge])))
+
+    found = L.in_tasks(rows, run, schema)
+    if large is None:
+        return found
+    far_nodes, far_edges = _only(large, nodes, edges)
+    at = lambda c: F.struct("user_id", F.col(c).alias("node"))
+    ids = far_nodes.select(at("node_id").alias("id"))
+    far = connected_components(far_edges.select(at("src").alias("src"), at("dst").alias("dst")), ids.unionByName(far_edges.select(F.explode(F.array(at("src"), at("dst"))).alias("id"))))
+    return found.unionByName(far.select("id.user_id", F.col("id.node").alias("node_id"), F.col("component.node").alias("component")))
+
+
 # ---- ranking -----------------------------------------------------------------------
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6,
              weight: str = "strength", edges_in_task: int = EDGES_IN_TASK) -> DataFrame:
@@ -265,25 +421,89 @@ def min_max(df: DataFrame, value: str, keys: Sequence[str] = ("user_id",)) -> Da
 
 def closeness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Incoming closeness, scaled by the share of the graph that reaches the node (G-06)."""
-    sizes = nodes.groupBy("user_id").agg(F.count("*").alias("n"))
-    to_node = reach(nodes, reversed_edges(edges), max_depth).filter("depth > 0")
-    sums = to_node.groupBy("user_id", F.col("source").alias("node_id")).agg(F.count("*").alias("k"), F.sum("depth").alias("total"))
-    df = nodes.select("user_id", "node_id").join(sizes, "user_id").join(sums, ["user_id", "node_id"], "left")
+    nodes = nodes.filter("user_id is not null")
+    rows, large = L.gathered(L.tagged(L.NODE, nodes, "node_id"), L.edge_rows(edges))
+    schema = _schema(edges, "src", ("node_id",), ("n", LongType()), ("k", LongType()), ("total", LongType()))
+
+    def run(g: L.Graphs):
+        mine = g.a[g.of(L.NODE)]
+        g.start_at(np.arange(g.n))
+        g.walk(g.a[g.edge], g.b[g.edge])
+        g.search(max_depth)
+        k, total = (np.bincount(g.vertex[g.depth > 0], w, g.n).astype(np.int64) for w in (None, g.depth[g.depth > 0]))
+        yield _table(schema, g.name(mine), g.id(mine), np.bincount(g.user[mine], minlength=len(g.users))[g.user[mine]], k[mine], total[mine])
+
+    df = L.in_tasks(rows, run, schema)
+    if large is not None:
+        df = df.unionByName(_far_sums(*_only(large, nodes, edges), max_depth))
     value = F.when((F.col("k") > 0) & (F.col("n") > 1), F.col("k") / F.col("total") * (F.col("k") / (F.col("n") - 1))).otherwise(0.0)
     return df.select("user_id", "node_id", value.alias("closeness"))
 
 
+def _far_sums(nodes: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    sizes = nodes.groupBy("user_id").agg(F.count("*").alias("n"))
+    to_node = _reach_in_rounds(nodes, reversed_edges(edges), max_depth).filter("depth > 0")
+    sums = to_node.groupBy("user_id", F.col("source").alias("node_id")).agg(F.count("*").alias("k"), F.sum("depth").alias("total"))
+    return nodes.select("user_id", "node_id").join(sizes, "user_id").join(sums, ["user_id", "node_id"], "left")
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "strength", batches: int = 1) -> DataFrame:
     """Share of lightest paths that run through a node (G-06), with edge weights as distances.
 
     Of equally light paths those with fewer edges of weight zero count, so that a ring of such edges lengthens a path and everything ends; loops at a node are on no path
     and weights below zero count as zero. Distances relax over all sources at once; path counts then flow along tight edges in
     order of distance, and dependencies flow back. Rounds stop when nothing changes. With ``batches`` the sources are taken in so many
-    parts one after the other, since what is held grows with sources times nodes.
+    parts one after the other, since what is held grows with sources times nodes. Graphs of few rows are settled in tasks.
     """
+    ids = nodes.select("user_id", "node_id").distinct()
     light = edges.filter("src <> dst").select("user_id", "src", "dst", F.greatest(F.round(weight, 9), F.lit(0.0)).alias("w")).filter("w is not null")
+    rows, large = L.gathered(L.tagged(L.NODE, ids, "node_id"), L.edge_rows(light, w="w"))
+    schema = _schema(edges, "src", ("node_id",), ("g", DoubleType()), ("n", LongType()))
+    scale = F.when(F.col("n") > 2, 1.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
+    small = L.in_tasks(rows, lambda g: _between(g, schema), schema).filter("user_id is not null").select("user_id", "node_id", (F.col("g") * scale).alias("betweenness"))
+    return small if large is None else small.unionByName(_between_by_joins(*_only(large, ids, light), batches))
+
+
+def _between(g: L.Graphs, schema: StructType):
+    mine = g.a[g.of(L.NODE)]
+    a, b, w = g.a[g.edge], g.b[g.edge], g.numbers("w")[g.edge]
+    least = L.firsts(w, b, a)
+    g.start_at(mine)
+    g.walk(a[least], b[least])
+    w = w[least][g.step]
+    far, zero = np.full(len(g.vertex), np.inf), np.zeros(len(g.vertex), np.int64)
+    far[g.front], front = 0.0, g.front
+    while len(front):
+        which, step, to = g.expand(front)
+        d, k = np.round(far[front][which] + w[step], 9), zero[front][which] + (w[step] == 0)
+        better = (d < far[to]) | ((d == far[to]) & (k < zero[to]))
+        d, k, to = d[better], k[better], to[better]
+        order = np.lexsort((k, d, to))
+        order = order[np.flatnonzero(np.diff(to[order], prepend=-1))]
+        front = to[order]
+        far[front], zero[front] = d[order], k[order]
+    reached = np.flatnonzero(far < np.inf)
+    which, step, to = g.expand(reached)
+    at = reached[which]
+    tight = (np.abs(far[at] + w[step] - far[to]) < 1e-9) & (zero[at] + (w[step] == 0) == zero[to])
+    at, to = at[tight], to[tight]
+    # counts by number of edges walked; every lightest path has some length
+    walk = np.zeros(len(far))
+    walk[g.front] = 1.0
+    sigma = walk.copy()
+    while (walk := np.bincount(to, walk[at], len(far))).any():
+        sigma += walk
+    share, total = sigma[at] / sigma[to], np.zeros(len(far))
+    back = (far < np.inf).astype(float)
+    while (back := np.bincount(at, share * back[to], len(far))).any():
+        back[g.front] = 0.0
+        total += back
+    sums = np.bincount(g.vertex, total, g.n)
+    yield _table(schema, g.name(mine), g.id(mine), sums[mine], np.bincount(g.user[mine], minlength=len(g.users))[g.user[mine]])
+
+
+def _between_by_joins(ids: DataFrame, light: DataFrame, batches: int) -> DataFrame:
     e = cut(light.groupBy("user_id", "src", "dst").agg(F.min("w").alias("w")).withColumn("z", (F.col("w") == 0).cast("int")))
-    ids = nodes.select("user_id", "node_id").distinct()
     totals = []
     for batch in range(batches):
         sources = ids.filter(F.pmod(F.xxhash64("user_id", "node_id"), F.lit(batches)) == batch)
@@ -369,9 +589,31 @@ def spread_confidence(sources: DataFrame, edges: DataFrame, factor: float = 0.5,
     A visited node sends ``factor · strength · (1 − depth/max)`` along each allowed edge to nodes
     not visited before it.
     """
-    allowed = edges.filter(F.col("type").isin(*types))
+    allowed = edges.filter(F.col("type").isin(*types) & F.col("strength").isNotNull()).select("user_id", "src", "dst", "strength")
+    rows, large = L.gathered(L.tagged(L.NODE, sources, "node_id"), L.edge_rows(allowed, w="strength"))
+    schema = _schema(edges, "src", ("source",), ("node_id",), ("boost", DoubleType()), ("edges_used", LongType()))
+
+    def run(g: L.Graphs):
+        w = g.numbers("w")[g.edge]
+        g.start_at(g.a[g.of(L.NODE)])
+        g.walk(g.a[g.edge], g.b[g.edge])
+        g.search(max_depth)
+        near = np.flatnonzero(g.depth >= 0)
+        which, step, to = g.expand(near)
+        da, db, later = g.depth[near][which], g.depth[to], g.vertex[to] > g.vertex[near][which]
+        boost = factor * w[g.step][step] * (1 - da / max_depth)
+        sent = ((db < 0) | (db > da) | ((db == da) & later)) & (boost > 0)
+        used = np.bincount(to[sent], minlength=len(g.vertex))
+        total, cells = np.bincount(to[sent], boost[sent], len(g.vertex)), np.flatnonzero(used)
+        yield _table(schema, g.name(g.vertex[cells]), g.id(g.start(cells)), g.id(g.vertex[cells]), total[cells], used[cells])
+
+    found = L.in_tasks(rows, run, schema)
+    return found if large is None else found.unionByName(_confidence_by_joins(*_only(large, sources, allowed), factor, max_depth))
+
+
+def _confidence_by_joins(sources: DataFrame, allowed: DataFrame, factor: float, max_depth: int) -> DataFrame:
     # a node expands at its first distance; it may send to nodes at the same or a later distance
-    near = reach(sources, allowed, max_depth)
+    near = _reach_in_rounds(sources, allowed, max_depth)
     a = near.select("user_id", "source", F.col("node").alias("src"), F.col("depth").alias("da"))
     b = near.select("user_id", "source", F.col("node").alias("dst"), F.col("depth").alias("db"))
     sent = (a.join(allowed, ["user_id", "src"]).join(b, ["user_id", "source", "dst"], "left")
@@ -388,6 +630,39 @@ def spread_importance(sources: DataFrame, edges: DataFrame, factor: float = 0.7,
     Every node expands once, with the value that reaches it first; what a node receives sums up.
     ``sources`` carries (user_id, node_id, importance).
     """
+    rows, large = L.gathered(L.tagged(L.NODE, sources, "node_id", w="importance"), L.edge_rows(edges.filter("strength is not null"), w="strength"))
+    schema = _schema(edges, "src", ("source",), ("node_id",), ("importance", DoubleType()))
+
+    def run(g: L.Graphs):
+        w, mine = g.numbers("w"), g.of(L.NODE)
+        a, b, strength = g.a[g.edge], g.b[g.edge], w[g.edge]
+        most = L.firsts(-strength, b, a)
+        g.start_at(g.a[mine])
+        g.walk(a[most], b[most])
+        strength = strength[most][g.step]
+        total, hit, seen = (np.zeros(len(g.vertex), t) for t in (float, bool, bool))
+        front, value = g.front[np.searchsorted(g.starts, g.a[mine])], w[mine]
+        seen[front] = True
+        while len(front):
+            which, step, to = g.expand(front)
+            sent = value[which] * strength[step] * factor
+            to, sent = to[sent > floor], sent[sent > floor]
+            np.add.at(total, to, sent)
+            hit[to] = True
+            # of the values arriving in one round the largest counts as the first
+            to, sent = to[~seen[to]], sent[~seen[to]]
+            order = np.lexsort((-sent, to))
+            order = order[np.flatnonzero(np.diff(to[order], prepend=-1))]
+            front, value = to[order], sent[order]
+            seen[front] = True
+        for cells in L.pieces(np.flatnonzero(hit)):
+            yield _table(schema, g.name(g.vertex[cells]), g.id(g.start(cells)), g.id(g.vertex[cells]), total[cells])
+
+    found = L.in_tasks(rows, run, schema)
+    return found if large is None else found.unionByName(_importance_in_rounds(*_only(large, sources, edges), factor, floor))
+
+
+def _importance_in_rounds(sources: DataFrame, edges: DataFrame, factor: float, floor: float) -> DataFrame:
     step = edges.groupBy("user_id", F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.max("strength").alias("strength"))
     front = sources.select("user_id", F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.col("importance").alias("value"))
     seen = front.select("user_id", "source", "node")
@@ -461,6 +736,49 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     The mean path is given for graphs in one piece, and distances are taken in those alone.
     """
+    rows, large = L.gathered(L.tagged(L.NODE, nodes, "node_id"), L.edge_rows(edges))
+    long = LongType()
+    schema = _schema(edges, "src", ("n_nodes", long), ("n_edges", long), ("avg_clustering", DoubleType()), ("weak_components", long), ("total", long), ("pairs", long))
+    df = L.in_tasks(rows, lambda g: _described(g, schema), schema).filter("user_id is not null").withColumn(
+        "density", F.when(F.col("n_nodes") > 1, F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0))
+    if large is not None:
+        df = df.unionByName(_described_by_joins(*_only(large, nodes, edges)))
+    n = F.col("n_nodes")
+    return df.withColumns({
+        "avg_degree_centrality": F.when(n > 1, 2.0 * F.col("n_edges") / (n * (n - 1))).otherwise(1.0),
+        "avg_shortest_path": F.when((n > 1) & (F.col("weak_components") == 1) & (F.col("pairs") == n * (n - 1)), F.col("total") / F.col("pairs"))}).drop("total", "pairs")
+
+
+def _described(g: L.Graphs, schema: StructType):
+    mine = g.a[g.of(L.NODE)]
+    per = lambda users, w=None: np.bincount(users, w, len(g.users))
+    pair = np.unique(g.a[g.edge] * g.n + g.b[g.edge])
+    a, b = pair // g.n, pair % g.n
+    und = np.unique(np.concatenate([pair, b * g.n + a]))
+    x, y = und // g.n, und % g.n
+    und, x, y = (v[x != y] for v in (und, x, y))
+    degree, up = np.bincount(x, minlength=g.n), x < y
+    lo, hi, first = x[up], y[up], np.searchsorted(x[up], np.arange(g.n + 1))
+    wedges = first[hi + 1] - first[hi]
+    which = np.repeat(np.arange(len(lo)), wedges)
+    end = hi[first[hi][which] + np.arange(len(which)) - (np.cumsum(wedges) - wedges)[which]]
+    closed = np.isin(lo[which] * g.n + end, und)
+    corners = np.concatenate([lo[which][closed], hi[which][closed], end[closed]])
+    triangles = np.bincount(corners, minlength=g.n)
+    local = np.where(degree > 1, 2.0 * triangles / np.maximum(degree * (degree - 1), 1), 0.0)
+    nodes = np.unique(mine)
+    parts = np.unique(g.least(a, b)[nodes[~g.id(nodes).is_null().to_numpy(zero_copy_only=False)]])
+    g.start_at(nodes)
+    g.walk(x, y)
+    g.search()
+    far = np.flatnonzero(g.depth > 0)
+    owner, users = g.user[g.vertex[far]], np.flatnonzero(per(g.user[mine]))
+    n = per(g.user[mine])
+    out = [n, per(g.user[a]), per(g.user[mine], local[mine]) / np.maximum(n, 1), per(g.user[parts]), per(owner, g.depth[far]).astype(np.int64), per(owner)]
+    yield _table(schema, g.users.take(pa.array(users)), *[v[users] for v in out])
+
+
+def _described_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     from engram.operators.entropy import density
     pair = cut(edges.select("user_id", "src", "dst").distinct())
     base = density(nodes, pair)
@@ -470,12 +788,8 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     whole = parts.filter("weak_components = 1").select("_u")
     one = lambda df: df.join(whole, F.col("_u") == F.col("user_id").cast("string"), "left_semi")
     far = distance_sums(one(nodes), one(both_ways(pair)))
-    df = (base.join(clustering_coefficient(nodes, pair), "user_id", "left")
-          .join(parts, F.col("_u") == F.col("user_id").cast("string"), "left").drop("_u").join(far, "user_id", "left"))
-    n = F.col("n_nodes")
-    return df.withColumns({
-        "avg_degree_centrality": F.when(n > 1, 2.0 * F.col("n_edges") / (n * (n - 1))).otherwise(1.0),
-        "avg_shortest_path": F.when((F.col("weak_components") == 1) & (F.col("pairs") == n * (n - 1)), F.col("total") / F.col("pairs"))}).drop("total", "pairs")
+    return (base.join(clustering_coefficient(nodes, pair), "user_id", "left")
+            .join(parts, F.col("_u") == F.col("user_id").cast("string"), "left").drop("_u").join(far, "user_id", "left"))
 
 
 def upsert_edges(edges: DataFrame, new: DataFrame, mode: str = "strengthen", as_of: Column | None = None) -> DataFrame:

@@ -113,7 +113,7 @@ def goal_interest_alignment(nodes: DataFrame, edges: DataFrame, goal: str = "goa
     """
     starts = nodes.filter(F.col("node_type") == interest).select("user_id", "node_id")
     goals = nodes.filter(F.col("node_type") == goal).select("user_id", F.col("node_id").alias("node"))
-    hit = reach(starts, edges, max_depth).join(goals, ["user_id", "node"]).groupBy("user_id").agg(F.count("*").alias("aligned_pairs"))
+    hit = reach(starts, edges, max_depth, ends=goals).groupBy("user_id").agg(F.count("*").alias("aligned_pairs"))
     total = nodes.groupBy("user_id").agg((F.count_if(F.col("node_type") == goal) * F.count_if(F.col("node_type") == interest)).alias("total_pairs"))
     df = total.join(hit, "user_id", "left").withColumn("aligned_pairs", F.coalesce("aligned_pairs", F.lit(0)))
     return df.withColumn("alignment_score", F.when(F.col("total_pairs") > 0, F.col("aligned_pairs") / F.col("total_pairs")).otherwise(0.0))
