@@ -261,18 +261,27 @@ def dependencies(sources: DataFrame, edges: DataFrame, depth: int = 3, types: Se
 
 def ego_graph(centers: DataFrame, edges: DataFrame, radius: int = 2, undirected: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around each center (G-11)."""
-    inside = reach(centers, both_ways(edges) if undirected else edges, radius)
     rest = [f for f in edges.schema.fields if f.name not in ("user_id", "src", "dst")]
     links = L.edge_rows(edges.withColumn("_more", F.struct(*[f.name for f in rest])), more="_more") if rest else L.edge_rows(edges)
     rows, large = L.gathered(L.tagged(L.NODE, centers, "node_id"), links)
     schema = _schema(edges, "src", ("source",), ("dst",), ("src",), *[(f.name, f.dataType) for f in rest])
 
-    def run(g: L.Graphs):
+    near = _schema(edges, "src", ("source",), ("node",), ("depth", IntegerType()))
+
+    def search(g: L.Graphs):
         a, b = g.a[g.edge], g.b[g.edge]
         g.start_at(g.a[g.of(L.NODE)])
         g.walk(np.concatenate([a, b]), np.concatenate([b, a])) if undirected else g.walk(a, b)
         g.search(radius)
-        g.walk(a, b)
+
+    def around(g: L.Graphs):
+        search(g)
+        for cells in L.pieces(np.flatnonzero(g.depth >= 0)):
+            yield _table(near, g.name(g.vertex[cells]), g.id(g.start(cells)), g.id(g.vertex[cells]), g.depth[cells])
+
+    def run(g: L.Graphs):
+        search(g)
+        g.walk(g.a[g.edge], g.b[g.edge])
         for cells in L.pieces(np.flatnonzero(g.depth >= 0)):
             which, step, to = g.expand(cells)
             which, step, to = (x[g.depth[to] >= 0] for x in (which, step, to))
@@ -282,8 +291,12 @@ def ego_graph(centers: DataFrame, edges: DataFrame, radius: int = 2, undirected:
                 out += [more.field(f.name) for f in rest]
             yield _table(schema, *out)
 
-    within = L.in_tasks(rows, run, schema)
-    return inside, within if large is None else within.unionByName(_within_by_joins(*_only(large, inside, edges)))
+    inside, within = L.in_tasks(rows, around, near), L.in_tasks(rows, run, schema)
+    if large is None:
+        return inside, within
+    far_centers, far_edges = _only(large, centers, edges)
+    far = _reach_in_rounds(far_centers, both_ways(far_edges) if undirected else far_edges, radius)
+    return inside.unionByName(far), within.unionByName(_within_by_joins(far, far_edges))
 
 
 def _within_by_joins(inside: DataFrame, edges: DataFrame) -> DataFrame:
