@@ -278,7 +278,7 @@ def c_05(t):
     from engram.plans.compose import merge_for_context
     from engram.plans.recall import rank_selected
     from engram.catalog.relevance import useful
-    merged = merge_for_context(rank_selected(useful(t)))
+    merged = merge_for_context(rank_selected(useful(t).drop("content", "summary")), t.memories_v)
     return merged.select("query_id", F.col("id").alias("memory_id"), "n_sources", "merged")
 
 

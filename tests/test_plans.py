@@ -192,3 +192,23 @@ def test_conflicts_are_settled_among_the_candidates_of_a_query(spark, memories,
     with pytest.raises(StopIteration):
         CO.compose(m, None, None, None, as_of)
     assert seen["kept"] == [(1, 1), (2, 2)]
+
+
+def test_texts_are_not_written_for_every_query(spark, memories, empty_concepts, empty_traits, as_of, monkeypatch):
+    """The rows of a user once went through every stage with their texts for each turn."""
+    m = memories(*[{"content": f"note {i} about architecture and design {i * 7} " + "x" * 500, "memory_type": k} for i, k in enumerate(["semantic", "procedural", "identity"] * 4)],
+                 *[{"content": "copies of one statement about design " + w, "summary": s, "memory_type": "concept"} for w, s in (("one", None), ("two", "in short."))])
+    turns = spark.createDataFrame([(1, i, 1, AS_OF, f"explain the architecture of design {i}") for i in range(3)], "conv_id long, turn long, user_id long, ts timestamp, text string")
+    written = []
+
+    def seen(df):
+        written.append(df.columns)
+        return cut(df)
+
+    cut = CO.cut
+    monkeypatch.setattr(CO, "cut", seen)
+    monkeypatch.setattr(RC, "cut", seen)
+    rows = J.conversational_turns(turns, m, empty_traits, empty_concepts, as_of).collect()
+    assert len(rows) == 3 and all(0 < r["compressed_tokens"] <= 800 < r["original_tokens"] for r in rows)
+    per_query = [c for c in written if "query_id" in c and "memory_id" in c]
+    assert per_query and not any({"content", "summary"} & set(c) for c in per_query)
