@@ -360,42 +360,56 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
     """Weighted rank per user graph, dangling mass spread evenly (G-05).
 
     Ranks of a user sum to one. A graph is done when its ranks moved by less than its number of nodes times
-    ``tolerance`` in a round, or after ``iterations``. A graph of few edges is ranked in one task, larger ones in rounds of joins, by the same rule.
+    ``tolerance`` in a round, or after ``iterations``. Graphs of up to ``edges_in_task`` rows are ranked many at a time in tasks, larger ones in rounds of joins, by the same rule.
     """
-    ids = nodes.select("user_id", "node_id").distinct()
+    schema = _schema(nodes, "node_id", ("node_id",), ("rank", DoubleType()))
+    known = nodes.select("user_id", "node_id").filter("user_id is not null")
+    given = edges.filter("user_id is not null and src is not null")
+    rows, large = L.gathered(L.tagged(L.NODE, known, "node_id"), L.tagged(L.EDGE, given, "src", "dst", weight=weight), bound=edges_in_task)
+    small = L.in_tasks(rows, lambda g: _ranked(g, schema, iterations, damping, tolerance), schema)
+    if large is None:
+        return small
+    known, given = (t.join(large, "user_id", "left_semi") for t in (known, given))
+    ids = known.distinct()
     sizes = ids.groupBy("user_id").agg(F.count("*").alias("n"))
-    merged = edges.groupBy("user_id", "src", "dst").agg(F.sum(weight).alias("w"))
+    merged = given.groupBy("user_id", "src", "dst").agg(F.sum(weight).alias("w"))
     totals = merged.groupBy("user_id", "src").agg(F.sum("w").alias("total"))
     flow = cut(merged.join(totals, ["user_id", "src"]).filter("total > 0").select("user_id", "src", "dst", (F.col("w") / F.col("total")).alias("share")))
     has_out = flow.select("user_id", F.col("src").alias("node_id")).distinct().withColumn("_out", F.lit(True))
-    base = cut(ids.join(sizes, "user_id").join(has_out, ["user_id", "node_id"], "left")
-               .select("user_id", "node_id", "n", F.col("_out").isNull().alias("dangling")))
-    large = cut(flow.groupBy("user_id").agg(F.count("*").alias("_e")).unionByName(base.groupBy("user_id").agg(F.count("*").alias("_e")))
-                .filter(F.col("_e") > edges_in_task).select("user_id").distinct())
-    if large.isEmpty():
-        return _ranked_in_tasks(base, flow, iterations, damping, tolerance)
-    small = _ranked_in_tasks(base.join(large, "user_id", "left_anti"), flow.join(large, "user_id", "left_anti"), iterations, damping, tolerance)
-    return small.unionByName(_ranked_in_rounds(base.join(large, "user_id", "left_semi"), cut(flow.join(large, "user_id", "left_semi")), iterations, damping, tolerance))
-
-
-def _ranked_in_tasks(base: DataFrame, flow: DataFrame, iterations: int, damping: float, tolerance: float) -> DataFrame:
-    schema = StructType([base.schema["user_id"], base.schema["node_id"], StructField("rank", DoubleType())])
-
-    def run(mine: pa.Table, links: pa.Table) -> pa.Table:
-        ids = mine.column("node_id").combine_chunks()
-        n, loose = len(ids), mine.column("dangling").to_numpy()
-        src, dst = (pc.index_in(links.column(c).combine_chunks(), value_set=ids) for c in ("src", "dst"))
-        known = pc.and_(src.is_valid(), dst.is_valid()).to_numpy(zero_copy_only=False)
-        src, dst, share = (x[known] for x in (src.fill_null(0).to_numpy(), dst.fill_null(0).to_numpy(), links.column("share").to_numpy()))
-        rank = np.full(n, 1.0 / max(n, 1))
-        for _ in range(iterations):
-            new = damping * (np.bincount(dst, share * rank[src], n) + rank[loose].sum() / n) + (1 - damping) / n if n else rank
-            moved, rank = np.abs(new - rank).sum(), new
-            if moved < n * tolerance:
-                break
-        return pa.table([mine.column("user_id"), mine.column("node_id"), pa.array(rank)], [f.name for f in schema.fields])
-
-    return base.groupBy("user_id").cogroup(flow.groupBy("user_id")).applyInArrow(run, schema)
+    base = ids.join(sizes, "user_id").join(has_out, ["user_id", "node_id"], "left").select("user_id", "node_id", "n", F.col("_out").isNull().alias("dangling"))
+    return small.unionByName(_ranked_in_rounds(base, flow, iterations, damping, tolerance))
+
+
+def _ranked(g: L.Graphs, schema: StructType, iterations: int, damping: float, tolerance: float):
+    """All graphs step together; those that are done keep their ranks and leave."""
+    nodes = np.unique(g.a[g.of(L.NODE)])
+    place = np.full(g.n, -1)
+    place[nodes] = np.arange(len(nodes))
+    user = g.user[nodes]
+    n = np.bincount(user, minlength=len(g.users)).astype(float)
+    src, dst, w = g.a[g.edge], g.b[g.edge], np.nan_to_num(g.numbers("weight")[g.edge])
+    total = np.bincount(src, w, g.n)
+    loose = ~(total > 0)[nodes]  # a node without weight to give spreads its rank
+    # an edge that leads nowhere takes its share along
+    links = (total[src] > 0) & (place[src] >= 0) & (place[dst] >= 0) & ~g.rows["b"].is_null().to_numpy()[g.edge]
+    src, dst, share = place[src[links]], place[dst[links]], w[links] / total[src[links]]
+    rank, out = 1.0 / n[user], np.empty(len(nodes))
+    at = np.arange(len(nodes))  # nodes whose graphs are not done
+    for _ in range(iterations):
+        if not len(at):
+            break
+        spare = np.bincount(user, np.where(loose, rank, 0.0), len(n))
+        new = damping * (np.bincount(dst, share * rank[src], len(at)) + spare[user] / n[user]) + (1 - damping) / n[user]
+        moved, rank = np.bincount(user, np.abs(new - rank), len(n)), new
+        done = (moved < n * tolerance)[user]
+        if done.any():
+            out[at[done]] = rank[done]
+            stay, to = ~done, np.cumsum(~done) - 1
+            links = stay[src]
+            src, dst, share = to[src[links]], to[dst[links]], share[links]
+            at, rank, user, loose = at[stay], rank[stay], user[stay], loose[stay]
+    out[at] = rank
+    yield _table(schema, g.name(nodes), g.id(nodes), out)
 
 
 def _ranked_in_rounds(base: DataFrame, flow: DataFrame, iterations: int, damping: float, tolerance: float) -> DataFrame:
