@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,51 @@ class Memory(dict):
         return value
 
 
+def train(t: pa.Table, grades: int, emphasis: float, rounds: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds from rows (label, ids, weight, head): the first ``head`` ids count ``weight``, the others 1.
+
+    Rows are read where they lie; only what their clear features need is copied.
+    """
+    column, rows, parts = t.column("ids"), [], []
+    for i in pc.sort_indices(t, [("ids", "ascending"), ("label", "descending")]).to_pylist():  # the sums do not depend on how rows came
+        x = np.frombuffer(column[i].as_buffer(), np.int32)
+        if not parts or not np.array_equal(x, parts[-1]):  # copies teach once
+            rows.append(i)
+            parts.append(x)
+    y, weight, head = (t.column(c).to_numpy()[rows] for c in ("label", "weight", "head"))
+    y = y.astype(np.int64)
+    # only features whose rows have grades clearly off the mean take part
+    n, total = np.zeros(WIDTH, np.int64), np.zeros(WIDTH)
+    for x, grade in zip(parts, y):
+        once = np.unique(x)
+        n[once] += 1
+        total[once] += grade
+    clear = np.abs(total - n * y.mean()) / np.sqrt((n + 5) * max(y.var(), 1e-9)) >= CLEAR
+    keep = [clear[x] for x in parts]
+    values = np.concatenate([np.repeat(np.array([w, 1.0], np.float32), [k[:h].sum(), k[h:].sum()]) for k, w, h in zip(keep, weight, head)])
+    doc = np.repeat(np.arange(len(y)), [k.sum() for k in keep])
+    used, ids = np.unique(np.concatenate([x[k] for x, k in zip(parts, keep)]), return_inverse=True)
+    above = y[:, None] > np.arange(grades - 1)[None, :]
+    shares = (above.sum(axis=0) + 1) / (len(y) + 2)
+    theta = np.log((1 - shares) / shares)
+    w, stress = np.zeros(len(used)), np.where(y > 0, emphasis, 1.0)
+    if len(np.unique(y)) > 1:
+        m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(theta), np.zeros_like(theta)
+        for i in range(1, rounds + 1):
+            score = np.bincount(doc, values * w[ids], len(y))
+            miss = (1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -30, 30))) - above) * stress[:, None]
+            g = np.bincount(ids, values * miss.sum(axis=1)[doc], len(used)) / len(y) + l2 * w
+            gt = -miss.mean(axis=0)
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            mt, vt = 0.9 * mt + 0.1 * gt, 0.999 * vt + 0.001 * gt * gt
+            fix, fix2 = 1 - 0.9**i, 1 - 0.999**i
+            w -= 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
+            theta = np.maximum.accumulate(theta - 0.1 * (mt / fix) / (np.sqrt(vt / fix2) + 1e-8))
+    out = np.zeros(WIDTH, np.float32)
+    out[used] = w
+    return out, theta
+
+
 def fit(rows: DataFrame, label: str, text: str, tokens: Callable[[], Tokens], features: Callable[[], Features], grades: int,
         scaled: bool, emphasis: float = 1.0, rounds: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of P(grade > j) = sigmoid(score - threshold j), from a bounded number of rows.
@@ -53,54 +99,23 @@ def fit(rows: DataFrame, label: str, text: str, tokens: Callable[[], Tokens], fe
         split, of = tokens(), features()
         known = Memory(lambda t: np.array([spot(f) for f in of(t)], np.int32).tobytes())
         for batch in batches:
-            ids, values = [], []
+            ids, weights, heads = [], [], []
             for t in batch.column("text").to_pylist():
                 words, whole = split(t or "")
                 one, two = (b"".join(map(known.__getitem__, sorted(x))) for x in (words, whole))
-                weight = 1 / np.sqrt(max(1, len(words))) if scaled else 1.0
                 ids.append(one + two)
-                values.append(np.repeat(np.array([weight, 1.0], np.float32), [len(one) // 4, len(two) // 4]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["label", "ids", "values"])
-
-    def train(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("ids", "ascending"), ("label", "descending")])  # the sums do not depend on how rows came
-        raw = t.column("ids").to_pylist()
-        t = t.take([i for i, x in enumerate(raw) if not i or x != raw[i - 1]])  # copies teach once
-        y = t.column("label").to_numpy().astype(np.int64)
-        parts = [np.frombuffer(x, np.int32) for x in t.column("ids").to_pylist()]
-        ids, lengths = np.concatenate(parts).astype(np.int64), np.array([len(p) for p in parts])
-        values = np.concatenate([np.frombuffer(x, np.float32) for x in t.column("values").to_pylist()])
-        doc = np.repeat(np.arange(len(y)), lengths)
-        # only features whose rows have grades clearly off the mean take part
-        pair = np.unique(doc * WIDTH + ids)
-        n, total = np.bincount(pair % WIDTH, minlength=WIDTH), np.bincount(pair % WIDTH, y[pair // WIDTH], WIDTH)
-        strength = np.abs(total - n * y.mean()) / np.sqrt((n + 5) * max(y.var(), 1e-9))
-        keep = strength[ids] >= CLEAR
-        used, ids = np.unique(ids[keep], return_inverse=True)
-        doc, values = doc[keep], values[keep]
-        above = y[:, None] > np.arange(grades - 1)[None, :]
-        shares = (above.sum(axis=0) + 1) / (len(y) + 2)
-        theta = np.log((1 - shares) / shares)
-        w, stress = np.zeros(len(used)), np.where(y > 0, emphasis, 1.0)
-        if len(np.unique(y)) > 1:
-            m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(theta), np.zeros_like(theta)
-            for i in range(1, rounds + 1):
-                score = np.bincount(doc, values * w[ids], len(y))
-                miss = (1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -30, 30))) - above) * stress[:, None]
-                g = np.bincount(ids, values * miss.sum(axis=1)[doc], len(used)) / len(y) + l2 * w
-                gt = -miss.mean(axis=0)
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                mt, vt = 0.9 * mt + 0.1 * gt, 0.999 * vt + 0.001 * gt * gt
-                fix, fix2 = 1 - 0.9**i, 1 - 0.999**i
-                w -= 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-                theta = np.maximum.accumulate(theta - 0.1 * (mt / fix) / (np.sqrt(vt / fix2) + 1e-8))
-        out = np.zeros(WIDTH, np.float32)
-        out[used] = w
-        return pa.table({"weights": pa.array([out.tobytes()], pa.binary()), "thresholds": pa.array([theta.tolist()], pa.list_(pa.float64()))})
+                weights.append(1 / np.sqrt(max(1, len(words))) if scaled else 1.0)
+                heads.append(len(one) // 4)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.binary()), pa.array(weights, pa.float32()), pa.array(heads, pa.int32())],
+                                             ["label", "ids", "weight", "head"])
+
+    def taught(t: pa.Table) -> pa.Table:
+        weights, thresholds = train(t, grades, emphasis, rounds, l2)
+        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "thresholds": pa.array([thresholds.tolist()], pa.list_(pa.float64()))})
 
     shown = rows.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    got = (shown.mapInArrow(extract, "label int, ids binary, values binary").withColumn("one", F.lit(1))
-           .groupBy("one").applyInArrow(lambda t: train(t), "weights binary, thresholds array<double>").collect())
+    got = (shown.mapInArrow(extract, "label int, ids binary, weight float, head int").withColumn("one", F.lit(1))
+           .groupBy("one").applyInArrow(taught, "weights binary, thresholds array<double>").collect())
     if not got:
         return np.zeros(WIDTH, np.float32), np.zeros(grades - 1)
     return np.frombuffer(got[0].weights, np.float32), np.array(got[0].thresholds)
