@@ -49,13 +49,14 @@ def store_entropy(memories: DataFrame, concepts: DataFrame, buckets: Mapping[str
     return df.withColumn("entropy_score", Q.entropy_score(*[F.col(c) for c in ("redundancy", "conflicts", "fragmentation", "obsolete")])).drop("_dup", "_low")
 
 
-def per_memory_entropy(memories: DataFrame, concepts: DataFrame, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS) -> DataFrame:
+def per_memory_entropy(memories: DataFrame, concepts: DataFrame, buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS,
+                       texts: DataFrame | None = None) -> DataFrame:
     """Rows in a duplicate group or a conflict carry the store score, the rest a low one (A-12).
 
-    The store score looks at rows not forgotten, as the measurement does.
+    The store score looks at rows not forgotten, as the measurement does. ``texts`` (memory_id, memory_type, content) are for ``memories`` that carry none.
     """
     live = memories.filter(F.col("cognitive_state") != "forgotten")
-    found = signals(live, buckets)
+    found = signals(live if texts is None else live.join(texts, ["memory_id", "memory_type"]), buckets)
     score = store_entropy(live, concepts, buckets, found).select("user_id", F.col("entropy_score").alias("_store"))
     flagged = found.members.select("memory_id").unionByName(found.rows).distinct().withColumn("_flag", F.lit(True))
     df = memories.join(flagged, "memory_id", "left").join(score, "user_id", "left")

@@ -212,3 +212,16 @@ def test_texts_are_not_written_for_every_query(spark, memories, empty_concepts,
     assert len(rows) == 3 and all(0 < r["compressed_tokens"] <= 800 < r["original_tokens"] for r in rows)
     per_query = [c for c in written if "query_id" in c and "memory_id" in c]
     assert per_query and not any({"content", "summary"} & set(c) for c in per_query)
+
+
+def test_evolution_writes_no_texts(spark, memories, empty_concepts, empty_traits, as_of, monkeypatch):
+    """Every stage once wrote all rows with their texts."""
+    m = memories({"content": "Likes Rust"}, {"content": "Enjoys Rust"}, {"content": "User prefers Vue for frontend work", "memory_type": "identity", "last_accessed": days_ago(80)},
+                 {"content": "User prefers React for frontend work", "memory_type": "identity", "summary": "React"}, {"content": "gone", "cognitive_state": "forgotten"})
+    written, cut = [], EV.cut
+    monkeypatch.setattr(EV, "cut", lambda df: written.append(df.columns) or cut(df))
+    e = EV.evolve(m, empty_concepts, empty_traits, as_of)
+    rows = {r["memory_id"]: r for r in e.memories.collect()}
+    assert written and not any({"content", "summary"} & set(c) for c in written)
+    assert {i: r["content"] for i, r in rows.items()} == {r["memory_id"]: r["content"] for r in m.collect()} and rows[4]["summary"] == "React"
+    assert rows[1]["cognitive_state"] == rows[2]["cognitive_state"] == rows[3]["cognitive_state"] == "archived" and "React" in rows[3]["archive_reason"]
