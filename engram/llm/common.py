@@ -56,15 +56,14 @@ def ranked(df: DataFrame, group: str, cells: Column, order: list[str], name: str
 
     A row falls into the cell ``cells`` of its group. Rows are numbered inside (group, cell), and the counts
     of the cells before are added, so a group with a third of all rows is sorted by as many tasks as it has cells.
-    Ties beyond ``order`` lie between rows that agree in it.
+    A group is never null: counts meet the rows by plain equality, for which rows stay where they were numbered. Ties beyond ``order`` lie between rows that agree in it.
     """
     df = df.withColumn("_cell", cells)
     counts = df.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(
         Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = df.withColumn("_row", F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order)))
-    keyed = inside.join(before.withColumnsRenamed({group: "_g", "_cell": "_c"}), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_c")))
-    return keyed.withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_cell", "_row", "_before", "_g", "_c")
+    return inside.join(before, [group, "_cell"]).withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_cell", "_row", "_before")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import hashlib
 import itertools
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from engram.llm import bitsliced, bpe, catalog, crosspolytope, linededup, minhash, mixing, quality, ring, suffixes, toxicity
+from engram.llm import bitsliced, bpe, catalog, common, crosspolytope, linededup, minhash, mixing, quality, ring, suffixes, toxicity
 from engram.llm.common import components
 from engram.llm.shingles import shingle_sets
 
@@ -361,6 +363,19 @@ def test_quality_without_labels_or_rows(docs, nothing, rated):
 
 
 # ---- mixing ----------------------------------------------------------------------------------
+def test_rows_are_dealt_out_once_to_be_numbered(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(40)], "id long, kind int")
+    numbered = common.ranked(rows, "kind", F.pmod("id", F.lit(4)), ["id"])
+    assert sorted((r.kind, r.nth) for r in numbered.collect()) == sorted((i % 3, i // 3) for i in range(40))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = common.ranked(rows, "kind", F.pmod("id", F.lit(4)), ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 4  # the rows, their counts, the counts of a group and these for the rows
+
+
 @pytest.mark.parametrize("weights", [[1], [3, 1], [226] + [41] * 19, [1] * 50, [997, 1, 1, 1]])
 def test_schedule_stays_within_one_block(weights):
     plan, total = mixing.schedule(weights), sum(weights)
