@@ -23,7 +23,7 @@ from engram.operators.memberships import recent_identity_flags, with_flag
 from engram.operators.pairs import contradictory_pairs
 from engram.operators.understanding import required_knowledge
 from engram.plans.evolution import supersede
-from engram.session import cut
+from engram.session import cut, spread
 from engram.sources.store import reclaim_vectors, top_per_group
 
 
@@ -118,6 +118,8 @@ def offline_pass(memories: DataFrame, vectors: DataFrame, concepts: DataFrame, t
                  buckets: Mapping[str, Sequence[str]] = V.STANCE_BUCKETS, lexicon: S.Lexicon = S.DEFAULT, patterns=V.HIGHER_ORDER_PATTERNS,
                  signals=V.GOAL_SIGNALS, knowledge: Mapping[str, Sequence[str]] = V.GOAL_KNOWLEDGE, flags: str = T.ANY_CASE) -> Offline:
     """One pass over all users, in stages that each see the stage before (P-07)."""
+    # read by several stages, and by few tasks where a well packed file holds them
+    concepts, traits = cut(spread(concepts, "concept_id")), cut(spread(traits, "node_id"))
     chosen = cut(select_for_replay(memories, traits, as_of, buckets=buckets))
     replayed = cut(replay(memories, chosen, lexicon))
     discovered = cut(discover_patterns(replayed, concepts, traits, patterns))

@@ -7,6 +7,7 @@ import pytest
 
 from engram import vocab as V
 from engram.operators import clusters as C
+from engram.operators import leaders as L
 from engram.operators.leaders import leaders
 
 
@@ -70,3 +71,15 @@ def test_pooled_words_draw_in_rows_the_leader_does_not_overlap(spark):
 
 def test_no_rows(spark):
     assert leaders(table(spark, {}), ["user_id"], "id", "words", "id", 0.4).collect() == []
+
+
+def test_groups_of_any_key_are_walked_many_at_a_time(spark, monkeypatch):
+    """Nulls among the keys and the words, groups across batches, and no call of Python for each group."""
+    monkeypatch.setattr(L, "ROWS_AT_ONCE", 64)
+    users = {(u, k): drawn(7 * u + k, 9, 20, 6) for u in range(40) for k in range(3)}
+    users[(None, 1)], users[(3, None)] = drawn(900, 150, 60, 7), drawn(901, 5, 8, 4)
+    users[(5, 2)] = [(i, set(w) | {None}) for i, w in drawn(902, 9, 9, 4)]
+    rows = [(u, k, i, sorted(w, key=str)) for (u, k), rs in users.items() for i, w in rs]
+    found = L.leaders(spark.createDataFrame(rows, "u long, k long, id long, words array<string>").repartition(5), ["u", "k"], "id", "words", "id", 0.4, True)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.u, r.k, r.id): r.leader for r in found.collect()} == {(u, k, i): x for (u, k), rs in users.items() for i, x in by_hand(rs, 0.4, True).items()}
