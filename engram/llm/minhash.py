@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import components, lists, slices
+from engram.llm.common import components, free, lists, slices
 from engram.llm.shingles import shingle_sets
 from engram.session import cut, discard
 
@@ -129,7 +129,7 @@ def _in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that their union sketch does not rule out."""
     least = needed(k, percent)
 
@@ -145,12 +145,17 @@ def _alike(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataF
                     keep.append(len(both) >= least and np.isin(np.union1d(x, y)[:k], both, assume_unique=True).sum() >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    # a set in rising order begins with its sketch
+    x, y = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.slice("full", 1, k).alias(s)) for c, s in (("a", "x"), ("b", "y")))
     return cut(pairs.join(x, "a").join(y, "b").select("a", "b", F.greatest("n_a", "n_b").alias("n"), "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """The rows as ``_sets`` gives them, and (node, root) of classes that are linked with others."""
+    """The rows as ``_sets`` gives them, and (node, root) of classes that are linked with others.
+
+    Tables and shuffle files go as soon as the steps that read them are done, so the disk holds those of one step.
+    """
+    spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
     base = cut(_sets(docs, words, k))
     classes = base.where("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -160,13 +165,18 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
     held = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # a set so small that all its partners are whole in their sketches shares what the threshold asks for
     wanted = F.when(100 * F.col("n") <= percent * k, F.expr(f"({percent} * n + 99) div 100")).otherwise(F.lit(needed(k, percent)))
-    open_ = postings.join(held, "v").groupBy("node", "n").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") >= wanted)
-    needed_texts = classes.join(open_, "node", "left_semi").select("text_key")
+    open_ = cut(postings.join(held, "v").groupBy("node", "n").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") >= wanted).select("node"))
+    needed_texts = cut(classes.join(open_, "node", "left_semi").select("text_key"))
+    discard(classes)
+    free(spark)
     sets = cut(_full_sets(docs.select("text_key", "text").join(needed_texts, "text_key", "left_semi").select("text"), words).dropDuplicates(["node"]))
+    free(spark)
 
     members = cut(_shared(sets.select("node", "n", F.explode("full").alias("v"))))
-    fit = members.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n")).where(f"100 * h >= {percent} * n")
-    held = _shared(members.join(fit.select("node"), "node", "left_semi").select("node", "n", "v")).groupBy("node", "n").agg(
+    free(spark)
+    fit = cut(members.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n")).where(f"100 * h >= {percent} * n").select("node"))
+    free(spark)
+    held = _shared(members.join(fit, "node", "left_semi").select("node", "n", "v")).groupBy("node", "n").agg(
         F.array_sort(F.collect_list(F.struct("c", "v"))).alias("held"))
     as_larger = F.expr(f"size(held) - ({percent} * n + 99) div 100")
     keys = cut(held.withColumn("larger", as_larger).where("larger >= 0")
@@ -178,6 +188,7 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
     every, keys = keys, cut(keys.join(keys.groupBy("v").agg(able.alias("able"), F.count(F.lit(1)).alias("c")).where("able and c > 1").select("v"), "v", "left_semi"))
     discard(every)
     discard(members)
+    free(spark)
     open_ = keys.select("node").distinct()
 
     links, labels = None, open_.withColumn("component", F.col("node"))
@@ -192,7 +203,9 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
                  .select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct())
         found = _verified(stars, sets, percent)
         links = found if links is None else links.unionByName(found)
+        free(spark)
         labels = cut(open_.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+        free(spark)
 
     at = keys.join(labels, "node")
     mixed = at.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
@@ -205,8 +218,11 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
     later = own.where("i < blocks - 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
     blocks = own.select(F.lit(True).alias("same"), "own", F.col("own").alias("others")).unionByName(
         later.join(mates, ["v", "j"]).select(F.lit(False).alias("same"), "own", "others"))
-    last = _verified(_alike(cut(_in_blocks(blocks, percent)), classes, k, percent), sets, percent)
-    return base, components(links.unionByName(last)).select("node", F.col("component").alias("root"))
+    last = _verified(_alike(cut(_in_blocks(blocks, percent)), sets, k, percent), sets, percent)
+    discard(sets, own, keys)
+    roots = components(links.unionByName(last)).select("node", F.col("component").alias("root"))
+    free(spark)
+    return base, roots
 
 
 def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, k: int = K, block: int = BLOCK) -> DataFrame:

@@ -17,7 +17,6 @@ empty; a text shorter than ``length`` repeats nothing. An empty table gives no r
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import flat_bytes, slices
+from engram.llm.common import flat_bytes, free, slices
 from engram.llm.shingles import INVERSE, ODD, mixed
 from engram.session import cut
 
@@ -176,12 +175,6 @@ def _split(open_: DataFrame, length: int, grid: int) -> DataFrame:
     return open_.mapInArrow(run, "bucket long, whole long, doc long, part long, start long, count long, gram long, bytes binary").withColumns({"place": F.col("start"), "known": F.lit(False)})
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of finished steps, which otherwise stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text, doc, part, copies): equal rows once; ``part`` tells apart the texts of one doc_id, and is 0 where there is one row."""
     docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_DOC)))
@@ -201,17 +194,17 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     batch = F.expr(f"pmod(xxhash64(doc, part), {max(1, -(-size // batch_bytes))})")
 
     found = cut(_sorted_out(_runs(docs.select("doc", "part", "text"), length, q)).select("doc", "part", "place", "repeats"))
-    _free(spark)
+    free(spark)
     repeated = found.where("repeats").select("doc", "part", F.shiftright("place", 16).alias("start"), F.expr("shiftright(place, 8) & 255").alias("count"))
     open_ = cut(_cut_out(docs.withColumn("batch", batch), found.where("not repeats").withColumn("batch", batch), length))
-    _free(spark)
+    free(spark)
     grid = length - q + 1  # the runs stand for the widest stretch
     while grid > 1:
         grid = -(-grid // narrower)
         level = cut(_sorted_out(_split(open_, length, grid)).select("doc", "part", "start", "count", "gram", "bytes", "repeats"))
         repeated = repeated.unionByName(level.where("repeats").select("doc", "part", "start", "count"))
         open_ = level.where("not repeats").drop("repeats")
-    _free(spark)
+    free(spark)
 
     def run(texts: pa.Table, gone: pa.Table) -> pa.Table:
         doc, part = (gone.column(c).to_numpy() for c in ("doc", "part"))

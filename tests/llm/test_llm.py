@@ -250,6 +250,25 @@ def test_near_copies_on_nothing(nothing):
     assert minhash.groups(nothing).count() == 0
 
 
+def test_near_copies_leave_only_the_rows_they_return(spark, docs, monkeypatch):
+    """Shuffle files and tables of finished steps go while the query runs."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    common.free(spark)
+    time.sleep(1)
+    kept = {str(f) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())}
+    written, cut = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: written.append(cut(df)) or written[-1])
+    base, _ = minhash._grouped(docs, "doc_id", "text", 5, 75, 64, 64)
+    left = [t for t in written if {"sketch", "full", "v", "own"} & set(t.columns) and Path(t.inputFiles()[0].removeprefix("file:")).exists()]
+    assert [t.columns for t in left if t.inputFiles() != base.inputFiles()] == []
+    for _ in range(50):
+        files = {str(f) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())} - kept
+        if not files:
+            break
+        time.sleep(0.2)
+    assert not files
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(1, 200)] + [(500, 501), (600, 600)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
