@@ -73,6 +73,21 @@ def ranked(df: DataFrame, group: str, cells: Column, order: list[str], name: str
     return inside.join(before, [group, "_cell"]).withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_cell", "_row", "_before")
 
 
+#: Bits of the bitmap of ``among``, in words of 64: 2^18 rows of two numbers at most, whatever the table.
+PLACES = 1 << 24
+
+
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column``, a hash, is in the one column of ``ids``, and a few others that share a place of a bitmap with one.
+
+    Only the bitmap is sent to the tasks, so what a join on ``column`` has no use for is not shuffled. Beyond some ten million ids it rules out little, but never a row of ``ids``.
+    """
+    place = F.pmod(F.col(column), F.lit(PLACES))
+    known = ids.toDF(column).groupBy(F.shiftright(place, 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("_bits"))
+    at = df.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(known), "_word")
+    return at.where(F.getbit("_bits", (place % 64).cast("int")) == 1).select(*df.columns)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``links`` (a, b) reaches.
 

@@ -10,8 +10,8 @@ at least ``needed(k)`` of them but for one link in 10^10. Hence
    Of the shared values of the others, rarest first, only as many enter the inverted lists that two partners must meet there;
 3. members of a list are first held against one member each, twice, by exact Jaccard on the full sets, which joins large groups
    of copies with few comparisons;
-4. what still lies in different components of a list is compared in bounded blocks: union sketches give an estimate, and the
-   pairs it lets through are verified by exact Jaccard. No list, pair or candidate is capped.
+4. what still lies in different components of a list is compared in bounded blocks by exact Jaccard on the full sets, which travel
+   with the members, not with pairs of them. No list, pair or candidate is capped.
 
 A document without words has an empty set and is linked with nothing. Each row is a document; equal rows get equal results. A null
 doc_id is a member of its class and never its smallest id unless all are null. An empty table gives no rows. Other columns do not take part.
@@ -19,6 +19,7 @@ doc_id is a member of its class and never its smallest id unless all are null. A
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import cache
 from math import comb
@@ -29,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import components, free, lists, slices
+from engram.llm.common import among, components, free, lists, slices
 from engram.llm.shingles import shingle_sets
 from engram.session import cut, discard
 
 K = 64
-#: Members of a list that one comparison block holds.
-BLOCK = 64
+#: Members of a list that one comparison block holds, and about how many values of their sets.
+BLOCK, VALUES = 512, 1 << 17
 
 
 @cache
@@ -95,59 +96,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = sets.select(F.col("node").alias("a"), F.col("full").alias("x")), sets.select(F.col("node").alias("b"), F.col("full").alias("y"))
+    pairs = cut(pairs)
+    few = among(sets, "node", pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+    x, y = few.select(F.col("node").alias("a"), F.col("full").alias("x")), few.select(F.col("node").alias("b"), F.col("full").alias("y"))
     return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components in a pair of blocks that sizes and what is left of their sets do not rule out."""
-    def side(column: pa.ListArray) -> tuple[np.ndarray, ...]:
-        rows = column.flatten()
-        at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return at, *(rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component", "left"))
+def _meetings(members: DataFrame, what: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(v, same, own, others) for the members of each list (v, blocks) packed into blocks, every two of which meet once; and the table of blocks they are read from."""
+    own = cut(members.withColumn("i", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
+              .groupBy("v", "blocks", "i").agg(F.collect_list(F.struct(*what)).alias("own")))
+    mates = own.where("i > 0").select("v", F.col("i").alias("j"), F.col("own").alias("others"))
+    later = own.where("i < blocks - 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
+    meetings = own.select("v", F.lit(True).alias("same"), "own", F.lit(None).cast(own.schema["own"].dataType).alias("others")).unionByName(
+        later.join(mates, ["v", "j"]).select("v", F.lit(False).alias("same"), "own", "others"))
+    return meetings, own
+
+
+def _partnered(meetings: DataFrame, percent: int) -> DataFrame:
+    """(v, node, n, component, left) of members that meet one of another component which sizes and what is left of their sets do not rule out."""
+    names = ["node", "n", "component", "left"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = side(batch.column("own")), side(batch.column("others"))
-            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-            for row, same in enumerate(batch.column("same").to_pylist()):
-                at, node, n, component, left = one
-                x = slice(at[row], at[row + 1])
-                at, node_, n_, component_, left_ = one if same else two
-                y = slice(at[row], at[row + 1])
-                sizes = np.add.outer(n[x], n_[y])
-                fits = (np.not_equal.outer(component[x], component_[y]) & (np.minimum.outer(left[x], left_[y]) * (100 + percent) >= percent * sizes)
-                        & (100 * np.minimum.outer(n[x], n_[y]) >= percent * np.maximum.outer(n[x], n_[y])))
-                i, j = np.nonzero(np.triu(fits, 1) if same else fits)
-                if len(i):
-                    pair = np.stack([node[x][i], node_[y][j]], axis=1)
-                    pair.sort(axis=1)
-                    found.append(pair)
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long").distinct()
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that their union sketch does not rule out."""
-    least = needed(k, percent)
+            for row, v in enumerate(batch.column("v").to_pylist()):
+                one = [batch.column("own")[row].values.field(c).to_numpy(zero_copy_only=False) for c in names]
+                same = batch.column("same")[row].as_py()
+                two = one if same else [batch.column("others")[row].values.field(c).to_numpy(zero_copy_only=False) for c in names]
+                (_, n, component, left), (_, n_, component_, left_) = one, two
+                fits = (np.not_equal.outer(component, component_) & (np.minimum.outer(left, left_) * (100 + percent) >= percent * np.add.outer(n, n_))
+                        & (100 * np.minimum.outer(n, n_) >= percent * np.maximum.outer(n, n_)))
+                for side, has in ((one, fits.any(axis=1)),) if same else ((one, fits.any(axis=1)), (two, fits.any(axis=0))):
+                    if has.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(has.sum(), v)), *(pa.array(x[has]) for x in side)], ["v", *names])
+
+    return meetings.mapInArrow(run, "v long, node long, n long, component long, left int").distinct()
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
+    """The number of values that each set of ``one`` shares with each of ``two``: products of 0/1 matrices of some values at a time."""
+    n = np.array([len(s) for s in (*one, *two)])
+    sets = np.repeat(np.arange(len(n)), n)
+    values, at, held = np.unique(np.concatenate([*one, *two]), return_inverse=True, return_counts=True)
+    twice = held > 1
+    place, shared = np.cumsum(twice) - 1, twice[at]
+    order = np.argsort(place[at][shared], kind="stable")
+    sets, place = sets[shared][order], place[at][shared][order]
+    out = np.zeros((len(one), len(two)), np.int64)
+    for start in range(0, int(twice.sum()), columns):
+        here = slice(*np.searchsorted(place, [start, start + columns]))
+        bits = np.zeros((len(n), min(columns, int(twice.sum()) - start)), np.float32)  # counts below 2^24 are exact
+        bits[sets[here], place[here] - start] = 1
+        out += (bits[:len(one)] @ bits[len(one):].T).astype(np.int64)
+    return out
+
+
+def _linked(meetings: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of similar sets of different components, by exact Jaccard on full sets; of the links between what already hangs together in a meeting one stays."""
+    def side(members: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        full = members.field("full")
+        at, values = full.offsets.to_numpy(), full.values.to_numpy()
+        sets = [values[x:y] for x, y in itertools.pairwise(at)]
+        return members.field("node").to_numpy(), members.field("component").to_numpy(), sets, np.diff(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n, x, y in zip(batch.column("n").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
-                both = np.intersect1d(x, y, assume_unique=True)
-                if n <= k:  # both sketches are the whole sets
-                    keep.append(100 * len(both) >= percent * (len(x) + len(y) - len(both)))
-                else:
-                    keep.append(len(both) >= least and np.isin(np.union1d(x, y)[:k], both, assume_unique=True).sum() >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            links: list[tuple[int, int]] = []
+            for row, same in enumerate(batch.column("same").to_pylist()):
+                node, component, sets, n = side(batch.column("own")[row].values)
+                node_, component_, sets_, n_ = (node, component, sets, n) if same else side(batch.column("others")[row].values)
+                both = _overlaps(sets, sets_)
+                similar = np.not_equal.outer(component, component_) & (100 * both >= percent * (np.add.outer(n, n_) - both))
+                root: dict[int, int] = {}
+
+                def end(x: int, root: dict[int, int] = root) -> int:
+                    while (up := root.get(x, x)) != x:
+                        root[x] = x = root.get(up, up)
+                    return x
+
+                for i, j in np.argwhere(np.triu(similar) if same else similar).tolist():
+                    x, y = end(int(component[i])), end(int(component_[j]))
+                    if x != y:
+                        root[x] = y
+                        links.append((int(node[i]), int(node_[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
 
-    # a set in rising order begins with its sketch
-    x, y = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.slice("full", 1, k).alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", F.greatest("n_a", "n_b").alias("n"), "x", "y").mapInArrow(run, "a long, b long"))
+    return cut(meetings.mapInArrow(run, "a long, b long").distinct())
 
 
 def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +203,9 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
     needed_texts = cut(classes.join(open_, "node", "left_semi").select("text_key"))
     discard(classes)
     free(spark)
-    sets = cut(_full_sets(docs.select("text_key", "text").join(needed_texts, "text_key", "left_semi").select("text"), words).dropDuplicates(["node"]))
+    # an inner join, as a semi join would be moved below the bitmap and shuffle every text; what it repeats is one node
+    texts = among(docs.select("text_key", "text"), "text_key", needed_texts).join(needed_texts, "text_key")
+    sets = cut(_full_sets(texts.select("text"), words).dropDuplicates(["node"]))
     free(spark)
 
     members = cut(_shared(sets.select("node", "n", F.explode("full").alias("v"))))
@@ -209,17 +245,16 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int, k:
 
     at = keys.join(labels, "node")
     mixed = at.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    # members are packed into blocks first, and blocks of a list meet, not members
-    own = (at.join(mixed.select("v", "c"), "v").withColumn("blocks", F.expr(f"cast(1 + c div {block} as int)"))
-           .withColumn("i", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
-           .groupBy("v", "blocks", "i").agg(F.collect_list(F.struct("node", "n", "component", "left")).alias("own")))
-    own = cut(own)
-    mates = own.where("i > 0").select("v", F.col("i").alias("j"), F.col("own").alias("others"))
-    later = own.where("i < blocks - 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
-    blocks = own.select(F.lit(True).alias("same"), "own", F.col("own").alias("others")).unionByName(
-        later.join(mates, ["v", "j"]).select(F.lit(False).alias("same"), "own", "others"))
-    last = _verified(_alike(cut(_in_blocks(blocks, percent)), sets, k, percent), sets, percent)
-    discard(sets, own, keys)
+    # members are packed into blocks first, and blocks of a list meet, not members; full sets travel only for members that have a partner left
+    meetings, packed = _meetings(at.join(mixed.select("v", "c"), "v").withColumn("blocks", F.expr(f"cast(1 + c div {block} as int)")), ["node", "n", "component", "left"])
+    partnered = cut(_partnered(meetings, percent))
+    discard(packed, keys)
+    free(spark)
+    many = partnered.groupBy("v").agg(F.expr(f"cast(1 + greatest(count(1) div {block}, sum(n) div {VALUES}) as int)").alias("blocks"))
+    whole = among(sets, "node", partnered.select("node")).select("node", "full")
+    meetings, packed = _meetings(partnered.join(many, "v").join(whole, "node"), ["node", "component", "full"])
+    last = _linked(meetings, percent)
+    discard(sets, packed, partnered)
     roots = components(links.unionByName(last)).select("node", F.col("component").alias("root"))
     free(spark)
     return base, roots

@@ -269,6 +269,46 @@ def test_near_copies_leave_only_the_rows_they_return(spark, docs, monkeypatch):
     assert not files
 
 
+@pytest.mark.parametrize("block", [512, 8])
+def test_a_dense_group_of_texts_around_the_threshold_makes_no_table_of_its_pairs(spark, monkeypatch, block):
+    rnd, rows = random.Random(5), []
+    for i in range(300):
+        text = [f"w{j}" for j in range(150)]
+        for _ in range(3):
+            text[rnd.randrange(150)] = f"v{i}"
+        rows.append((i, " ".join(text)))
+    written, cut = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: written.append((df.columns, (out := cut(df)).count())) or out)
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    want = near_groups(rows)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == collections.Counter(want)
+    assert len({g for *_, g in want}) > 20
+    assert max(n for columns, n in written if columns == ["a", "b"]) < 10 * len(rows)
+
+
+def test_only_texts_that_may_be_needed_are_shuffled(docs, monkeypatch):
+    plans, cut = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df))
+    minhash._grouped(docs, "doc_id", "text", 5, 75, 64, 64)
+    plan = next(plan for columns, plan in plans if columns == ["node", "n", "full"])
+    assert re.search(r"Join \w+, \(text_key#.*getbit", plan, re.DOTALL)
+
+
+def test_rows_among_ids(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    ids = rows.where("id % 100 = 0").select("h")
+    got = [r.id for r in common.among(rows, "h", ids).collect()]
+    assert len(got) == len(set(got)) <= 210 and set(range(0, 20_000, 100)) <= set(got)
+    assert common.among(rows, "h", ids.where("h is null")).count() == 0
+
+
+def test_overlaps_of_sets():
+    rnd = random.Random(3)
+    one, two = ([np.array(sorted(rnd.sample(range(-20, 20), rnd.randrange(12))), np.int64) for _ in range(n)] for n in (7, 5))
+    for x, y in ((one, two), (one, one)):
+        assert minhash._overlaps(x, y, 3).tolist() == [[len({*a} & {*b}) for b in y] for a in x]
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(1, 200)] + [(500, 501), (600, 600)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
