@@ -72,9 +72,9 @@ def g_03(t):
       three AS (SELECT o.user_id, o.s, e.dst AS t, LIST_APPEND(path, e.dst) AS path FROM two o JOIN e ON e.user_id = o.user_id AND e.src = o.t WHERE NOT LIST_CONTAINS(path, e.dst))
     SELECT user_id, ARRAY_TO_STRING(path, '>') AS path FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) JOIN ({FIRST}) f USING (user_id) WHERE t = f.target""")
 def g_04(t):
-    paths = G.simple_paths(source_nodes(t), t.edges_v, 3)
-    first = t.nodes_v.groupBy("user_id").agg(F.min("node_id").alias("target"))
-    return paths.join(first, ["user_id", "target"], "left_semi").select("user_id", F.array_join("path", ">").alias("path"))
+    nodes, edges = t.walks
+    first = nodes.groupBy("user_id").agg(F.min("node_id").alias("node_id"))
+    return G.simple_paths(None, edges, 3, first).select("user_id", F.array_join("path", ">").alias("path"))
 
 
 @query("g_05", """

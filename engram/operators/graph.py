@@ -187,16 +187,58 @@ def _paths_in_rounds(pairs: DataFrame, edges: DataFrame, max_depth: int | None,
     return found.join(pairs.select("user_id", "source", "target"), ["user_id", "source", "target"], "left_semi")
 
 
-def simple_paths(sources: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
-    """All paths without a repeated node, up to ``max_hops`` edges (G-04)."""
-    step = edges.select("user_id", F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    front = sources.select("user_id", F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.array("node_id").alias("path"))
-    out = None
+def simple_paths(sources: DataFrame | None, edges: DataFrame, max_hops: int = 3, ends: DataFrame | None = None) -> DataFrame:
+    """All paths without a repeated node, up to ``max_hops`` edges, each once (G-04).
+
+    Without ``sources`` they start at every node. With ``ends`` (user_id, node_id) only paths to these return, and are looked for from
+    there. Graphs of few rows are walked in tasks, larger ones in rounds of joins.
+    """
+    every, some = sources is None, ends is not None
+    rows, large = L.gathered(L.edge_rows(edges), *[L.tagged(kind, df, "node_id") for kind, df in ((L.NODE, sources), (L.END, ends)) if df is not None])
+    schema = _schema(edges, "src", ("source",), ("target",), ("path", ArrayType(edges.schema["src"].dataType)))
+
+    def run(g: L.Graphs):
+        starts = g.a[g.edge if every else g.of(L.NODE)]
+        step = np.unique(g.a[g.edge] * g.n + g.b[g.edge])
+        a, b = step // g.n, step % g.n
+        g.walk(b, a) if some else g.walk(a, b)
+        known = np.zeros(g.n, bool)
+        known[starts] = True
+        # the piece last put off goes first, so that few are held at a time
+        left = [np.unique(g.a[g.of(L.END)] if some else starts)[:, None]]
+        while left:
+            trail = left.pop()
+            which, to = g.beyond(trail[:, -1])
+            new = (trail[which] != to[:, None]).all(axis=1)
+            trail = np.column_stack([trail[which[new]], to[new]])
+            found = trail[known[trail[:, -1]]][:, ::-1] if some else trail
+            begin = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+            yield _table(schema, g.name(found[:, 0]), g.id(found[:, 0]), g.id(found[:, -1]), pa.ListArray.from_arrays(pa.array(begin), g.id(found.ravel())))
+            if trail.shape[1] <= max_hops:
+                # what a piece leads to is bounded
+                work = np.cumsum(g.first[trail[:, -1] + 1] - g.first[trail[:, -1]]) >> 18
+                left += np.split(trail, np.flatnonzero(np.diff(work)) + 1)
+
+    found = L.in_tasks(rows, run, schema) if max_hops > 0 else edges.sparkSession.createDataFrame([], schema)
+    if large is None:
+        return found
+    far = [None if df is None else _only(large, df)[0] for df in (sources, edges, ends)]
+    return found.unionByName(_simple_in_rounds(far[0], far[1], max_hops, far[2]))
+
+
+def _simple_in_rounds(sources: DataFrame | None, edges: DataFrame, max_hops: int, ends: DataFrame | None) -> DataFrame:
+    some = ends is not None
+    sources = edges.select("user_id", F.col("src").alias("node_id")) if sources is None else sources
+    step = cut((reversed_edges(edges) if some else edges).select("user_id", F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+    start = (ends if some else sources).select("user_id", F.col("node_id").alias("node")).distinct()
+    front, out = start.select("user_id", "node", F.array("node").alias("path")), start.limit(0).select("user_id", "node", F.array("node").alias("path"))
     for _ in range(max_hops):
-        front = (front.join(step, ["user_id", "node"]).filter(~F.array_contains("path", F.col("next")))
-                 .select("user_id", "source", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")))
-        out = front if out is None else out.unionByName(front)
-    return out.withColumnRenamed("node", "target")
+        longer = F.concat(F.array("next"), "path") if some else F.array_append("path", F.col("next"))
+        front = cut(front.join(step, ["user_id", "node"]).filter(~F.array_contains("path", F.col("next"))).select("user_id", F.col("next").alias("node"), longer.alias("path")))
+        out = out.unionByName(front)
+    if some:
+        out = out.join(sources.select("user_id", F.col("node_id").alias("node")), ["user_id", "node"], "left_semi")
+    return out.select("user_id", F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("target"), "path")
 
 
 def explain_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:

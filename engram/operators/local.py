@@ -130,12 +130,21 @@ class Graphs:
         self.step = np.lexsort((dst, src))
         self.to, self.first = dst[self.step], np.searchsorted(src[self.step], np.arange(self.n + 1))
 
+    def steps(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All steps from vertices, in order: index of the vertex, position of the step."""
+        k = self.first[v + 1] - self.first[v]
+        which = np.repeat(np.arange(len(v)), k)
+        return which, self.first[v][which] + np.arange(len(which)) - (np.cumsum(k) - k)[which]
+
+    def beyond(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All steps from vertices: index of the vertex, vertex it leads to."""
+        which, step = self.steps(v)
+        return which, self.to[step]
+
     def expand(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All steps from cells, in order: index of the cell, position of the step, cell it leads to."""
         v = self.vertex[cells]
-        k = self.first[v + 1] - self.first[v]
-        which = np.repeat(np.arange(len(cells)), k)
-        step = self.first[v][which] + np.arange(len(which)) - (np.cumsum(k) - k)[which]
+        which, step = self.steps(v)
         return which, step, self.base[self.to[step]] + (cells - self.base[v])[which]
 
     def search(self, max_depth: int | None = None, in_order: bool = False) -> None:
